@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import table
+from tabulon.llm.session import arrow, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that a worker remembers before it starts anew.
@@ -103,8 +103,8 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         known = self.known
-        for m in self.pattern.finditer(text):
-            w = m[0]
+        words = self.pattern.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text))
+        for w in words:
             ids = known.get(w)
             out += self.word(w) if ids is None else ids
         return out
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(scan, ", ".join(filter(None, [kept, more])))
+    return arrow(docs.select(*keep, F.col("text").alias("__text")), scan, ", ".join(filter(None, [kept, more])))
 
 
 # The named form, over a table of distinct words.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import cut, partitions, table
+from tabulon.llm.session import arrow, cut, partitions, table
 
 BUDGET, HISTORY, BLOCK = 512, 128, 64
 CONTROL = [("\\", "\\\\"), ("</turn>", "\\E"), ("###", "\\H")]
@@ -152,7 +152,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
     n = partitions(formatted.sparkSession)
     spread = formatted.select("conv_id", "window", "n_repeated", "text", "loss").repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
-    return spread.mapInArrow(scan, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return arrow(spread, scan, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 #: A conversation whose texts hold the template's control strings.

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.measures import measure
-from tabulon.llm.session import table
+from tabulon.llm.session import arrow, table
 from tabulon.llm.textscan import words
 
 BUCKETS, FACTORS, STEPS = 1 << 16, 8, 16
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             index, value = (np.split(a[order].astype(kind), cuts) if batch.num_rows else [] for a, kind in ((x.index, np.int32), (x.value, np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), *(pa.array([a.tobytes() for a in col], pa.binary()) for col in (index, value))], names=["doc_id", "label", "index", "value"])
 
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").mapInArrow(scan, "doc_id bigint, label int, index binary, value binary").collect()
+    rows = arrow(docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id"), scan, "doc_id bigint, label int, index binary, value binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["index"])))
     return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32).astype(float)) for r in rows], np.array([r["label"] for r in rows], float))
 
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = compact.score(features(batch.column("text"), batch.column("n_chars")), batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text", "n_chars").mapInArrow(scan, "doc_id bigint, score double")
+    return arrow(docs.select("doc_id", "text", "n_chars"), scan, "doc_id bigint, score double")
 
 
 def held_out() -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.measures import NAMES, measure
-from tabulon.llm.session import table
+from tabulon.llm.session import arrow, table
 
 #: Bit number, name and failure condition (SQL over the measurements; integers only).
 RULES = [
@@ -64,7 +64,7 @@ def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[x]) for x in NAMES)], names=[*keep, *NAMES])
 
     read = docs.select(*keep, F.col("text").alias("__text"))
-    return read.mapInArrow(scan, schema).withColumn("failed", failure_bits())
+    return arrow(read, scan, schema).withColumn("failed", failure_bits())
 
 
 def kept(policy: str | list[str]) -> Column:

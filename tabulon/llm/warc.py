@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import cut, partitions, shared_path, table
+from tabulon.llm.session import arrow, cut, partitions, shared_path, table
 
 SMALL, ARCHIVE_BYTES, CHUNK, LEVEL = 100, 256 << 20, 1 << 16, 6
 DATE = "2024-01-01T00:00:00Z"
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         names, records, sizes = zip(*done) if done else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{x}" for x in names], pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], names=["path", "records", "bytes"])
 
-    return cut(plan_records(pages).mapInArrow(scan, "path string, records bigint, bytes bigint"))
+    return cut(arrow(plan_records(pages), scan, "path string, records bigint, bytes bigint"))
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
@@ -174,7 +174,7 @@ def read_archives(manifest: DataFrame, payload: bool = True, rows: int = 256) ->
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), SCHEMA.types)], schema=SCHEMA)
 
     spread = manifest.select("path").repartition(partitions(manifest.sparkSession), "path")
-    return spread.mapInArrow(scan, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary")
+    return arrow(spread, scan, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

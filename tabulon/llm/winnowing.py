@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import partitions, table
+from tabulon.llm.session import arrow, partitions, table
 from tabulon.llm.textscan import ODD, mix
 
 K, WINDOW = 16, 64
@@ -93,7 +93,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
             got = [write(*select(t.as_py() or "", k, window)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, fingerprint string")
+    return arrow(docs.select("doc_id", "text"), scan, "doc_id bigint, fingerprint string")
 
 
 def ranges(docs: DataFrame, n: int) -> DataFrame:
@@ -141,7 +141,7 @@ def compare_neighbours(docs: DataFrame, n: int, k: int = K, window: int = WINDOW
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return ranges(docs, n).repartition(n, "range").sortWithinPartitions("range", "ahead", "key", "text").mapInArrow(scan, SCHEMA)
+    return arrow(ranges(docs, n).repartition(n, "range").sortWithinPartitions("range", "ahead", "key", "text"), scan, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
