@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 
-@lru_cache(maxsize=100_000)
 def token_sort_ratio(a: str, b: str) -> float:
     """200 * (longest common subsequence) / (total length), of the texts with their words sorted."""
     a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))

@@ -92,9 +92,9 @@ def textblock_cells(words: DataFrame) -> DataFrame:
     ordered = F.sort_array(F.collect_list(F.struct("x0", "word_no", "text")))
     bands = rows.join(column, PAGE).groupBy(*PAGE, "cluster", "numcol").agg(ordered.alias("words"))
     near = F.get(F.filter("words", lambda w: w["text"].rlike(fixed.ITEM_NO_PATTERN) & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0)
-    bands = bands.withColumn("number", near)
-    right = F.filter("words", lambda w: F.when(F.col("number").isNotNull(), w["x0"] > F.col("number")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["text"].rlike(fixed.ITEM_NO_PATTERN)))
-    bands = bands.select(*PAGE, "cluster", F.col("number.text").alias("number"), F.array_join(F.transform(right, lambda w: w["text"]), " ").alias("words"))
+    bands = bands.withColumn("mark", near)
+    right = F.filter("words", lambda w: F.when(F.col("mark").isNotNull(), w["x0"] > F.col("mark")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["text"].rlike(fixed.ITEM_NO_PATTERN)))
+    bands = bands.select(*PAGE, "cluster", F.col("mark.text").alias("number"), F.array_join(F.transform(right, lambda w: w["text"]), " ").alias("words"))
     w = Window.partitionBy(*PAGE).orderBy("cluster")
     bands = bands.withColumn("item", F.sum(F.col("number").isNotNull().cast("int")).over(w)).filter("item > 0")
     parts = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "words"))), lambda x: x["words"]), lambda x: x != "")
