@@ -31,7 +31,7 @@ def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance:
 
     labelled = rows.withColumn("labels", F.aggregate("points", zero, step)["out"])
     pairs = F.explode(F.arrays_zip("points", "labels"))
-    return labelled.select(*by, pairs.alias("p")).select(*by, "p.points.row.*", F.col("p.labels").alias("cluster"))
+    return labelled.select(*by, pairs.alias("__p")).select(*by, "__p.points.row.*", F.col("__p.labels").alias("cluster"))
 
 
 def gap_clusters(points: DataFrame, by: list[str], x: str, tie: str, gap: Column | float) -> DataFrame:

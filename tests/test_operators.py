@@ -1,0 +1,246 @@
+import random
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabulon.functions import text as t
+from tabulon.functions.similarity import token_sort_ratio
+from tabulon.operators import context, headers, layout, ocr_tables, qc, transform
+from tabulon.plans.documents import process_cells, process_words
+from tabulon.sources import config as conf
+from tabulon.sources import pages, sinks
+from tabulon.streaming.watch import CELLS, watch
+
+CONFIG = conf.Config()
+
+
+def one(spark, f, *values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    return [r[0] for r in df.select(f(F.col("v"))).collect()]
+
+
+def test_title_case(spark):
+    got = one(spark, t.title_case, "support for PUMP", "the jack", "O-ring*", "bolt M12x30 WITH seal", " ", "relief valve, complete*")
+    assert got == ["Support for Pump", "The Jack", "O-ring", "Bolt M12x30 with Seal", "", "Relief Valve, Complete"]
+
+
+def test_strip_is_unicode_aware(spark):
+    assert one(spark, t.strip, " a　", "\x1cb\x85", " c d ") == ["a", "b", "c d"]
+
+
+def test_clean(spark):
+    assert one(spark, t.clean, "nan", " None ", "NaT", None, " x ") == ["", "", "", "", " x "]
+
+
+def test_dimension(spark):
+    values = ["length 250 mm", "dia 30mm", "3 inch", "12.5 mm", "100 mm x 50 mm", "no size", "3 inches"]
+    assert one(spark, lambda x: t.dimension(x)[1], *values) == ["L= 250mm", "Dia. 30mm", "L= 3inch", "L= 12.5mm", "L= 100mm", None, None]
+    assert one(spark, lambda x: t.dimension(x)[0], "100 mm x 50 mm", "bolt, 3 in!") == ["x", "bolt"]
+
+
+def test_material(spark):
+    assert one(spark, lambda x: t.material(x, CONFIG.materials), "gasket epdm", "Stainless Steel bolt", "circuit", "wood") == ["EPDM", "Stainless Steel", "Cu", None]
+    assert one(spark, lambda x: t.material(x, CONFIG.materials, True), "circuit", "cu pipe") == [None, "Cu"]
+
+
+def test_bundle_matches_loop(spark):
+    rng = random.Random(1)
+    cases = [[rng.choice(["A", "a ", "B", "", " ", "A; B"]) for _ in range(rng.randint(1, 5))] for _ in range(200)]
+
+    def loop(values):
+        acc = values[0]
+        for v in values[1:]:
+            parts = []
+            for p in (acc.strip(), v.strip()):
+                if p and p.lower() not in [x.lower() for x in parts]:
+                    parts.append(p)
+            acc = "; ".join(parts)
+        return acc
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c array<string>")
+    got = {r[0]: r[1] for r in df.select("i", t.bundle(F.col("c"))).collect()}
+    assert [got[i] for i in range(len(cases))] == [loop(c) for c in cases]
+
+
+def test_token_sort():
+    assert token_sort_ratio("Part Name", "Name Part") == 100
+    assert round(token_sort_ratio("Types", "Type"), 1) == 88.9
+    assert token_sort_ratio("abc", "") == 0 and token_sort_ratio("", "") == 100
+
+
+def test_mapping_tiers(spark):
+    rows = [(h,) for h in ["item no", "TYPE", "Title", "Descripton", "Types", "Zxqv Nonsense 999", "__ref_page__"]]
+    got = {r.raw_header: (r.target, r.method) for r in headers.header_map(spark.createDataFrame(rows, "raw_header string"), CONFIG).collect()}
+    assert got == {"item no": ("DrawingPosNo", "exact"), "TYPE": ("Text", "exact"), "Title": ("Spare Group", "exact"), "Descripton": ("Part Name", "fuzzy"), "Types": ("Type", "fuzzy"), "Zxqv Nonsense 999": (None, None)}
+
+
+def test_shadowed_and_teaching(tmp_path):
+    c = conf.Config()
+    assert set(c.shadowed()) == {"title", "type"} | ({"refno"} if "refno" in c.shadowed() else set())
+    assert not c.teach("Material", "Type") and c.teach("Material", "Type", move=True)
+    assert "Material" in c.header_aliases["Type"] and "Material" not in c.header_aliases["Text"]
+    path = str(tmp_path / "c.json")
+    conf.save(c, path)
+    assert conf.load(path) == c
+    (tmp_path / "bad.json").write_text("{")
+    assert conf.load(str(tmp_path / "bad.json")) == conf.Config() and (tmp_path / "bad.json.bak").exists()
+
+
+def test_page_specs():
+    assert pages.parse_pages("1-5, 12, 20-22") == [(1, 5), (12, 12), (20, 22)]
+    assert pages.parse_pages("100-", 103) == [(100, 103)] and pages.parse_pages("-3") == [(1, 3)]
+    assert pages.parse_pages("1, 50, 999", 100) == [(1, 1), (50, 50)] and pages.parse_pages("9-7") == [(7, 9)]
+    assert pages.parse_pages("") == [] and pages.parse_pages("-", 4) == [(1, 4)]
+    assert pages.parse_pages("100-") == [(100, pages.LAST)]
+    with pytest.raises(ValueError):
+        pages.parse_pages("abc")
+
+
+def test_page_selection(spark):
+    df = spark.createDataFrame([("a", i) for i in range(1, 6)] + [("b", 1)], "doc_id string, page_no int")
+    assert sorted(map(tuple, pages.select_pages(df, "4-9").collect())) == [("a", 4), ("a", 5), ("b", 1)]
+    assert pages.select_pages(df).count() == 6 and pages.select_pages(df, None, (2, 3)).filter("doc_id = 'a'").count() == 2
+    assert pages.intake(["x.pdf", "y.txt", "x.pdf", "z.PDF"]) == ["x.pdf", "z.PDF"]
+
+
+def test_rows_to_cells(spark):
+    df = spark.createDataFrame([(1, 0, ["No.", "No.", ""]), (1, 1, ["", " "]), (1, 2, ["a"]), (1, 3, ["b", "c", "d", "e"]), (2, 0, ["alone"])], "t int, row_no int, cells array<string>")
+    got = sorted(tuple(r) for r in headers.rows_to_cells(df, ["t"]).collect())
+    assert got == [(1, 2, 0, "No.", "a"), (1, 2, 1, "No._1", ""), (1, 2, 2, "col_2", ""), (1, 3, 0, "No.", "b"), (1, 3, 1, "No._1", "c"), (1, 3, 2, "col_2", "d")]
+
+
+def test_stitch_matches_loop(spark):
+    rng = random.Random(2)
+    rows = [(f"d{d}", 1, i, rng.choice(["", "7", " "]), rng.choice(["", "x", "y z"])) for d in range(60) for i in range(rng.randint(1, 9))]
+    want = []
+    for d in range(60):
+        kept = []
+        for _, _, i, key, name in (r for r in rows if r[0] == f"d{d}"):
+            if not key.strip() and name.strip() and kept and kept[-1][1].strip():
+                kept[-1][2] = (kept[-1][2].strip() + " " + name.strip()).strip()
+            else:
+                kept.append([i, key, name])
+        want += [(f"d{d}", i, k, n) for i, k, n in kept]
+    df = spark.createDataFrame(rows, "doc_id string, page_no int, row_no int, drawing_pos_no string, part_name string")
+    got = [(r.doc_id, r.row_no, r.drawing_pos_no, r.part_name) for r in transform.stitch(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_cluster_rows_matches_loop(spark):
+    rng = random.Random(3)
+    rows = [(p, i, round(rng.uniform(0, 60), 1)) for p in range(80) for i in range(rng.randint(1, 12))]
+    want = {}
+    for p in range(80):
+        cluster, members = -1, []
+        for _, i, y in sorted((r for r in rows if r[0] == p), key=lambda r: (r[2], r[1])):
+            if members and abs(y - sum(members) / len(members)) <= 4:
+                members.append(y)
+            else:
+                cluster, members = cluster + 1, [y]
+            want[p, i] = cluster
+    df = spark.createDataFrame(rows, "p int, i int, y double")
+    got = layout.cluster_rows(df, ["p"], "y", "i", F.lit(4.0)).collect()
+    assert {(r.p, r.i): r.cluster for r in got} == want
+
+
+def word(no, x, y, text, n, page=1):
+    return ("d", page, float(x), float(y), float(x + 30), float(y + 10), text, n)
+
+
+def test_textblocks(spark):
+    rows = [word(1, x, y, s, i) for i, (x, y, s) in enumerate([(60, 100, "015"), (180, 101, "hydraulic"), (220, 100, "jack"), (60, 130, "064"), (180, 130, "support"), (180, 150, "for"), (210, 150, "jack"), (18, 170, "Bolts"), (60, 170, "111"), (180, 170, "Sealing"), (230, 171, "ring"), (60, 200, "9")])]
+    df = spark.createDataFrame(rows, "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, text string, word_no int")
+    got = {}
+    for r in layout.textblock_cells(df).collect():
+        got.setdefault(r.row_no, {})[r.raw_header] = r.value
+    assert [(v["No."], v["Description"]) for _, v in sorted(got.items())] == [("015", "hydraulic jack"), ("064", "support for jack"), ("111", "Sealing ring")]
+    assert layout.item_anchors(df).first().n == 4
+
+
+def box(x, y, text, score=0.95):
+    return ([(x, y), (x + 40, y), (x + 40, y + 14), (x, y + 14)], text, score)
+
+
+def test_ocr_tables():
+    base = [box(50, 10, "No."), box(200, 10, "NAME"), box(50, 40, "1"), box(200, 40, "Pump"), box(50, 70, "2"), box(200, 70, "Valve")]
+    assert ocr_tables.table_of(base, 500) == (["No.", "NAME"], [["1", "Pump"], ["2", "Valve"]])
+    assert ocr_tables.table_of(base[:5] + [box(200, 70, "noise", 0.1)], 500)[1] == [["1", "Pump"], ["2", ""]]
+    assert ocr_tables.table_of(base[:1], 500) == ([], [])
+    assert ocr_tables.table_of(base + [box(200, 100, "CAUTION hot"), box(50, 900, "footer")], 500)[1] == [["1", "Pump"], ["2", "Valve"]]
+    apart = [box(50, 10, "No."), box(650, 10, "QTY"), box(50, 40, "1"), box(350, 40, "FLANGE"), box(650, 40, "4"), box(50, 70, "2"), box(350, 70, "COVER"), box(650, 70, "5")]
+    assert ocr_tables.table_of(apart, 900)[0] == ["No.", "Description", "QTY"]
+    split = [box(50, 10, "No."), box(200, 10, "NAME"), box(300, 10, "OF"), box(400, 10, "PART"), box(50, 40, "1"), box(200, 40, "Pump")]
+    assert ocr_tables.table_of(split, 500)[0] == ["No.", "NAME OF PART"]
+    above = [box(50, 10, "1"), box(200, 10, "Pump"), box(50, 40, "2"), box(200, 40, "Valve"), box(50, 70, "No."), box(200, 70, "NAME"), box(50, 100, "weight"), box(200, 100, "kilo")]
+    assert ocr_tables.table_of(above, 500)[1] == [["2", "Valve"], ["1", "Pump"]]
+
+
+def test_captions(spark):
+    pages_ = [["Plate", "Piston Cooling", "1072-1400-0002"], ["Piston Cooling", "1072-1400-0002"], ["0570-0100-0002", "x", "Drawing:", "Cover", "12", "0571-0100-0002"]]
+    rows = [("d", p, i, None, s) for p, ls in enumerate(pages_) for i, s in enumerate(ls)]
+    got = {r.page_no: (r.spare_group, r.drawing_no) for r in context.plate_captions(spark.createDataFrame(rows, "doc_id string, page_no int, line_no int, band string, text string"), CONFIG).collect()}
+    assert got == {0: ("Piston Cooling", "1072-1400-0002"), 1: ("", "1072-1400-0002"), 2: ("Cover", "0571-0100-0002")}
+
+
+def test_titles(spark):
+    assert one(spark, context.is_title, "End-Chock Bolts Tools", "Cylinder Cover", "Plate", "12-34", "2010-01-01", "ACME Co., Ltd", "ab", "- en") == [True, True] + [False] * 6
+
+
+def cells_of(rows):
+    return [("m", 1, i, j, h, v) for i, r in enumerate(rows) for j, (h, v) in enumerate(r.items())]
+
+
+def test_plan(spark, tmp_path):
+    rows = [{"Item No.": "1", "Description": "gasket EPDM", "Part No.": "P-1", "Odd": "x"}, {"Item No.": "", "Description": "with seal", "Part No.": "", "Odd": ""}, {"Item No.": "2", "Description": "bolt 30 mm\x07", "Part No.": "", "Odd": ""}, {"Item No.": "", "Description": "(2)", "Part No.": "", "Odd": ""}]
+    cells = spark.createDataFrame(cells_of(rows[:3]), CELLS)
+    got = process_cells(cells, CONFIG)
+    main = [(r.part_name, r.drawing_pos_no, r.text, r.row_index) for r in got.main.orderBy("row_index").collect()]
+    assert main == [("Gasket Epdm Matl. EPDM With Seal", "1", "", 0), ("Bolt", "2", "L= 30Mm", 1)]
+    assert [r.value for r in got.unmapped.collect()] == ["x"] and got.failed.count() == 1
+    book = sinks.write_workbook(sinks.free_path(str(tmp_path / "o.xlsx")), {"Spare Parts": sinks.display(got.main, transform.columns(CONFIG)), "Unmapped (review)": got.unmapped})
+    with zipfile.ZipFile(book) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert "ClassificationNo." in sheet and "L= 30Mm" in sheet
+    sinks.write_qc_report(got.main, str(tmp_path / "q.csv"), ["row_index"])
+    report = (tmp_path / "q.csv").read_bytes()
+    assert report.startswith(b"\xef\xbb\xbf,") and report.count(b"\n") == 2
+    log = spark.sql("SELECT timestamp '2024-01-02 03:04:05' AS ts, 'STARTED' AS status, '/a/b.pdf' AS file, 0L AS rows")
+    sinks.append_log(log, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).first()[0] == "[2024-01-02 03:04:05] | [Status: STARTED] | [b.pdf] | [Rows Processed: 0]"
+
+
+def test_empty_plan(spark):
+    got = process_cells(spark.createDataFrame([], CELLS), CONFIG)
+    assert got.main.count() == 0 and [c for c in got.main.columns if c not in ("doc_id", "page_no", "row_no", "row_index")] == list(transform.columns(CONFIG).values())
+
+
+def test_words_plan(spark):
+    words = spark.createDataFrame([word(1, x, y, s, i) for i, (x, y, s) in enumerate([(60, 100, "1"), (180, 100, "pump"), (60, 130, "2"), (180, 130, "valve"), (60, 160, "3")])], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, text string, word_no int")
+    lines = spark.createDataFrame([("d", 1, 0, "top", "ACME Co., Ltd"), ("d", 1, 1, None, "Plate"), ("d", 1, 2, None, "Pump Room"), ("d", 1, 3, "bottom", "1072-1400-0002")], "doc_id string, page_no int, line_no int, band string, text string")
+    page = spark.createDataFrame([("d", 1, "long enough text of a page"), ("d", 2, " "), ("d", 3, "see the Service Interval table")], "doc_id string, page_no int, text string")
+    got = process_words(words, lines, page, CONFIG)
+    assert [(r.part_name, r.manufacturer, r.spare_group, r.drawing_no, r.ref_page) for r in got.main.orderBy("row_index").collect()] == [("Pump", "ACME Co., Ltd", "Pump Room", "1072-1400-0002", "1"), ("Valve", "ACME Co., Ltd", "Pump Room", "1072-1400-0002", "1")]
+    assert [(r.seen, r.got) for r in got.lost.collect()] == [(3, 2)]
+    assert sorted((r.page_no, r.status) for r in got.status.collect()) == [(2, "scanned"), (3, "skipped")]
+
+
+def test_language_flag(spark):
+    df = spark.createDataFrame([("Dichtung fuer Pumpe", ""), ("Valve", "x"), ("123456789012 ab", "")], "part_name string, internal_remark string")
+    got = [r.internal_remark for r in qc.flag_language(df, lambda s: "de").collect()]
+    assert got == ["[FOREIGN LANGUAGE - VERIFY]", "x", ""]
+    assert qc.flag_language(df, None) is df
+
+
+def test_pdf_source_needs_a_decoder(spark):
+    if pages.decoder() is None:
+        with pytest.raises(RuntimeError, match="Cannot open PDF"):
+            pages.PdfReader({"path": "x.pdf"}).partitions()
+    assert pages.ocr_boxes(spark.createDataFrame([], "doc_id string"), None).count() == 0
+
+
+def test_watch(spark, tmp_path):
+    spark.createDataFrame(cells_of([{"Item No.": "1", "Description": "pump", "Part No.": "P"}]), CELLS).write.parquet(str(tmp_path / "in"))
+    seen = []
+    watch(spark, str(tmp_path / "in"), CONFIG, lambda r, n: seen.append((n, r.main.count())), str(tmp_path / "cp")).awaitTermination(60)
+    assert seen == [(0, 1)]
