@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import any_contains, letters, strip
+from tabulon.functions.text import any_contains, strip
 from tabulon.sources import fixed_values as fixed
 from tabulon.sources.config import Config
 
@@ -42,14 +45,16 @@ def first_maker(lines: DataFrame, by: list[str] = PAGE) -> DataFrame:
 
 
 def is_title(line: Column) -> Column:
-    low = F.lower(strip(line))
+    low = F.lower(line)
+    some_letters = line.rlike(r"\p{L}[^\p{L}]*\p{L}[^\p{L}]*\p{L}")
     bad = line.rlike(fixed.CODE_LINE_PATTERN) | line.rlike("(?i)" + fixed.DATE_LINE_PATTERN) | any_contains(low, fixed.TITLE_STOPWORDS) | any_contains(low, fixed.MAKER_HINTS)
-    return (F.length(low) >= 3) & ~bad & (letters(low) >= 3)
+    return (F.length(strip(line)) >= 3) & some_letters & ~bad
 
 
 def is_locator(line: Column) -> Column:
     low = F.lower(strip(line))
-    return F.exists(F.array(*map(F.lit, fixed.TITLE_LOCATORS)), lambda x: (low == x) | F.startswith(low, F.concat(x, F.lit(" "))) | (low == F.concat(x, F.lit(":"))))
+    exact = [w + end for w in fixed.TITLE_LOCATORS for end in ("", ":")]
+    return low.isin(exact) | reduce(or_, (F.startswith(low, F.lit(w + " ")) for w in fixed.TITLE_LOCATORS))
 
 
 def plate_captions(lines: DataFrame, config: Config, by: list[str] = PAGE) -> DataFrame:
