@@ -8,8 +8,8 @@ There are two forms. ``encode_words`` is the named one: higher-order functions f
 byte arrays of distinct words, with the ranks as a literal (an array of small maps, dealt by CRC-32,
 since a map literal is searched from end to end); ``decode_words`` concatenates binary pieces.
 ``encode`` is what whole corpora use: the same fold in Python over the distinct words that a task
-meets, since bringing the tokens of distinct words back to 35 million occurrences per 0.1 GB takes a
-join whose shuffle exceeds the limits (README). It needs no shuffle at all.
+meets, since bringing the tokens of distinct words back to some 31 million occurrences per 0.1 GB takes
+a join whose shuffle exceeds the limits (README). It needs no shuffle at all.
 
 Ranks are read on the driver and have the size of the vocabulary file, a parameter.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -143,8 +144,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
 
 def rank_lookup(ranks: dict[bytes, int], parts: int = 4096) -> tuple[Column, int]:
     """A literal array of maps from piece to rank, dealt by CRC-32."""
-    import zlib
-
     dealt: list[dict[bytes, int]] = [{} for _ in range(parts)]
     for piece, rank in ranks.items():
         dealt[zlib.crc32(piece) % parts][piece] = rank
