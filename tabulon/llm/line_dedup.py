@@ -49,20 +49,20 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, first and last line (places in the array), fingerprint and hash of each window."""
-    size = F.size("lines")
+    """doc, first and last line (places in the array), fingerprint and hash of each window. They are
+    made within the array, so that no row of a window carries its text's lines."""
     ends = F.transform(
-        F.sequence(F.lit(1), size),
+        F.sequence(F.lit(1), F.size("lines")),
         lambda i: F.aggregate(
             F.slice("lines", i, F.lit(min_words)),
-            F.struct(F.lit(0).alias("words"), F.lit(0).alias("count")),
-            lambda acc, x: F.when(acc["words"] < min_words, F.struct((acc["words"] + x["w"]).alias("words"), (acc["count"] + 1).alias("count"))).otherwise(acc),
+            F.struct(i.alias("first"), F.lit(0).alias("words"), F.lit(0).alias("count")),
+            lambda acc, x: F.when(acc["words"] < min_words, F.struct(acc["first"].alias("first"), (acc["words"] + x["w"]).alias("words"), (acc["count"] + 1).alias("count"))).otherwise(acc),
         ),
     )
-    rows = found.select("doc", "lines", F.posexplode(ends).alias("at", "end")).filter(F.col("end.words") >= min_words)
-    run = F.slice("lines", F.col("at") + 1, F.col("end.count"))
-    least = F.array_min(F.transform(run, lambda x: x["h"]))
-    return rows.select("doc", (F.col("at") + 1).alias("first"), (F.col("at") + F.col("end.count")).alias("last"), least.alias("fingerprint"), F.xxhash64(F.transform(run, lambda x: x["h"])).alias("window"))
+    full = F.filter(ends, lambda e: e["words"] >= min_words)
+    hashes = F.transform(full, lambda e: F.struct(e["first"].alias("first"), (e["first"] + e["count"] - 1).alias("last"), F.transform(F.slice("lines", e["first"], e["count"]), lambda x: x["h"]).alias("run")))
+    each = F.transform(hashes, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.array_min(r["run"]).alias("fingerprint"), F.xxhash64(r["run"]).alias("window")))
+    return found.select("doc", F.inline(each))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
