@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tabulon.sources import fixed_values as fixed
 from tabulon.sources.config import norm
 
 SCHEMA = "doc_id string, page_no int, row_no int, col_pos int, raw_header string, value string"
+#: Cells of an output batch.
+OUT = 10_000
 
 
 @dataclass
@@ -180,14 +185,29 @@ def _rescue(names: list[str], records: list[list[str]]) -> list[str]:
 
 def ocr_cells(boxes: DataFrame) -> DataFrame:
     """Cells of the tables in ocr_boxes(doc_id, page_no, box_no, page_w, box array<struct<x,y>>, text,
-    score)."""
-
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("box_no")
-        found = [([(p["x"], p["y"]) for p in b], t, None if pd.isna(s) else s) for b, t, s in zip(page["box"], page["text"], page["score"])]
-        names, records = table_of(found, float(page["page_w"].iloc[0]))
-        doc, no = page["doc_id"].iloc[0], int(page["page_no"].iloc[0])
-        rows = [(doc, no, r, c, n, v) for r, record in enumerate(records) for c, (n, v) in enumerate(zip(names, record))]
-        return pd.DataFrame(rows, columns=["doc_id", "page_no", "row_no", "col_pos", "raw_header", "value"])
-
-    return boxes.groupBy("doc_id", "page_no").applyInPandas(one, SCHEMA)
+    score). Pages are dealt out and sorted, and a task streams them: it holds one page at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_no", "page_w", "box", "text", "score")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (doc, no), page in groupby(rows(batches), lambda r: r[:2]):
+            listed = list(page)
+            found = [([(p["x"], p["y"]) for p in b], t, None if s is None or s != s else s) for _, _, _, b, t, s in listed]
+            names, records = table_of(found, listed[0][2])
+            out += [(doc, no, r, c, n, v) for r, record in enumerate(records) for c, (n, v) in enumerate(zip(names, record))]
+            if len(out) >= OUT:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    dealt = boxes.select("doc_id", "page_no", "box_no", F.col("page_w").cast("double"), "box", "text", F.col("score").cast("double"))
+    return dealt.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "box_no").mapInArrow(scan, SCHEMA)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
