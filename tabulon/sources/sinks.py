@@ -78,15 +78,16 @@ def _writable(path: str) -> bool:
         return False
 
 
-def write_qc_report(parts: DataFrame, path: str, order: list[str]) -> None:
-    """Failing rows with their index as CSV; the index column has no name, the file begins with a BOM."""
+def write_qc_report(parts: DataFrame, path: str, order: list[str], names: dict[str, str] | None = None) -> None:
+    """Failing rows with their index as CSV; the index column has no name, the file begins with a BOM.
+    ``names``: the columns by the name shown (all by their own if None)."""
     rows = qc_failed(parts).orderBy(*order)
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f)
-        names = [c for c in parts.columns if c != "row_index"]
+        names = {c: c for c in parts.columns if c != "row_index"} if names is None else names
         w.writerow(["", *names])
         for r in rows.toLocalIterator():
-            w.writerow([r["row_index"], *[r[c] for c in names]])
+            w.writerow([r["row_index"], *[r[c] for c in names.values()]])
 
 
 def append_log(log: DataFrame, path: str) -> None:
