@@ -262,6 +262,18 @@ def test_join_cases(spark, docs, empty):
     assert len(left) == len(set(left)) and 6 in left and 7 not in left and 4 in left and 5 not in left and {0, 1, 2} <= set(left)
 
 
+def test_join_stage_tells_rows_apart(spark):
+    rng = random.Random(11)
+    a, b, c, d, e, f, g = (prose(rng, 40) for _ in range(7))
+    near = lambda x: " ".join(x.split()[:-1] + ["z"])
+    rows = [(None, a), (None, b), (1, c), (1, d), (1, near(d)), (None, near(c)), (None, e), (None, near(e)), (None, e), (2, f), (2, f), (3, f), (None, None), (None, ""), (None, " "), (4, g), (None, g)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in ngram_join.stage(spark, docs, "").collect()]
+    texts = [t for _, t in got]
+    assert {(None, a), (None, b), (1, c), (2, f), (4, g)} <= set(got) and texts.count(None) == texts.count("") == texts.count(" ") == 1
+    assert sum(t in (d, near(d)) for t in texts) == 1 and sum(t in (e, near(e)) for t in texts) == 1 and len(got) == 10
+
+
 def test_tree_loses_no_link():
     rng = np.random.default_rng(2)
     pool = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
