@@ -50,9 +50,10 @@ def block_of(doc_id: Column, blocks: int) -> Column:
     return F.conv(F.substring(_digest(doc_id), 1, 8), 16, 10).cast("long") % blocks
 
 
-def exponent(totals: DataFrame, budget: int, entropy: float | None, repeats: float | None) -> float:
+def exponent(totals: DataFrame, budget: int | None, entropy: float | None, repeats: float | None) -> float:
     """The smallest exponent in [0, 1] that meets the targets, by bisection. ``totals``: ln_p and
-    tokens of each source."""
+    tokens of each source. Without a budget, it follows the weights: the smallest that gives every
+    source all its tokens once; then repetition can always be met by an exponent of 1."""
     low, width, left = 0.0, 1.0, HALVINGS
     n = totals.count()
     while left > 0:
@@ -60,11 +61,12 @@ def exponent(totals: DataFrame, budget: int, entropy: float | None, repeats: flo
         points = [low + width * i / 2**steps for i in range(1, 2**steps)]
         a = F.explode(F.array(*map(F.lit, points))).alias("a")
         weighed = totals.select("ln_p", "tokens", a).withColumn("q", F.exp(F.col("a") * F.col("ln_p")))
-        sums = weighed.groupBy("a").agg(F.sum("q").alias("z"), F.sum(F.col("q") * F.col("a") * F.col("ln_p")).alias("e"), F.max(F.col("q") / F.col("tokens")).alias("r"))
+        sums = weighed.groupBy("a").agg(F.sum("q").alias("z"), F.sum(F.col("q") * F.col("a") * F.col("ln_p")).alias("e"), F.max(F.col("q") / F.col("tokens")).alias("r"), F.max(F.col("tokens") / F.col("q")).alias("c"))
         met = {}
         for row in sums.collect():  # 63 rows
             h = math.log(row["z"]) - row["e"] / row["z"]
-            met[row["a"]] = (entropy is None or h <= entropy * math.log(n)) and (repeats is None or row["r"] / row["z"] * budget <= repeats)
+            most = row["r"] * row["c"] if budget is None else row["r"] / row["z"] * budget
+            met[row["a"]] = (entropy is None or h <= entropy * math.log(n)) and (repeats is None or most <= repeats)
         # the halvings that these points make possible
         for _ in range(steps):
             width /= 2
@@ -82,10 +84,7 @@ def quotas(totals: DataFrame, budget: int | None, entropy: float | None, repeats
     if whole is None:
         return known.select("source", "tokens", F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"))
     shares = known.withColumn("ln_p", F.log(F.col("tokens") / F.lit(float(whole))))
-    if budget is None:
-        a = _covering_exponent(shares, entropy, repeats)
-    else:
-        a = exponent(shares, budget, entropy, repeats)
+    a = exponent(shares, budget, entropy, repeats)
     powered = shares.withColumn("q", F.exp(F.lit(a) * F.col("ln_p")))
     z, r = powered.agg(F.sum("q"), F.max(F.col("tokens") / F.col("q"))).first()
     budget = math.ceil(r * z) if budget is None else budget
@@ -94,18 +93,6 @@ def quotas(totals: DataFrame, budget: int | None, entropy: float | None, repeats
     return powered.select("source", "tokens", weight.alias("weight"), quota.alias("quota"))
 
 
-def _covering_exponent(shares: DataFrame, entropy: float | None, repeats: float | None) -> float:
-    """As ``exponent``, where the budget follows the weights: the largest source once. The least
-    repeated source is then the largest and the most repeated the smallest one."""
-    a = exponent(shares, 1, entropy, None) if entropy is not None else 0.0
-    if repeats is not None:
-        big, small = shares.agg(F.max("ln_p"), F.min("ln_p")).first()
-        if big > small:
-            # repeats of the smallest: (big / small)^(1 - a)
-            a = max(a, 1 - math.log(repeats) / (big - small))
-    return min(max(a, 0.0), 1.0)
-
-
 def schedule(docs: DataFrame, budget: int | None = None, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, blocks: int = BLOCKS) -> DataFrame:
     """Each scheduled use of a row of ``docs`` (doc_id, source, text and others), with n_tokens,
     epoch and start_token, the tokens of its source that come before it. ``budget`` is in tokens."""

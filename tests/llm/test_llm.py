@@ -216,6 +216,14 @@ def test_mixing(spark, docs, empty):
     assert abs((w / w.sum() * 100 / [70, 20, 10]).max() - 2) < 1e-9
 
 
+def test_mixing_bisects_without_budget(spark):
+    shares = [0.7, 0.2, 0.1]
+    totals = spark.createDataFrame([(float(np.log(p)), int(100 * p + 0.5)) for p in shares], "ln_p double, tokens bigint")
+    # the largest source once, the smallest twice: (0.7 / 0.1)^(1 - a) = 2
+    assert abs(mixing.exponent(totals, None, None, 2.0) - (1 - np.log(2) / np.log(7))) < 1e-9
+    assert abs(mixing.exponent(totals, None, 0.9, 50.0) - mixing.exponent(totals, 100, 0.9, None)) < 1e-9
+
+
 # op7
 
 
