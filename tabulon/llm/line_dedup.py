@@ -4,9 +4,12 @@ Lines are the parts of a text between line feeds; those without a word are passe
 line on, a window is the shortest run of lines with at least ``MIN_WORDS`` words; the line with the
 smallest hash in it (the rightmost of equal ones) is its fingerprint. A run of lines with that many
 words that two places share holds the same window in both, so it has the same fingerprint: that is
-the guarantee. Windows are joined with the first place (by doc_id, then line) of the same window
-under the same fingerprint, each match is extended both ways as far as the lines agree, and the
-runs at the later places, merged where they overlap, are deleted. The first place keeps its lines.
+the guarantee. A window can be a repeat only if its fingerprint has two places or more, a place being
+a text and a line in it, and only such windows go on. They are joined with the first place (by doc_id,
+then line) of the same window under the same fingerprint: the first place of a fingerprint alone may
+have other lines around it, which would lose repeats, and all pairs of its places would be too many.
+Each match is extended both ways as far as the lines agree, and the runs at the later places, merged
+where they overlap, are deleted. The first place keeps its lines.
 
 Each window is compared with the first one of its kind only, so a line or passage that a third of
 all documents share gives one row per occurrence, never a pair of occurrences. Texts move once, for
@@ -49,8 +52,8 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc, first and last line (places in the array), fingerprint and hash of each window. They are
-    made within the array, so that no row of a window carries its text's lines."""
+    """doc, first and last line (places in the array), fingerprint, its line ``at`` and hash of each
+    window. They are made within the array, so that no row of a window carries its text's lines."""
     ends = F.transform(
         F.sequence(F.lit(1), F.size("lines")),
         lambda i: F.aggregate(
@@ -61,14 +64,23 @@ def windows(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     full = F.filter(ends, lambda e: e["words"] >= min_words)
     hashes = F.transform(full, lambda e: F.struct(e["first"].alias("first"), (e["first"] + e["count"] - 1).alias("last"), F.transform(F.slice("lines", e["first"], e["count"]), lambda x: x["h"]).alias("run")))
-    each = F.transform(hashes, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.array_min(r["run"]).alias("fingerprint"), F.xxhash64(r["run"]).alias("window")))
+    rightmost = lambda r: (r["last"] + 1 - F.array_position(F.reverse(r["run"]), F.array_min(r["run"]))).cast("int")
+    each = F.transform(hashes, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last"), F.array_min(r["run"]).alias("fingerprint"), rightmost(r).alias("at"), F.xxhash64(r["run"]).alias("window")))
     return found.select("doc", F.inline(each))
 
 
+def shared(all_windows: DataFrame) -> DataFrame:
+    """The windows whose fingerprint has two places or more. A line that several windows of a text
+    choose is one place."""
+    at = F.xxhash64("doc", "at")
+    two = all_windows.groupBy("fingerprint").agg(F.min(at).alias("least"), F.max(at).alias("most")).filter("least <> most").select("fingerprint")
+    return all_windows.drop("at").join(two, "fingerprint", "left_semi")
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc and ``runs``: the ranges of line numbers to delete, disjoint and ascending."""
     found = cut(lines(docs))
-    all_windows = windows(found, min_words)
+    all_windows = cut(shared(windows(found, min_words)))
     place = F.struct("doc", "first", "last")
     origin = all_windows.groupBy("fingerprint", "window").agg(F.min(place).alias("origin"), F.count("*").alias("places")).filter("places > 1").select("fingerprint", "window", "origin")
     later = cut(all_windows.join(origin, ["fingerprint", "window"]).filter(place > F.col("origin")).select("doc", "first", "last", "origin"))

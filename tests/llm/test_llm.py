@@ -410,6 +410,23 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.stage(spark, docs, "").columns == docs.columns
 
 
+def test_line_dedup_goes_on_with_shared_fingerprints(spark):
+    rng = random.Random(8)
+    line, common = prose(rng, 30), [prose(rng, 9) for _ in range(4)]
+    texts = ["\n".join(prose(rng, 9) for _ in range(12)), "\n".join([line] * 3), "\n".join([prose(rng, 9), *common]), "\n".join([*common, prose(rng, 9)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = line_dedup.lines(df)
+    hashes = {r.doc.id: [x.h for x in r.lines] for r in found.collect()}
+    made, places = line_dedup.windows(found).collect(), {}
+    for r in made:
+        run = hashes[r.doc.id][r["first"] - 1 : r.last]
+        assert r.fingerprint == min(run) and r.at == max(i for i, h in enumerate(run, r["first"]) if h == min(run))
+        places.setdefault(r.fingerprint, set()).add((r.doc.id, r.at))
+    want = sorted((r.doc.id, r["first"]) for r in made if len(places[r.fingerprint]) > 1)
+    got = sorted((r.doc.id, r["first"]) for r in line_dedup.shared(line_dedup.windows(found)).collect())
+    assert got == want and {d for d, _ in got} == {1, 2, 3} and {0, 1, 2, 3} == {r.doc.id for r in made}
+
+
 # pipeline
 
 
