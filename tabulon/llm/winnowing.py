@@ -3,8 +3,12 @@
 The rolling hashes of all ``K``-grams of code points are computed by doubling; in each window of
 ``WINDOW`` consecutive grams the smallest hash is chosen, the rightmost of equal ones, and kept with
 its position. Any two texts that share ``K + WINDOW - 1`` code points in a row share a chosen gram,
-and the positions say where. A text with fewer grams than a window has one window; a text shorter
-than ``K`` is one gram. Hashes have 32 bits and are fixed, so equal texts have equal fingerprints.
+and the positions say where. A text of fewer than ``SHARE * WINDOW`` grams has windows of a ``SHARE``-th
+of its grams, so that it keeps several marks too. That loses nothing of the guarantee: what is
+smallest in a window is so in the shorter windows within it. A text with fewer grams than a window
+has one window; a text shorter than ``K`` is one gram, so any edit of it leaves a likeness of 0, as
+does an edit after which no ``K`` code points in a row are left. Hashes have 32 bits and are fixed,
+so equal texts have equal fingerprints.
 
 A fingerprint is written ``hash:position`` (hex, decimal), joined by spaces; the likeness of two is
 the Jaccard similarity of their sets of hashes (1 for two empty ones).
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 from tabulon.llm.session import arrow, partitions, table
 from tabulon.llm.textscan import ODD, mix
 
-K, WINDOW = 16, 64
+K, WINDOW, SHARE = 16, 64, 8
 PIECE = 1 << 18
 
 
@@ -45,8 +49,9 @@ def _grams(codes: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def select(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of the chosen grams, by position."""
+def select(text: str, k: int = K, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) and positions of the chosen grams, by position. Without ``window``, it is
+    ``WINDOW`` or, of a short text, less."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(codes):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -54,7 +59,7 @@ def select(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
         whole = mix(np.array([sum((int(c) + 1) * pow(int(ODD), i + 1, 2**64) for i, c in enumerate(codes)) % 2**64], np.uint64))
         return (whole >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
     n = len(codes) - k + 1
-    window = min(window, n)
+    window = min(window, n) if window else max(1, min(WINDOW, n // SHARE))
     hashes, places = [], []
     for lo in range(0, n - window + 1, PIECE):
         some = codes[lo : min(lo + PIECE + window - 1, n) + k - 1]
@@ -85,7 +90,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return common / total if total else 1.0
 
 
-def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, window: int | None = None) -> DataFrame:
     """doc_id and fingerprint of every row: one scan, no shuffle."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +122,7 @@ def ranges(docs: DataFrame, n: int) -> DataFrame:
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def compare_neighbours(docs: DataFrame, n: int, k: int = K, window: int = WINDOW) -> DataFrame:
+def compare_neighbours(docs: DataFrame, n: int, k: int = K, window: int | None = None) -> DataFrame:
     """For every document: its fingerprint, that of its edited text (its last quarter replaced by
     the beginning of the next document), and its likeness to the edited text and to the next."""
 

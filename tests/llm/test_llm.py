@@ -158,6 +158,21 @@ def test_winnowing():
     assert winnowing.likeness(h, h) == 1 and winnowing.likeness(h[:0], h[:0]) == 1 and winnowing.likeness(h, h[:0]) == 0
 
 
+def test_short_texts_keep_several_marks():
+    rng = random.Random(6)
+    for n in (22, 30, 40, 79, 149, 300, 600):
+        text, other = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 4] + other[: n // 4]
+        assert winnowing.likeness(winnowing.select(text)[0], winnowing.select(edited)[0]) > 0
+        assert len(winnowing.select(text)[0]) >= min(7, n - winnowing.K + 1)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    for size in (79, 150, 400):  # a shared run of 79 code points, whatever windows the two texts have
+        for at in range(0, 4500, 90):
+            short = long[at : at + 79] + "".join(rng.choice("xyz") for _ in range(size - 79))
+            assert set(winnowing.select(long)[0].tolist()) & set(winnowing.select(short)[0].tolist())
+    assert winnowing.select(long)[1].tolist() == winnowing.select(long, winnowing.K, winnowing.WINDOW)[1].tolist()
+
+
 def test_neighbours(spark, docs, empty):
     for n in (1, 3):
         got = winnowing.compare_neighbours(docs, n).collect()
