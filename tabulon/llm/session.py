@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,8 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that
-    is unset (tests on one machine), a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
+    session on one machine (tests) gets a temporary folder; on a cluster, whose executors can't read
+    such a folder, this raises."""
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(set_dir)
         return set_dir
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tabulon-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -39,7 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     computes each row once.)"""
     path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table that ``cut`` returned, once nothing that is still to run reads it."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
