@@ -9,20 +9,23 @@ the smallest exponent that meets both targets given:
 
 Both quantities fall as ``a`` grows, except that repetition may be impossible to meet even at 1, when
 1 is taken. Then source s has a quota of ``floor(w_s * budget)`` tokens, realised by block
-permutations: its documents are dealt into ``blocks`` blocks by a digest of the doc_id; each epoch
-orders the blocks by a digest of epoch and block, and within a block documents are ordered by their
-digest. A document is scheduled in an epoch if fewer tokens than the quota come before it, so whole
+permutations: its documents are dealt into blocks by a digest of the doc_id (``BLOCKS`` or, of large
+corpora, twice as many and so on, until a block of a source that held everything would have no more
+than ``BLOCK_TOKENS`` tokens); each epoch orders the blocks by a digest of epoch and block, and within
+a block documents are ordered by their digest. A document is scheduled in an epoch if fewer tokens than the quota come before it, so whole
 epochs repeat every document and the last one is cut within a block.
 
 Prefix sums are made in two levels, over a source's blocks and within a block, so a source that holds
-a third of the rows is spread over its blocks. Rows move once, by source and block. The exponent is
-found in a few jobs over the table of source totals, which is never collected: each job tests the 63
+a third of the rows is spread over its blocks. Texts are scanned once to count their words; the counts
+are written as a table without texts, from which all totals come. Rows move once, by source and block,
+with their texts only if the schedule is to hold them. The exponent is found in a few jobs over the table of source totals, which is never collected: each job tests the 63
 points of six halvings. All in DataFrame functions.
 
 Defined cases: a null source is a source; null and empty texts have no tokens, and a source without
 tokens has no quota and is not scheduled; rows with equal doc_id are ordered by their tokens, and
-equal rows are scheduled each; columns named epoch, start_token or n_tokens are replaced, others
-passed on; an empty table gives an empty schedule.
+equal rows are scheduled each; a text of any length is one document, counted whole and never cut;
+columns named epoch, start_token or n_tokens are replaced, others passed on (those named like working
+columns too); an empty table gives an empty schedule.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm.session import cut, table
 
-BLOCKS, HALVINGS, SEED = 1024, 48, "mix"
+BLOCKS, BLOCK_TOKENS, HALVINGS, SEED = 1024, 1 << 24, 48, "mix"
 ENTROPY, REPEATS = 0.97, 4.0
 
 
@@ -93,12 +96,30 @@ def quotas(totals: DataFrame, budget: int | None, entropy: float | None, repeats
     return powered.select("source", "tokens", weight.alias("weight"), quota.alias("quota"))
 
 
-def schedule(docs: DataFrame, budget: int | None = None, entropy: float | None = ENTROPY, repeats: float | None = REPEATS, blocks: int = BLOCKS) -> DataFrame:
-    """Each scheduled use of a row of ``docs`` (doc_id, source, text and others), with n_tokens,
-    epoch and start_token, the tokens of its source that come before it. ``budget`` is in tokens."""
-    columns = [c for c in docs.columns if c not in ("n_tokens", "epoch", "start_token")]
-    rows = docs.select(*columns, n_words(F.col("text")).alias("n_tokens"), block_of(F.col("doc_id"), blocks).alias("__block"))
-    totals = cut(rows.groupBy("source", "__block").agg(F.sum("n_tokens").alias("tokens")))
+def counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with n_tokens, the words of its column text, which goes: of the texts nothing else is read."""
+    columns = [F.col(c) for c in docs.columns if c not in ("n_tokens", "text")]
+    return docs.select(*columns, n_words(F.col("text")).alias("n_tokens"))
+
+
+def n_blocks(tokens: int) -> int:
+    blocks = BLOCKS
+    while tokens > blocks * BLOCK_TOKENS:
+        blocks *= 2
+    return blocks
+
+
+def schedule(rows: DataFrame, counts: DataFrame, budget: int | None = None, entropy: float | None = ENTROPY, repeats: float | None = REPEATS) -> DataFrame:
+    """Each scheduled use of a row of ``rows`` (doc_id, source, n_tokens and others), with epoch and
+    start_token, the tokens of its source that come before it. ``counts`` holds doc_id, source and
+    n_tokens of the same rows, to be read several times. ``budget`` is in tokens; -1: as many as there are."""
+    columns = [c for c in rows.columns if c not in ("n_tokens", "epoch", "start_token")]
+    whole = counts.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
+    budget, blocks = whole if budget == -1 else budget, n_blocks(whole)
+    # working columns beside the row, so that no name clashes
+    held = F.struct(*columns).alias("__row") if columns else F.lit(None).alias("__row")
+    block = block_of(F.col("doc_id"), blocks).alias("__block")
+    totals = cut(counts.select("source", block, "n_tokens").groupBy("source", "__block").agg(F.sum("n_tokens").alias("tokens")))
     plan = quotas(totals.groupBy("source").agg(F.sum("tokens").alias("tokens")), budget, entropy, repeats)
     epochs = F.explode(F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("all_tokens")).cast("int") - 1)).alias("__epoch")
     named = plan.filter("quota > 0").select(F.col("source").alias("q_source"), F.col("tokens").alias("all_tokens"), "quota")
@@ -106,28 +127,30 @@ def schedule(docs: DataFrame, budget: int | None = None, entropy: float | None =
     order = Window.partitionBy("source", "__epoch").orderBy(_digest(F.col("__epoch"), F.col("__block")), "__block").rowsBetween(Window.unboundedPreceding, -1)
     begins = turns.withColumn("begin", F.col("__epoch") * F.col("all_tokens") + F.coalesce(F.sum("tokens").over(order), F.lit(0))).filter("begin < quota")
     begins = begins.groupBy("source", "__block").agg(F.collect_list(F.struct(F.col("__epoch").alias("epoch"), "begin")).alias("__begins"), F.first("quota").alias("__quota"))
-    begins = begins.select(F.col("source").alias("__source"), F.col("__block").alias("__b"), "__begins", "__quota")
-    inner = Window.partitionBy("source", "__block").orderBy(_digest(F.col("doc_id")), "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__before", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    joined = placed.join(begins, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__b")))
+    # keys without nulls, so that the join finds the rows where the window has put them
+    key = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"), F.col("source").isNull().alias("__none")]
+    begins = begins.select(*key, "__block", "__begins", "__quota")
+    placed = rows.select(held, *key, F.col("doc_id").alias("__id"), F.col("n_tokens").alias("__n"), block)
+    inner = Window.partitionBy("__source", "__none", "__block").orderBy(_digest(F.col("__id")), "__id", "__n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("__before", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
+    joined = placed.join(begins, ["__source", "__none", "__block"])
     used = F.filter(F.transform("__begins", lambda e: F.struct(e["epoch"].alias("epoch"), (e["begin"] + F.col("__before")).alias("start_token"))), lambda e: e["start_token"] < F.col("__quota"))
-    return joined.select(*columns, "n_tokens", F.explode(used).alias("__use")).select(*columns, "n_tokens", "__use.epoch", "__use.start_token")
-
-
-def total_tokens(docs: DataFrame) -> int:
-    return docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+    out = joined.select("__row", "__n", F.explode(used).alias("__use"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in columns], F.col("__n").alias("n_tokens"), "__use.epoch", "__use.start_token")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A schedule of as many tokens as there are: large sources lose some, small ones repeat."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return schedule(docs, total_tokens(docs)).drop("text")
+    counts = cut(counted(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return schedule(counts, counts, -1)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix with the smallest budget that uses every document at least once, and none more than
     twice: small sources are repeated, nothing is left out."""
-    return schedule(docs, None, entropy=None, repeats=2.0).select(*docs.columns)
+    counts = cut(counted(docs.select("doc_id", "source", "text")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("n_tokens"))
+    return schedule(rows, counts, None, entropy=None, repeats=2.0).select("row.*")
 
 
 #: The same rows in DuckDB: one bisection step a recursion.
