@@ -13,11 +13,13 @@ so equal texts have equal fingerprints.
 A fingerprint is written ``hash:position`` (hex, decimal), joined by spaces; the likeness of two is
 the Jaccard similarity of their sets of hashes (1 for two empty ones).
 
-For neighbours in ascending doc_id, rows are dealt by ranges of doc_id: the bounds are quantiles, as
-many as there are partitions; the first document of each range also goes to the range before it, so
-each task streams its documents in order and needs two at a time. The texts move once.
+For neighbours in ascending doc_id, rows are dealt by ranges of doc_id, a task for each: the bounds
+are quantiles, as many as there are partitions, and a row finds its range by halving. The first
+document of each range also goes to the range before it, so each task streams its documents in order
+and needs two at a time. The texts move once.
 
-Defined cases: a null text counts as empty, with an empty fingerprint; rows with one doc_id (a null
+Defined cases: a null text counts as empty, with an empty fingerprint; a text of any length is
+fingerprinted whole, in pieces of ``PIECE`` grams; rows with one doc_id (a null
 doc_id goes first) count as different documents, in the order of their texts; equal rows are
 documents each; other columns are not read; an empty table gives an empty result; a document alone
 is its own next one.
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.session import arrow, partitions, table
@@ -101,6 +103,22 @@ def fingerprints(docs: DataFrame, k: int = K, window: int | None = None) -> Data
     return arrow(docs.select("doc_id", "text"), scan, "doc_id bigint, fingerprint string")
 
 
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not above the key, by halving."""
+    if not bounds:
+        return F.lit(0)
+    listed = F.array(*map(F.lit, bounds))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        above = F.get(listed, middle) > key
+        low = F.when((acc["low"] >= acc["high"]) | above, acc["low"]).otherwise(middle + 1)
+        high = F.when((acc["low"] < acc["high"]) & above, middle).otherwise(acc["high"])
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high")), halve)["low"]
+
+
 def ranges(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, text and ``range``: rows of equal doc_id go to one of at most ``n`` ranges, and those
     with the first doc_id of a range (of the first range: for the last) to the range before as well,
@@ -108,8 +126,7 @@ def ranges(docs: DataFrame, n: int) -> DataFrame:
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bounds = sorted({int(x) for x in rows.stat.approxQuantile("key", [i / n for i in range(1, n)], 0.1 / n) or []}) if n > 1 else []
     # quantiles come as doubles, which round large ids; any bounds do, as long as all rows see the same
-    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("range", number)
+    rows = rows.withColumn("range", range_of(F.col("key"), bounds))
     firsts = sorted((r["range"], r["first"]) for r in rows.groupBy("range").agg(F.min("key").alias("first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
     pairs = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("ahead")))
@@ -146,7 +163,7 @@ def compare_neighbours(docs: DataFrame, n: int, k: int = K, window: int | None =
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return arrow(ranges(docs, n).repartition(n, "range").sortWithinPartitions("range", "ahead", "key", "text"), scan, SCHEMA)
+    return arrow(ranges(docs, n).repartitionById(n, "range").sortWithinPartitions("range", "ahead", "key", "text"), scan, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
