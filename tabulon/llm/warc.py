@@ -2,7 +2,9 @@
 
 Writing: each page becomes a record, each record a gzip member of its own. Of pages with equal
 payloads of at least ``SMALL`` bytes, the one with the smallest page_id becomes a ``response`` record
-and the others ``revisit`` records that refer to it. Tasks write archives of about ``ARCHIVE_BYTES``
+and the others ``revisit`` records that refer to it. Which they are is found from ids, digests and
+sizes alone; payloads move once, by page_id and digest, so copies of a page do not meet in a task, and
+those of revisits are not written. Tasks write archives of about ``ARCHIVE_BYTES``
 into the shared folder, under names that no other attempt uses, and return them in a manifest; only
 what the manifest lists is read, so a task that is run again leaves nothing wrong behind.
 
@@ -11,7 +13,7 @@ incrementally; Content-Length frames the block; block and payload digests are ve
 bounded by the longest record. A damaged archive raises ``ValueError`` with its name and offset.
 
 Defined cases: a null html is an empty payload; a null url gives a record without target URI, and
-control characters in a url are percent-encoded; rows with one page_id and equal payloads, where it
+control characters in a url are percent-encoded; a payload of any length is one record, whole; rows with one page_id and equal payloads, where it
 is the smallest, are all responses; a null page_id comes after all others; other columns are not
 written; an empty table gives no archives and no records.
 """
@@ -117,12 +119,17 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, size and refers_to (null for responses)."""
+    """page_id, url, html (null for revisits), digest, size and refers_to (null for responses)."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html").cast("long")})
-    first = rows.filter(F.col("size") >= SMALL).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "size", refers.alias("refers_to"))
+    digest, size = F.unhex(F.sha2(html, 256)).alias("digest"), F.octet_length(html).cast("long").alias("size")
+    key = [F.coalesce("page_id", F.lit(0)).alias("key"), F.col("page_id").isNull().alias("nameless")]
+    slim = pages.select("page_id", *key, digest, size).filter(F.col("size") >= SMALL)
+    # a written table, so that the optimiser can split the task of a frequent digest
+    first = cut(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1 AND first IS NOT NULL").drop("copies"))
+    revisits = slim.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "nameless", "digest", F.col("first").alias("refers_to")).distinct()
+    rows = pages.select("page_id", *key, "url", html.alias("html"), digest, size).join(revisits, ["key", "nameless", "digest"], "left")
+    own = F.when(F.col("refers_to").isNull(), F.col("html")).alias("html")
+    return rows.select("page_id", "url", own, F.lower(F.hex("digest")).alias("digest"), "size", "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
