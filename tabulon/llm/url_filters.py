@@ -9,7 +9,8 @@ match, and precedence picks the rule. All in DataFrame functions.
 Only suffixes with as many labels, and prefixes as long, as some rule has are made, so the number of
 expressions of a URL is bounded by the rules and not by its length. URLs are made distinct before
 they are expanded, so copies of one URL cost one row; the optimiser broadcasts the rules only when
-their known size is below its threshold, and otherwise splits skewed digests.
+their known size is below its threshold, and otherwise splits skewed digests. Null URLs, which no rule
+fits, are dealt out by the other columns in the last join.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and an empty path, and no rule
 fits it; of rules with equally long expressions the longer host goes first, then ``block`` before
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import table
+from tabulon.llm.session import cut, table
 
 PREFIX = 8
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -70,9 +71,12 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict of the column url."""
     host, path = host_and_path(F.col("url"))
-    found = fitting_rules(pages.select("url").distinct(), rules)
-    plain = pages.drop("host", "path", "rule", "verdict", "hit_url")
-    joined = plain.join(found, F.col("url") == F.col("hit_url"), "left").drop("hit_url")
+    # a written table, so that the optimiser can split the task of a frequent URL
+    found = cut(fitting_rules(pages.select("url").distinct(), rules))
+    plain = pages.drop("host", "path", "rule", "verdict", "hit_url", "hit_key")
+    # no URL that a rule fits is without "://"
+    plain = plain.withColumn("hit_key", F.coalesce("url", F.concat(F.lit("null "), F.xxhash64(*plain.columns).cast("string"))))
+    joined = plain.join(found, F.col("hit_key") == F.col("hit_url"), "left").drop("hit_url", "hit_key")
     return joined.withColumns({"host": host, "path": path, "verdict": F.coalesce("verdict", F.lit(default))})
 
 
