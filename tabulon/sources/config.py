@@ -6,6 +6,7 @@ import json
 import os
 import re
 import shutil
+import warnings
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ class Config:
     score_confident: float = fixed.SCORE_CONFIDENT
     plate_pattern: str = fixed.PLATE_PATTERN
     skip_markers: list[str] = field(default_factory=lambda: list(fixed.SKIP_MARKERS))
+    #: What a file held beyond these fields, by section ("" is the top); saved again, used by nothing.
+    extra: dict[str, dict] = field(default_factory=dict)
 
     def phrases(self) -> list[tuple[int, str, str]]:
         """(ordinal, target, phrase): schema names first, then aliases."""
@@ -61,24 +64,69 @@ class Config:
         return True
 
 
+def _field(name: str, value):
+    """The value as the field's type."""
+    default = getattr(Config(), name)
+    if isinstance(default, bool):
+        if not isinstance(value, bool):
+            raise TypeError(f"{name}: {value!r}")
+        return value
+    if isinstance(default, (int, float)):
+        return type(default)(value)
+    if not isinstance(value, type(default)):
+        raise TypeError(f"{name}: {value!r}")
+    return value
+
+
+def parse(found: dict) -> Config:
+    """A configuration as people have it: schema and aliases at the top, thresholds and lists under
+    ``rules`` and ``options``. Lists that it leaves out there are empty, all else has its default.
+    (Names of fields at the top are read too.) What is not known is kept in ``extra``."""
+    values, extra = {}, {}
+    for key, value in found.items():
+        names = fixed.CONFIG_NAMES.get(key)
+        if names is None and key in Config.__dataclass_fields__ and key != "extra":
+            values[key] = _field(key, value)
+        elif names is None:
+            extra.setdefault("", {})[key] = value
+        else:
+            for k, v in (value or {}).items():
+                if k in names:
+                    values[names[k]] = _field(names[k], v)
+                elif k not in fixed.CONFIG_UNUSED:
+                    extra.setdefault(key, {})[k] = v
+    for name in ("title_case_lower", "materials", "skip_markers"):
+        values.setdefault(name, [])
+    return Config(**values, extra=extra)
+
+
 def load(*paths: str) -> Config:
-    """The first readable file wins, fields that it lacks keep their defaults; a corrupt file is kept
-    as ``.bak`` and the next one tried; without any, the defaults."""
+    """The first readable file wins; a corrupt file is kept as ``.bak`` and the next one tried; without
+    any, the defaults. Keys that are not known are warned of."""
     for path in paths:
         if not os.path.exists(path):
             continue
         try:
             with open(path, encoding="utf-8") as f:
-                found = json.load(f)
-            return Config(**{k: v for k, v in found.items() if k in Config.__dataclass_fields__})
-        except (ValueError, TypeError):
+                config = parse(json.load(f))
+        except (ValueError, TypeError, AttributeError):
             shutil.copy(path, path + ".bak")
+            continue
+        unknown = [f"{section}.{k}".lstrip(".") for section, keys in config.extra.items() for k in keys]
+        if unknown:
+            warnings.warn(f"{path}: not known and not used: {', '.join(unknown)}", stacklevel=2)
+        return config
     return Config()
 
 
 def save(config: Config, path: str) -> None:
+    """In the shape that ``load`` reads, with what it did not know."""
+    values = asdict(config)
+    nested = {section: {k: values.pop(name) for k, name in names.items()} for section, names in fixed.CONFIG_NAMES.items()}
+    extra = values.pop("extra")
+    out = values | extra.get("", {}) | {section: keys | extra.get(section, {}) for section, keys in nested.items()}
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(asdict(config), f, indent=2, ensure_ascii=False)
+        json.dump(out, f, indent=2, ensure_ascii=False)
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

@@ -69,3 +69,33 @@ NAME_LIKE = ["desc", "name", "designation", "denomination", "nomenclature"]
 # --- fixed values: quality control ---
 FOREIGN_TAG = "[FOREIGN LANGUAGE - VERIFY]"
 FOREIGN_MIN_LENGTH = 12
+
+# --- fixed values: keys of a configuration file, by section, and the fields they set ---
+CONFIG_NAMES = {
+    "rules": {
+        "title_case_blacklist": "title_case_lower",
+        "recognized_materials": "materials",
+        "max_material_length_for_prefix": "max_material_length",
+        "dimension_regex": "dimension_pattern",
+        "fuzzy_threshold": "fuzzy_threshold",
+        "whole_word_materials": "whole_word_materials",
+    },
+    "options": {
+        "enable_language_detection": "language_detection",
+        "min_text_chars_per_page": "min_text_chars",
+        "enable_ocr": "enable_ocr",
+        "score_confident": "score_confident",
+        "plate_number_regex": "plate_pattern",
+        "skip_page_markers": "skip_markers",
+    },
+}
+#: A key that files have and that changes nothing.
+CONFIG_UNUSED = ["warn_on_scanned_pdf"]
+
+# --- fixed values: status texts of pages ---
+PAGE_STATUS = {
+    "scanned": "scanned/image-only (no text layer)",
+    "unread": "scanned, OCR found no text",
+    "skipped": "skipped (non-parts page)",
+    "empty": "no table detected",
+}

@@ -1,3 +1,4 @@
+import json
 import random
 import zipfile
 
@@ -87,6 +88,33 @@ def test_shadowed_and_teaching(tmp_path):
     assert conf.load(str(tmp_path / "bad.json")) == conf.Config() and (tmp_path / "bad.json.bak").exists()
 
 
+def test_config_file_in_sections(tmp_path):
+    """Changed rules and options arrive; what is not known is reported and kept."""
+    path = tmp_path / "config.json"
+    path.write_text(json.dumps({
+        "target_schema": ["Part Name", "Text"], "header_aliases": {"Text": ["Stuff"]}, "theme": "dark",
+        "rules": {"title_case_blacklist": ["zu"], "recognized_materials": ["Oak"], "max_material_length_for_prefix": 3, "dimension_regex": r"(\d+)\s*(?:ells)", "fuzzy_threshold": 50, "fuzy": 1},
+        "options": {"enable_language_detection": True, "warn_on_scanned_pdf": True, "min_text_chars_per_page": 999, "enable_ocr": False, "score_confident": 7, "plate_number_regex": "x+", "skip_page_markers": ["stop"]},
+    }))
+    with pytest.warns(UserWarning, match="theme, rules.fuzy"):
+        c = conf.load(str(path))
+    assert (c.target_schema, c.header_aliases, c.title_case_lower, c.materials) == (["Part Name", "Text"], {"Text": ["Stuff"]}, ["zu"], ["Oak"])
+    assert (c.max_material_length, c.dimension_pattern, c.fuzzy_threshold, c.language_detection, c.min_text_chars) == (3, r"(\d+)\s*(?:ells)", 50.0, True, 999)
+    assert (c.enable_ocr, c.score_confident, c.plate_pattern, c.skip_markers) == (False, 7.0, "x+", ["stop"])
+    conf.save(c, str(path))
+    again = json.loads(path.read_text())
+    assert again["theme"] == "dark" and again["rules"]["fuzy"] == 1 and again["rules"]["fuzzy_threshold"] == 50 and again["options"]["min_text_chars_per_page"] == 999
+    path.write_text(json.dumps({"target_schema": ["Text"], "rules": {"fuzzy_threshold": 90}}))
+    c = conf.load(str(path))
+    assert (c.materials, c.title_case_lower, c.skip_markers, c.max_material_length, c.min_text_chars) == ([], [], [], 15, 20)
+    for bad in ({"rules": []}, {"options": {"enable_ocr": "no"}}, {"rules": {"fuzzy_threshold": "high"}}, [], {"target_schema": "x"}):
+        path.write_text(json.dumps(bad) if bad != [] else "[1]")
+        if bad == {"rules": []}:
+            assert conf.load(str(path)).fuzzy_threshold == 88.0  # an empty section
+        else:
+            assert conf.load(str(path)) == conf.Config() and (tmp_path / "config.json.bak").exists()
+
+
 def test_page_specs():
     assert pages.parse_pages("1-5, 12, 20-22") == [(1, 5), (12, 12), (20, 22)]
     assert pages.parse_pages("100-", 103) == [(100, 103)] and pages.parse_pages("-3") == [(1, 3)]
