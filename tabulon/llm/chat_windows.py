@@ -8,17 +8,27 @@ kept whole). Each window repeats the leading system turn and, of the span before
 fit into ``history`` tokens. Only assistant turns that are new in a window are under its loss mask, so
 each is a target once.
 
+A long system turn takes its tokens from the history first, and never from the stride below half of
+the budget. So windows exceed the budget in two cases only: by what a turn has beyond the stride, and
+by what the system turn has beyond half of the budget. Without the second rule every turn would become
+a window, each with the whole system turn.
+
 The sums are made in two levels, over blocks of ``BLOCK`` turn numbers and over the blocks'
-sums, so that a conversation with very many turns is spread over tasks; windows are grouped
-by conversation and span.
+sums, so that a conversation with very many turns is spread over tasks. Texts move by conversation and
+block. A conversation within one block, as most are, needs no more than that: its windows, and their
+digests, are made where its turns are. One of several blocks is grouped again by span, and its repeated
+turns move once more; its digest alone needs all its windows in order, in one task, which streams them.
+All else that moves has no text. Keys are columns without nulls, so that each step finds the rows where
+the one before has put them.
 
 Template: ``### role``, a line feed, the text, a line feed, ``</turn>``, a line feed. In roles and
 texts a backslash, ``</turn>`` and ``###`` (in roles also a line feed) are escaped, which
 ``unescape`` undoes.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (null first), role and text,
-so repeated rows are turns each; a null conv_id is a conversation; other columns are dropped; an
-empty table gives no windows; a conversation of a system turn alone is one window.
+so repeated rows are turns each; a turn of any length stays whole; a null conv_id is a conversation;
+other columns are dropped; an empty table gives no windows; a conversation of a system turn alone is
+one window.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import arrow, cut, partitions, table
+from tabulon.llm.session import arrow, partitions, table
 
 BUDGET, HISTORY, BLOCK = 512, 128, 64
 CONTROL = [("\\", "\\\\"), ("</turn>", "\\E"), ("###", "\\H")]
@@ -54,42 +64,85 @@ def token_estimate(text: Column) -> Column:
     return (F.floor((F.octet_length(text) + 3) / 4) + 8).cast("long")
 
 
-def _positions(turns: DataFrame) -> DataFrame:
-    """Turns with their position, the tokens before (``begin``) and up to (``end``) their end, and the
-    conversation's number of turns."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumns({"tokens": token_estimate(F.col("text")), "block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))})
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    whole = Window.partitionBy("conv_id")
+#: Columns of a conversation's key: its id (0 if null) and whether it is null.
+KEY = ["c", "nameless"]
+
+
+def shares(system: Column, budget: int, history: int) -> tuple[Column, Column]:
+    """Tokens of a span and of its history, beside a system turn of so many tokens."""
+    floor = budget // 2
+    repeated = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget - floor) - system))
+    return F.greatest(F.lit(budget) - system - repeated, F.lit(floor)), repeated
+
+
+def _sums(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The turns by key and block; and of each block the tokens and turns before it, the number of its
+    conversation's blocks, and the text of the system turn that leads the conversation, if one does."""
+    rows = turns.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("nameless"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    named = F.col("turn").isNotNull().alias("named")
+    first = F.min(F.struct(named, "turn", "role"))
+    said = F.min(F.when(F.col("role") == "system", F.struct(named, "turn", "text")))
+    sums = rows.groupBy(*KEY, "block").agg(F.sum(token_estimate(F.col("text"))).alias("t"), F.count("*").alias("n"), first.alias("first"), said.alias("said"))
+    whole = Window.partitionBy(*KEY)
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("n").over(whole).alias("n_turns"))
-    inner = Window.partitionBy("conv_id", "block").orderBy(*order)
-    joined = rows.join(sums, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).drop("c", "b")
-    return joined.withColumns({"end": F.col("t0") + F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "pos": F.col("n0") + F.row_number().over(inner) - 1}).withColumn("begin", F.col("end") - F.col("tokens")).drop("t0", "n0", "block", "turn")
+    leads = (F.min("first").over(whole)["role"] == "system") & (F.sum("n").over(whole) > 1)
+    system = F.when(leads, F.min("said").over(whole)["text"])
+    return rows, sums.select(*KEY, "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.count("*").over(whole).alias("blocks"), system.alias("system"))
+
+
+def _placed(rows: DataFrame, sums: DataFrame, budget: int, history: int) -> DataFrame:
+    """Turns but for the leading system turn, with their window and ``turn``: position, tokens before
+    it and up to its end, role and text, and the system turn's text at the first of a block and window."""
+    inner = Window.partitionBy(*KEY, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    joined = rows.join(sums, [*KEY, "block"]).withColumn("tokens", token_estimate(F.col("text")))
+    joined = joined.withColumns({"end": F.col("t0") + F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "pos": F.col("n0") + F.row_number().over(inner) - 1})
+    joined = joined.withColumn("begin", F.col("end") - F.col("tokens")).filter("pos > 0 OR system IS NULL")
+    s_tokens = F.coalesce(token_estimate(F.col("system")), F.lit(0))
+    stride, _ = shares(s_tokens, budget, history)
+    from_, to = (F.floor((at - s_tokens) / stride) for at in (F.col("begin"), F.col("end") - 1))
+    # never null, and known to be: else the optimiser filters one use of the spans and makes them twice
+    body = joined.withColumn("window", F.coalesce((2 * from_ + (from_ != to).cast("long")).cast("long"), F.lit(0)))
+    new = ~F.lag("window").over(Window.partitionBy(*KEY, "block").orderBy("pos")).eqNullSafe(F.col("window"))
+    return body.select(*KEY, "block", "window", F.struct("pos", "begin", "end", "role", "text", F.when(new, F.col("system")).alias("system")).alias("turn"))
+
+
+def _spans(placed: DataFrame, by: list[str], budget: int, history: int) -> DataFrame:
+    """By span its turns, the system turn's text, and ``last``: the turns that the next span repeats."""
+    spans = placed.groupBy(*by, "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    spans = spans.withColumn("system", F.get(F.filter(F.transform("turns", lambda t: t["system"]), lambda x: x.isNotNull()), 0))
+    _, fits = shares(F.coalesce(token_estimate(F.col("system")), F.lit(0)), budget, history)
+    return spans.withColumn("last", F.filter("turns", lambda t: F.element_at("turns", -1)["end"] - t["begin"] <= fits))
+
+
+def _parts(turns: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
+    """Formatted windows of conversations within one block, each of them in one task, sorted by
+    conversation and window; and those of the others."""
+    rows, sums = _sums(turns)
+    whole = _spans(_placed(rows, sums.filter("blocks = 1"), budget, history), [*KEY, "block"], budget, history)
+    whole = whole.withColumn("tail", F.lag("last").over(Window.partitionBy(*KEY, "block").orderBy("window")))
+    placed = _placed(rows, sums.filter("blocks > 1"), budget, history)
+    spans = _spans(placed, KEY, budget, history)
+    after = Window.partitionBy(*KEY).orderBy("window")
+    follows = placed.select(*KEY, "window").distinct().withColumn("next", F.lead("window").over(after)).filter("next IS NOT NULL")
+    tails = spans.select(*KEY, "window", F.col("last").alias("tail")).filter(F.size("tail") > 0).join(follows, [*KEY, "window"]).select(*KEY, F.col("next").alias("window"), "tail")
+    return _formatted(whole).sortWithinPartitions("conv_id", "window"), _formatted(spans.join(tails, [*KEY, "window"], "left"))
 
 
 def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window (ascending), n_repeated (leading turns that are not new), text, and loss: the
     character ranges of the text under the loss mask."""
-    rows = cut(_positions(turns))
-    heads = (F.col("pos") == 0) & (F.col("role") == "system") & (F.col("n_turns") > 1)
-    system = rows.filter(heads).select(F.col("conv_id").alias("s_conv"), F.struct("role", "text").alias("system"), F.col("tokens").alias("s_tokens"))
-    body = rows.filter(~heads).join(system, F.col("conv_id").eqNullSafe(F.col("s_conv")), "left").withColumn("s_tokens", F.coalesce("s_tokens", F.lit(0)))
-    stride = F.greatest(F.lit(budget - history) - F.col("s_tokens"), F.lit(1))
-    first = F.floor((F.col("begin") - F.col("s_tokens")) / stride)
-    last = F.floor((F.col("end") - 1 - F.col("s_tokens")) / stride)
-    body = body.withColumn("window", (2 * first + (first != last).cast("long")).cast("long"))
-    spans = cut(body.groupBy("conv_id", "window").agg(F.first("system").alias("system"), F.max("end").alias("span_end"), F.sort_array(F.collect_list(F.struct("pos", "begin", "role", "text"))).alias("turns")))
-    after = Window.partitionBy("conv_id").orderBy("window")
-    follows = spans.select(F.col("conv_id").alias("f_conv"), F.col("window").alias("f_window"), F.lead("window").over(after).alias("next"))
-    tails = spans.join(follows, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("window") == F.col("f_window"))).filter("next IS NOT NULL")
-    tails = tails.select(F.col("conv_id").alias("t_conv"), "next", F.filter("turns", lambda t: F.col("span_end") - t["begin"] <= history).alias("tail"))
-    joined = spans.join(tails, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("window") == F.col("next")), "left")
+    whole, others = _parts(turns, budget, history)
+    return whole.unionByName(others)
+
+
+def _formatted(spans: DataFrame) -> DataFrame:
+    joined = spans.withColumn("conv_id", F.when(~F.col("nameless"), F.col("c")))
     turn = lambda t, new: F.struct(t["role"].alias("role"), t["text"].alias("text"), new.alias("new"))
     starts = F.element_at("turns", 1)["pos"] == 1
     none = F.filter(F.array(turn(F.element_at("turns", 1), F.lit(True))), lambda _: F.lit(False))
-    head = F.when(F.col("system").isNotNull(), F.array(turn(F.col("system"), starts))).otherwise(none)
+    leading = F.struct(F.lit("system").alias("role"), F.col("system").alias("text"), starts.alias("new"))
+    head = F.when(F.col("system").isNotNull(), F.array(leading)).otherwise(none)
     tail = F.coalesce(F.transform("tail", lambda t: turn(t, F.lit(False))), none)
     joined = joined.select("conv_id", "window", F.concat(head, tail, F.transform("turns", lambda t: turn(t, F.lit(True)))).alias("turns"))
     joined = joined.withColumn("marked", F.transform("turns", lambda t: F.struct(F.concat(F.lit(BEGIN), escape(t["role"], True), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["new"] & (t["role"] == "assistant")).alias("loss"))))
@@ -113,9 +166,10 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(formatted: DataFrame, dealt: bool = False) -> DataFrame:
     """What the windows of each conversation hold, read back in order as a stream: a task keeps the
-    running digests of one conversation and one window."""
+    running digests of one conversation and one window. With ``dealt``, the windows of a conversation
+    are in one task and in order already."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -150,8 +204,9 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield table_of([close()])
 
-    n = partitions(formatted.sparkSession)
-    spread = formatted.select("conv_id", "window", "n_repeated", "text", "loss").repartition(n, "conv_id").sortWithinPartitions("conv_id", "window")
+    spread = formatted.select("conv_id", "window", "n_repeated", "text", "loss")
+    if not dealt:
+        spread = spread.repartition(partitions(formatted.sparkSession), "conv_id").sortWithinPartitions("conv_id", "window")
     return arrow(spread, scan, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
@@ -162,7 +217,8 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame(PROBE, "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return digests(windows(turns))
+    whole, others = _parts(turns, BUDGET, HISTORY)
+    return digests(whole, dealt=True).unionByName(digests(others))
 
 
 #: The same rows in DuckDB, with the spans, the repeated turns and all lengths worked out again.
@@ -180,13 +236,14 @@ WITH t AS (
   FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), h AS (SELECT conv_id, tokens AS s_tokens, chars AS s_chars FROM p WHERE pos = 0 AND role = 'system' AND n > 1),
 b AS (
-  SELECT p.*, e - tokens AS b, coalesce(s_tokens, 0) AS st, s_chars, greatest(512 - 128 - coalesce(s_tokens, 0), 1) AS stride
+  SELECT p.*, e - tokens AS b, coalesce(s_tokens, 0) AS st, s_chars, greatest(0, least(128, 256 - coalesce(s_tokens, 0))) AS hist,
+    greatest(512 - coalesce(s_tokens, 0) - greatest(0, least(128, 256 - coalesce(s_tokens, 0))), 256) AS stride
   FROM p LEFT JOIN h USING (conv_id) WHERE NOT (pos = 0 AND role = 'system' AND n > 1)
 ), s AS (
   SELECT *, 2 * ((b - st) // stride) + CASE WHEN (b - st) // stride <> (e - 1 - st) // stride THEN 1 ELSE 0 END AS win FROM b
 ), z AS (SELECT *, max(e) OVER (PARTITION BY conv_id, win) AS span_end, max(win) OVER (PARTITION BY conv_id) AS last_win FROM s),
 f AS (
-  SELECT conv_id, sum(chars) + sum(CASE WHEN win < last_win AND span_end - b <= 128 THEN chars ELSE 0 END) + coalesce(max(s_chars), 0) * count(DISTINCT win) AS formatted_chars
+  SELECT conv_id, sum(chars) + sum(CASE WHEN win < last_win AND span_end - b <= hist THEN chars ELSE 0 END) + coalesce(max(s_chars), 0) * count(DISTINCT win) AS formatted_chars
   FROM z GROUP BY conv_id
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
