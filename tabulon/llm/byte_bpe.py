@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.session import arrow, table
+from tabulon.llm.session import arrow, table, unused
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words that a worker remembers before it starts anew.
@@ -121,8 +121,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
         encoder = Encoder(share.value, pattern)
         pieces = {i: p for p, i in encoder.ranks.items()}
         for batch in batches:
-            columns, names = [batch.column(c) for c in keep], list(keep)
-            texts = (x.as_py() or "" for x in batch.column("__text"))
+            columns, names = [batch.column(i) for i in range(len(keep))], list(keep)
+            texts = (x.as_py() or "" for x in batch.column(len(keep)))
             if digests:
                 rows = []
                 for text in texts:
@@ -136,7 +136,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[st
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     more = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return arrow(docs.select(*keep, F.col("text").alias("__text")), scan, ", ".join(filter(None, [kept, more])))
+    return arrow(docs.select(*keep, F.col("text").alias(unused("text", keep))), scan, ", ".join(filter(None, [kept, more])))
 
 
 # The named form, over a table of distinct words.

@@ -167,8 +167,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs. A document that loses all its words holds nothing that an earlier
     place does not keep, and goes; n_chars follows the text."""
-    left = dedup(docs).filter("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    left = dedup(docs.select("doc_id", "text", F.struct(*others).alias("others"))).filter("n_removed = 0 OR text RLIKE '[^ \\\\t-\\\\r]'")
+    field = {c: F.col("others").getField(c) for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    field["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(field["n_chars"])
+    return left.select(*[field[c].alias(c) for c in docs.columns])
 
 
 #: The same rows in DuckDB, by the lines themselves: no hashes, and every window.

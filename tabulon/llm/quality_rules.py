@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.measures import NAMES, measure
-from tabulon.llm.session import arrow, table
+from tabulon.llm.session import arrow, table, unused
 
 #: Bit number, name and failure condition (SQL over the measurements; integers only).
 RULES = [
@@ -56,14 +56,15 @@ def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all but ``text`` if None) with measurements and ``failed`` (the bits).
     One scan, no shuffle."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in NAMES and (keep is not None or c != "text")]
+    whole = unused("text", keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), *(f"{x} bigint" for x in NAMES)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = measure(batch.column("__text"))
+            found = measure(batch.column(whole))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(found[x]) for x in NAMES)], names=[*keep, *NAMES])
 
-    read = docs.select(*keep, F.col("text").alias("__text"))
+    read = docs.select(*keep, F.col("text").alias(whole))
     return arrow(read, scan, schema).withColumn("failed", failure_bits())
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +47,25 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    for tables in _noted:
+        tables.append(out)
     return out
 
 
+_noted: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables that are cut meanwhile, so that they can be dropped when what they led to is written."""
+    tables: list[DataFrame] = []
+    _noted.append(tables)
+    try:
+        yield tables
+    finally:
+        _noted[:] = [x for x in _noted if x is not tables]
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table that ``cut`` returned, once nothing that is still to run reads it."""
     sc = df.sparkSession.sparkContext
@@ -55,6 +73,13 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like this one that none of the columns has."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,8 +88,22 @@ def partitions(spark: SparkSession) -> int:
 BATCH = "2m"
 
 
+def release() -> None:
+    """Gives memory that is free back to the system: an idle worker would keep it beside later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``df.mapInArrow`` in batches of at most ``BATCH`` (or one row), which the session keeps to from
     now on: long texts and sets would make large buffers on both sides."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
-    return df.mapInArrow(scan, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from scan(batches)
+        release()
+
+    return df.mapInArrow(whole, schema)
