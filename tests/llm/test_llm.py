@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +15,7 @@ from compare import assert_same, duck
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabulon.llm import byte_bpe, chat_windows, components, line_dedup, measures, mixing, ngram_join, quality_fm, quality_rules, registry, signature_tree, textscan, url_filters, warc, winnowing
+from tabulon.llm import byte_bpe, chat_windows, components, line_dedup, measures, mixing, ngram_join, quality_fm, quality_rules, registry, session, signature_tree, textscan, url_filters, warc, winnowing
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -88,6 +89,60 @@ def test_fm_identity_and_heldout(spark):
     assert len(both) > 30 and (both.predicted == both.quality).mean() >= 0.95 and len(got) == 1000
 
 
+def plain_score(model, text, declared):
+    """The score by its definition: words, statistics and pairs of features one by one."""
+    words = split(text)
+    lines = [x for x in (text or "").split("\n") if split(x)]
+    tri = list(zip(words, words[1:], words[2:]))
+    covered = {i + j for i, x in enumerate(tri) if tri.count(x) > 1 for j in range(3)}
+    count = lambda chars: sum(c in chars for c in text or "")
+    m = {"n_words": len(words), "n_chars": len(text or ""), "word_chars": sum(map(len, words)), "n_symbols": count("#*$%&|<>"), "n_upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "n_digits": count("0123456789"), "n_bangs": count("!?"), "n_stops": count(".,;:"), "n_lines": len(lines), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered)}
+    x = {}
+    for w in words:
+        i = int(next(textscan.words(pa.array([w]), lower=False)).hash[0]) % quality_fm.BUCKETS
+        x[i] = x.get(i, 0) + 1
+    norm = sum(v * v for v in x.values()) ** 0.5
+    x = {i: v / norm for i, v in x.items()}
+    steps = [int(min(max(m[a] / max(m[b], 1) * scale, 0), quality_fm.STEPS - 1)) for a, b, scale in quality_fm.FIELDS]
+    steps += [int(min(np.log2(max(v, 0) + 1), quality_fm.STEPS - 1)) for v in (m["n_words"], m["n_chars"] if declared is None else declared, m["n_lines"])]
+    x |= {quality_fm.BUCKETS + k * quality_fm.STEPS + s: 1.0 for k, s in enumerate(steps)}
+    ids = list(x)
+    out = model.w0 + sum(model.w[i] * x[i] for i in ids)
+    out += sum(model.v[i] @ model.v[j] * x[i] * x[j] for a, i in enumerate(ids) for j in ids[:a])
+    return 1 / (1 + np.exp(-out))
+
+
+def test_fm_scores_by_a_plain_version(spark, docs):
+    """The query's scores, and those of odd texts, pair by pair."""
+    con = duck(SF)
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("label")).filter(~quality_fm.held_out())
+    model = quality_fm.train(table, labels)
+    got = {r.doc_id: r for r in quality_fm.query(spark, SF).collect()}
+    rows = con.sql("SELECT doc_id, text, n_chars FROM documents").fetchall()
+    assert len(got) == len(rows)
+    short = [r for r in rows if len(split(r[1])) <= 120]
+    assert len(short) > 30
+    for d, text, declared in short:
+        assert abs(got[d].score - plain_score(model, text, declared)) < 1e-5
+        assert got[d].predicted == (got[d].score >= 0.3) and got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+    odd = {r.doc_id: r.score for r in quality_fm.score(docs, model).collect()}
+    for d, text, *_, declared in documents()[:12]:
+        assert abs(odd[d] - plain_score(model, text, declared)) < 1e-5
+
+
+def test_fm_labels(spark, docs):
+    """Labels of held-out rows, null labels and those without a document or a doc_id teach nothing; of
+    two labels the larger counts."""
+    base = [(6, 1), (10, 0), (13, 1)]
+    more = base + [(6, 0), (None, 0), (777, 0), (12, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, label int")
+    a, b = (quality_fm.train(docs, frame(x)) for x in (base, more))
+    assert a.w0 == b.w0 and (a.w == b.w).all() and (a.v == b.v).all()
+    held = docs.filter("doc_id IS NULL").select("doc_id", quality_fm.held_out().alias("h")).collect()
+    assert [r.h for r in held] == [None]  # a row without an id is in neither part
+
+
 def test_fm_cases(spark, docs, empty):
     labels = spark.createDataFrame([(6, 1), (6, 0), (10, 0), (99, 1), (3, None)], "doc_id bigint, label int")
     model = quality_fm.train(docs, labels)
@@ -127,11 +182,53 @@ def test_chat(spark):
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         said = "".join(t for r, t in turns if r == "assistant")
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert chat_windows.windows(df.limit(0)).count() == 0
+
+
+def test_chat_in_blocks(spark, monkeypatch):
+    """Long conversations give the windows that they give as one block, and every digest once."""
+    rng = random.Random(14)
+    rows = [(c, i if c % 3 else i // 2, rng.choice(["user", "assistant"]) if i or c % 2 else "system", prose(rng, rng.randint(0, 90))) for c in range(12) for i in range(rng.choice([3, 50, 150, 400]))]
+    rows += [(None, i, "assistant", f"t{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").cache()
+    found = lambda: (sorted((str(w.conv_id), w.window, w.n_repeated, w.text, str(w.loss)) for w in chat_windows.windows(df).collect()), sorted(map(str, chat_windows.digests(chat_windows.windows(df)).collect())))
+    some = found()
+    whole, others = chat_windows._parts(df, chat_windows.BUDGET, chat_windows.HISTORY)
+    here, there = chat_windows.digests(whole, dealt=True).collect(), chat_windows.digests(others).collect()
+    assert sorted(map(str, here + there)) == some[1] and len(here) > 1 and len(there) > 1 and len(here + there) == 13
+    for block in (7, 10**6):
+        monkeypatch.setattr(chat_windows, "BLOCK", block)
+        assert found() == some
+
+
+def cost(text):
+    return (len(text.encode()) + 3) // 4 + 8
+
+
+def test_chat_budget(spark):
+    """Windows exceed the budget only by what a turn has beyond the stride, and the system turn beyond half."""
+    rng = random.Random(4)
+    rows = []
+    for c, size in enumerate([0, 100, 450, 500, 700, 980, 1500, 2000, 4000]):  # bytes of the system turn
+        rows += [(c, 0, "system", "s" * size)] * bool(size)
+        rows += [(c, i, rng.choice(["user", "assistant"]), "t" * rng.randint(0, 950)) for i in range(1, 60)]
+    rows += [(20, i, "user", "u" * rng.randint(0, 6000)) for i in range(30)]  # turns that may not fit
+    rows += [(21, 0, "system", "s" * 2000)] + [(21, i, "assistant", "short answer") for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    half, spans = chat_windows.BUDGET // 2, {}
     for w in chat_windows.windows(df).collect():
         turns = chat_windows.parse(w.text)
-        cost = sum((len(t.encode()) + 3) // 4 + 8 for _, t in turns)
-        assert cost <= chat_windows.BUDGET or max((len(t.encode()) + 3) // 4 + 8 for _, t in turns) > 100
-    assert chat_windows.windows(df.limit(0)).count() == 0
+        system = cost(turns[0][1]) if turns[0][0] == "system" else 0
+        spans.setdefault(w.conv_id, []).append((w.window, [t for _, t in turns[w.n_repeated :]]))
+        longest = max([cost(t) for r, t in turns if r != "system"], default=0)
+        stride = max(chat_windows.BUDGET - system - chat_windows.HISTORY, half)
+        assert sum(cost(t) for _, t in turns) <= chat_windows.BUDGET + max(0, system - half) + max(0, longest - stride)
+        if w.conv_id <= 5:
+            assert system <= half and sum(cost(t) for _, t in turns) <= chat_windows.BUDGET
+    for c, found in spans.items():  # every turn is new once, in order
+        assert [t for _, some in sorted(found) for t in some] == [t for x, _, _, t in rows if x == c]
+    # 40 short turns beside a long system turn: a few windows, not one a turn
+    assert len(spans[21]) <= -(-sum(cost(t) for c, i, _, t in rows if c == 21 and i) // half) * 2
 
 
 # op4
@@ -158,6 +255,18 @@ def test_winnowing():
     assert winnowing.likeness(h, h) == 1 and winnowing.likeness(h[:0], h[:0]) == 1 and winnowing.likeness(h, h[:0]) == 0
 
 
+def test_ranges_by_halving(spark):
+    rng = random.Random(2)
+    keys = [rng.randint(-50, 50) for _ in range(200)]
+    for n in (0, 1, 2, 3, 7, 16, 33):
+        bounds = sorted(rng.sample(range(-50, 50), n))
+        got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", winnowing.range_of(F.col("k"), bounds).alias("r")).collect()
+        assert all(r.r == sum(b <= r.k for b in bounds) for r in got)
+    dealt = winnowing.ranges(spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), 8).repartitionById(8, "range")
+    tasks = dealt.select("range", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(tasks) == 8 and all(r.range == r.p for r in tasks)
+
+
 def test_short_texts_keep_several_marks():
     rng = random.Random(6)
     for n in (22, 30, 40, 79, 149, 300, 600):
@@ -173,6 +282,54 @@ def test_short_texts_keep_several_marks():
     assert winnowing.select(long)[1].tolist() == winnowing.select(long, winnowing.K, winnowing.WINDOW)[1].tolist()
 
 
+MASK = 2**64 - 1
+
+
+def plain_mix(x):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & MASK
+    return x ^ x >> 31
+
+
+def plain_marks(text, k=winnowing.K):
+    """Hash and position of the chosen grams, by the definition: a polynomial of the code points' hashes."""
+    odd = 0x9E3779B97F4A7C15
+    if not text:
+        return []
+    codes = [ord(c) for c in text]
+    if len(codes) < k:
+        return [(plain_mix(sum((c + 1) * pow(odd, i + 1, 2**64) for i, c in enumerate(codes)) & MASK) >> 32, 0)]
+    each = [plain_mix(c + 1) for c in codes]
+    powers = [pow(odd, k - 1 - j, 2**64) for j in range(k)]
+    h = [plain_mix(sum(e * p for e, p in zip(each[i : i + k], powers)) & MASK) >> 32 for i in range(len(codes) - k + 1)]
+    w = max(1, min(winnowing.WINDOW, len(h) // winnowing.SHARE))
+    places = {max(range(i, i + w), key=lambda j: (-h[j], j)) for i in range(len(h) - w + 1)}
+    return sorted((h[p], p) for p in places)
+
+
+def test_neighbours_by_a_plain_version(spark):
+    """All columns of the query over documents of up to 1,500 code points and their neighbours."""
+    df = spark.createDataFrame([(d, t if t is None else t[:1500]) for d, t, *_ in documents()[:-2]] + [(50 + i, prose(random.Random(i), 8 * i)) for i in range(12)], "doc_id bigint, text string")
+    rows = sorted((r.doc_id, r.text or "") for r in df.collect())
+    got = {r.doc_id: r for r in winnowing.compare_neighbours(df, 3).collect()}
+    assert len(got) == len(rows)
+    show = lambda marks: " ".join(f"{h:08x}:{p}" for h, p in sorted(marks, key=lambda m: m[1]))
+
+    def like(a, b):
+        a, b = ({h for h, _ in x} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for i, (d, text) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        own, other = plain_marks(text), plain_marks(edited)
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (show(own), show(other))
+        assert abs(r.near_edited - like(own, other)) < 1e-12 and abs(r.near_next - like(own, plain_marks(after))) < 1e-12
+
+
 def test_neighbours(spark, docs, empty):
     for n in (1, 3):
         got = winnowing.compare_neighbours(docs, n).collect()
@@ -208,17 +365,21 @@ def test_rules(spark, docs, empty):
 
 
 def test_mixing(spark, docs, empty):
-    total = mixing.total_tokens(docs)
-    got = mixing.schedule(docs, 2 * total, entropy=None, repeats=None)
+    counts = mixing.counted(docs)
+    total = sum(len(split(t)) for _, t, *_ in documents())
+    assert counts.agg(F.sum("n_tokens")).first()[0] == total and "text" not in counts.columns
+    got = mixing.schedule(counts, counts, 2 * total, entropy=None, repeats=None)
     rows = got.collect()
-    assert "epoch" in got.columns and {r.source for r in rows} == {None, "s0", "s1", "s2"}
+    assert got.columns.count("epoch") == 1 and got.columns.count("block") == 1 and {r.source for r in rows} == {None, "s0", "s1", "s2"}
     uses = {}
     for r in rows:
         uses.setdefault((r.source, r.epoch), []).append(r)
     for (s, e), some in uses.items():
         if (s, e + 1) in uses:  # a whole epoch has every document with words once
             assert len(some) == sum(1 for d in documents() if d[3] == s)
-    assert mixing.schedule(empty, 10).count() == 0 and mixing.schedule(empty).count() == 0
+    none = mixing.counted(empty)
+    assert mixing.schedule(none, none, 10).count() == 0 and mixing.schedule(none, none).count() == 0 and mixing.schedule(none, none, -1).count() == 0
+    assert mixing.n_blocks(0) == mixing.n_blocks(mixing.BLOCKS * mixing.BLOCK_TOKENS) == mixing.BLOCKS and mixing.n_blocks(3 * mixing.BLOCKS * mixing.BLOCK_TOKENS) == 4 * mixing.BLOCKS
     staged = mixing.stage(spark, docs, "")
     assert staged.columns == docs.columns and {r.doc_id for r in staged.filter("text LIKE '%w%'").collect()} == {d for d, t, *_ in documents() if t and "w" in t}
     totals = spark.createDataFrame([(float(np.log(0.7)), 70), (float(np.log(0.2)), 20), (float(np.log(0.1)), 10)], "ln_p double, tokens bigint")
@@ -231,6 +392,22 @@ def test_mixing(spark, docs, empty):
     assert abs((w / w.sum() * 100 / [70, 20, 10]).max() - 2) < 1e-9
 
 
+def test_mixing_with_more_blocks(spark, docs, monkeypatch):
+    """Whole epochs and quotas do not depend on the number of blocks."""
+    counts = mixing.counted(docs).cache()
+    uses = lambda: {(r.source, r.epoch): (r.n, r.t) for r in mixing.schedule(counts, counts, -1, entropy=0.99).groupBy("source", "epoch").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()}
+    some = uses()
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1)
+    many = uses()
+    assert some.keys() == many.keys() and all(some[k] == many[k] for k in some if (k[0], k[1] + 1) in some)
+
+
+def test_mixing_stage_keeps_clashing_columns(spark, docs):
+    odd = docs.withColumns({"start_token": F.lit("x"), "n_tokens": F.lit(-5)})
+    got = mixing.stage(spark, odd, "")
+    assert got.columns == odd.columns and {(r.epoch, r.start_token, r.n_tokens) for r in got.collect()} == {(1, "x", -5)}
+
+
 def test_mixing_bisects_without_budget(spark):
     shares = [0.7, 0.2, 0.1]
     totals = spark.createDataFrame([(float(np.log(p)), int(100 * p + 0.5)) for p in shares], "ln_p double, tokens bigint")
@@ -256,12 +433,15 @@ def brute_components(texts):
     return [len(s) for s in sets], label
 
 
-@pytest.mark.parametrize("large", [False, True])
+@pytest.mark.parametrize("large", [False, True, "spread"])
 def test_join(spark, docs, large, monkeypatch):
     if large:  # every family by leaders and blocks, every bucket by stars
         monkeypatch.setattr(ngram_join, "BLOCK", 150)
         monkeypatch.setattr(ngram_join, "PAIRED", 2)
         monkeypatch.setattr(ngram_join, "OFTEN", 2)
+    if large == "spread":  # every frequent shingle to several buckets
+        monkeypatch.setattr(ngram_join, "SPREAD", 2)
+        monkeypatch.setattr(ngram_join, "STRETCH", 1)
     rng = random.Random(9)
     base = [prose(rng, 40) for _ in range(5)]
     texts = [t for _, t, *_ in documents()[:-2]]
@@ -277,6 +457,48 @@ def test_join(spark, docs, large, monkeypatch):
     assert [got[i] for i in range(len(texts))] == list(zip(sizes, label))
 
 
+def test_spread_buckets_hang_together(spark):
+    """Of shingles that all sets have, every bucket is a star around a node for the shingle."""
+    rng = random.Random(12)
+    base = prose(rng, 30)
+    docs = spark.createDataFrame([(i, f"{base} own{i}") for i in range(300)], "doc_id bigint, text string")
+    hot = next(textscan.shingle_sets(pa.array([base])))[3]
+    few = ngram_join.prefixes(docs, hot, np.full(len(hot), 5)).collect()
+    many = ngram_join.prefixes(docs, hot, np.full(len(hot), 40 * ngram_join.SPREAD))
+    rows = many.collect()
+    assert sorted((r.id, r.n_pos, r.key) for r in rows if r.n_pos) == sorted((r.id, r.n_pos, r.key) for r in few) and all(r.n_pos for r in few)
+    middles = {r.id for r in rows if not r.n_pos}
+    assert middles <= set(hot.view(np.int64).tolist()) and len({r.token for r in rows if not r.n_pos}) > 30 * len(middles)
+    edges = ngram_join.candidates(many).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    assert {r.u for r in edges.collect()} == middles
+    roots = {r.node: r.root for r in components.components(edges).collect()}
+    assert len({roots[r.id] for r in few}) == 1
+
+
+def test_stars_stream(spark):
+    """A bucket over several batches gives one star, whatever the batches."""
+    def rows(n):
+        return [(5, 100 + i, 10 << 32, 7) for i in range(n)] + [(6, 1, 10 << 32, 7), (6, 2, 10 << 32, 7)] + [(7, 100 + i, 10 << 32, 7) for i in range(n)]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        for n in (30, 49, 90, 200):
+            df = spark.createDataFrame(rows(n), "token bigint, id bigint, n_pos bigint, key int").coalesce(1)
+            got = {(r.x, r.y) for r in ngram_join.candidates(df).collect()}
+            star = {(100, 100 + i) for i in range(1, n)} if n > ngram_join.PAIRED else {(100 + i, 100 + j) for j in range(n) for i in range(j)}
+            assert got - {(1, 2)} == star
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_join_with_many_null_ids(spark):
+    rng = random.Random(13)
+    rows = [(None, prose(rng, 30)) for _ in range(40)]
+    rows += [(None, t + " z") for _, t in rows[:20]] + [(3, rows[0][1] + " y"), (None, None)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows) and sum(r.component_id == 3 for r in got) == 3 and sum(r.component_id is None for r in got) == len(rows) - 3
+
+
 def test_join_cases(spark, docs, empty):
     assert ngram_join.join(docs).count() == docs.count() and ngram_join.join(empty).count() == 0
     staged = ngram_join.stage(spark, docs, "")
@@ -363,6 +585,7 @@ def bpe():
 
 def test_bpe(spark, docs, empty, bpe):
     (ranks, pattern), library = bpe
+    encoder = byte_bpe.Encoder(ranks, pattern)
     got = byte_bpe.encode(docs, ranks, pattern, ["doc_id"]).collect()
     texts = {d: t or "" for d, t, *_ in documents()}
     for r in got:
@@ -370,7 +593,17 @@ def test_bpe(spark, docs, empty, bpe):
             assert r.ids == library.encode_ordinary(texts[r.doc_id])
         assert library.decode(r.ids) == texts[r.doc_id]
     assert len(got) == docs.count() and byte_bpe.encode(empty, ranks, pattern, ["doc_id"]).count() == 0
-    encoder = byte_bpe.Encoder(ranks, pattern)
+    # the form that the query takes, and the query itself
+    for frame, rows in ((docs, texts), (spark.read.parquet(f"{SF}/documents.parquet"), dict(duck(SF).sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()))):
+        coded = byte_bpe.encode(frame, ranks, pattern, ["doc_id"], digests=True)
+        found = {r.doc_id: r for r in coded.collect()}
+        assert found.keys() == rows.keys()
+        for d, text in rows.items():
+            ids = library.encode_ordinary(text) if len(text) < 250_000 else encoder.encode(text)
+            assert (found[d].n_tokens, found[d].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            assert found[d].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert byte_bpe.query(spark, SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(str, byte_bpe.query(spark, SF).collect())) == sorted(map(str, found.values()))
     rng = random.Random(8)
     for _ in range(200):
         text = "".join(rng.choice("ab é'sll 12\n\t　!🙂") for _ in range(rng.randint(0, 120)))
@@ -421,25 +654,58 @@ def test_line_dedup(spark, docs, empty):
     assert got == brute_dedup(rows)
     out = line_dedup.dedup(docs.drop("n")).collect()
     by = {r.doc_id: r for r in out if r.doc_id is not None}
-    assert len(out) == docs.count() and by[0].text is None and by[1].text == "" and by[10].text.startswith("begin\nw") and by[10].n_removed == 2 and by[7].text == "" and by[12].n_removed == 6 or by[12].n_removed > 0
+    assert len(out) == docs.count() and by[0].text is None and by[1].text == "" and by[10].text.startswith("begin\nw") and by[10].n_removed == 2 and by[7].text == ""
+    want = brute_dedup(sorted({(d, t) for d, t, *_ in documents()[:-1] if t is not None}))  # a repeated row is treated like its copy
+    nameless = next(r for r in out if r.doc_id is None)
+    assert {d: r.text for d, r in by.items() if r.text is not None} == want and nameless.text == documents()[-1][1]
+    assert by[12].n_removed == 8  # nine equal lines: one is kept
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.stage(spark, docs, "").columns == docs.columns
 
 
-def test_line_dedup_goes_on_with_shared_fingerprints(spark):
+def brute_choice(lines, least=line_dedup.MIN_WORDS):
+    """Chosen places (from 1) with their windows, of lines given as (hash, words)."""
+    chosen = {}
+    for i in range(len(lines)):
+        total, j = 0, i
+        while j < len(lines) and total < least:
+            total += lines[j][1]
+            j += 1
+        if total >= least:
+            at = min(range(i, j), key=lambda x: (lines[x][0], -x))
+            chosen.setdefault(at + 1, []).append((i + 1, j))
+    return chosen
+
+
+def test_line_dedup_winnows(spark):
+    """One row a chosen position; positions go on only if another place has their fingerprint."""
     rng = random.Random(8)
     line, common = prose(rng, 30), [prose(rng, 9) for _ in range(4)]
-    texts = ["\n".join(prose(rng, 9) for _ in range(12)), "\n".join([line] * 3), "\n".join([prose(rng, 9), *common]), "\n".join([*common, prose(rng, 9)])]
+    texts = ["\n".join(prose(rng, 9) for _ in range(12)), "\n".join([line] * 3), "\n".join([prose(rng, 9), *common]), "\n".join([*common, prose(rng, 9)]), "\n".join([common[0]] * 8), "few words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     found = line_dedup.lines(df)
-    hashes = {r.doc.id: [x.h for x in r.lines] for r in found.collect()}
-    made, places = line_dedup.windows(found).collect(), {}
-    for r in made:
-        run = hashes[r.doc.id][r["first"] - 1 : r.last]
-        assert r.fingerprint == min(run) and r.at == max(i for i, h in enumerate(run, r["first"]) if h == min(run))
-        places.setdefault(r.fingerprint, set()).add((r.doc.id, r.at))
-    want = sorted((r.doc.id, r["first"]) for r in made if len(places[r.fingerprint]) > 1)
-    got = sorted((r.doc.id, r["first"]) for r in line_dedup.shared(line_dedup.windows(found)).collect())
-    assert got == want and {d for d, _ in got} == {1, 2, 3} and {0, 1, 2, 3} == {r.doc.id for r in made}
+    lines = {r.doc.id: [(x.h, x.w) for x in r.lines] for r in found.collect()}
+    want = {(d, at): (ls[at - 1][0], w) for d, ls in lines.items() for at, w in brute_choice(ls).items()}
+    rows = line_dedup.fingerprints(found).collect()
+    assert {(r.doc.id, r.at): (r.fingerprint, [(w["first"], w["last"]) for w in r.windows]) for r in rows} == want
+    assert len(rows) == len(want) < sum(len(w) for _, w in want.values())
+    places = {}
+    for (d, at), (h, _) in want.items():
+        places.setdefault(h, set()).add((d, at))
+    got = sorted((r.doc.id, r.at) for r in line_dedup.shared(line_dedup.fingerprints(found)).collect())
+    assert got == sorted(p for some in places.values() if len(some) > 1 for p in some) and {d for d, _ in got} == {1, 2, 3, 4}
+
+
+def test_line_dedup_brings_two_texts_together_once(spark):
+    """Texts that differ in every sixth line: many matches, one row."""
+    rng = random.Random(9)
+    a = [prose(rng, 9) for _ in range(600)]
+    b = [prose(rng, 9) if i % 6 == 5 else x for i, x in enumerate(a)]
+    rows = [(1, "\n".join(a)), (2, "\n".join(b))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = line_dedup.lines(df)
+    matched = line_dedup.matches(line_dedup.shared(line_dedup.fingerprints(found)))
+    assert matched.count() == 100 and matched.select("doc", "source").distinct().count() == 1
+    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == brute_dedup(rows) and brute_dedup(rows)[2].count("\n") == 99
 
 
 # pipeline
@@ -458,3 +724,44 @@ def test_pipeline(spark, tmp_path, bpe):
     kept = {d: t for d, t in brute_dedup(kept).items() if split(t)}
     assert {r.doc_id: r.ids for r in got} == {d: library.encode_ordinary(t) for d, t in kept.items()}
     assert max(sum(r.doc_id == d for r in got) for d in kept) <= 2
+
+
+def test_pipeline_cases(spark, tmp_path, docs, bpe, monkeypatch):
+    """Odd rows and columns named like working ones, then an empty table; no table is left but the result."""
+    (ranks, pattern), library = bpe
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}/shared")
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("n_tokens", "hash", "token", "start_token", "n_lines", "n_removed", "n_words", "key", "doc", "component_id", "__row", "__block", "__text", "__id")})
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    rows = got.collect()
+    assert set(got.columns) == set(odd.columns) - {"text"} | {"ids"}
+    assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in ("n_tokens", "hash", "n_lines", "__row", "__block", "__id", "key"))
+    assert len(list((tmp_path / "shared").iterdir())) == 1
+    kept = [(d, t) for d, t, *_ in documents()[:-1] if t and len(split(t)) >= 50 and d not in (12, 13)]
+    kept = {d: t for d, t in brute_dedup(sorted(set(kept))).items() if split(t)}
+    sizes, label = brute_components(list(kept.values()))
+    first = {d for i, d in enumerate(kept) if label[i] == i}
+    for r in rows:
+        if r.doc_id is not None:
+            assert r.doc_id in first and (len(kept[r.doc_id]) > 250_000 or r.ids == library.encode_ordinary(kept[r.doc_id]))
+    assert {r.doc_id for r in rows} >= first
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/b/documents.parquet")
+    none = corpus_pipeline.run(spark, f"{tmp_path}/b")
+    assert none.count() == 0 and none.columns == ["doc_id", "lang", "source", "n_chars", "ids"]
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A cluster without spark.checkpoint.dir is refused; one machine gets a temporary folder."""
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+    assert session.shared_dir(spark).startswith("file:")
