@@ -11,8 +11,9 @@ hashed ids are smallest; that bound is a parameter and the only one. Every text
 one scan without a shuffle; the model that travels to the executors has a fixed size (``BUCKETS`` and
 ``FACTORS``), whatever the corpus.
 
-Defined cases: null and empty texts are scored by their statistics alone; a null declared length
-counts as the text's own; conflicting labels of a document count as the larger; labels that are null
+Defined cases: null and empty texts are scored by their statistics alone; a text of any length is
+scored whole; a row with a null doc_id is scored, and is neither held out nor learnt from (held_out is
+null); a null declared length counts as the text's own; conflicting labels of a document count as the larger; labels that are null
 or without a document are not learnt from; without any label the score is 0.5; repeated rows are
 scored each; other columns are not read.
 """

@@ -5,7 +5,8 @@ measurements, so that policies (sets of enforced rules, by version) are later ap
 mask without reading a text again, and ablations are sums over a histogram of the bit masks.
 
 Defined cases: a null or empty text has no words, so all measurements are 0 and ``few_words``
-fails; repeated rows get a ledger row each; other columns, ``doc_id`` included, are passed on
+fails; a text of any length is measured whole, in pieces of some 256 KB; ties and repeated rows get a
+ledger row each; other columns, ``doc_id`` included, are passed on
 untouched (a column named like one of the ledger's is replaced); an empty table gives an empty
 ledger.
 """
