@@ -16,22 +16,33 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance: Column) -> DataFrame:
-    """``cluster`` (from 0) of each point: in order of y a point joins the cluster before it if it is
-    within the tolerance of the running mean. The state depends on the data, so this is a fold over the
-    sorted points of a page, not a window."""
-    fields = [c for c in points.columns if c not in by]
-    rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(y).alias("__y"), F.col(tie).alias("__tie"), F.struct(*fields).alias("row")))).alias("points"), F.first(tolerance).alias("tol"))
-    zero = F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.expr("cast(array() as array<int>)").alias("out"))
+def _running_rows(points: Column, y: str, tolerance: Column) -> Column:
+    """Sorted points (an array) cut into rows: in order of y a point joins the row before it if it is
+    within the tolerance of that row's running mean. The state depends on the data, so this is a fold,
+    not a window; it notes where rows begin, so it grows by row and not by point."""
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("begins"))
 
     def step(acc: Column, p: Column) -> Column:
-        near = (acc["n"] > 0) & (F.abs(p["__y"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= F.col("tol"))
-        c = acc["c"] + F.when(near, 0).otherwise(1)
-        return F.struct(c.alias("c"), (p["__y"] + F.when(near, acc["sum"]).otherwise(0.0)).alias("sum"), (F.when(near, acc["n"]).otherwise(0) + 1).alias("n"), F.concat(acc["out"], F.array(c)).alias("out"))
+        near = (acc["n"] > 0) & (F.abs(p[y] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
+        begins = F.when(near, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["at"] + 1)))
+        return F.struct((p[y] + F.when(near, acc["sum"]).otherwise(0.0)).alias("sum"), (F.when(near, acc["n"]).otherwise(0) + 1).alias("n"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+
+    return F.aggregate(points, zero, step)["begins"]
+
 
-    labelled = rows.withColumn("labels", F.aggregate("points", zero, step)["out"])
-    pairs = F.explode(F.arrays_zip("points", "labels"))
-    return labelled.select(*by, pairs.alias("__p")).select(*by, "__p.points.row.*", F.col("__p.labels").alias("cluster"))
+def _slices(points: Column, begins: Column) -> Column:
+    """The parts of an array that begin at these places."""
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(points) + 1))
+    return F.zip_with(begins, ends, lambda b, e: F.slice(points, b, e - b))
+
+
+def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance: Column) -> DataFrame:
+    """``cluster`` (from 0) of each point: the rows of a page by running means."""
+    fields = [c for c in points.columns if c not in by]
+    rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(y).alias("__y"), F.col(tie).alias("__tie"), F.struct(*fields).alias("row")))).alias("__points"), F.first(tolerance).alias("__tol"))
+    rows = rows.withColumn("__begins", _running_rows(F.col("__points"), "__y", F.col("__tol")))
+    parts = rows.select(*by, F.posexplode(_slices(F.col("__points"), F.col("__begins"))).alias("__cluster", "__part"))
+    return parts.select(*by, "__cluster", F.explode("__part").alias("__p")).select(*by, "__p.row.*", F.col("__cluster").alias("cluster"))
 
 
 def gap_clusters(points: DataFrame, by: list[str], x: str, tie: str, gap: Column | float) -> DataFrame:
@@ -82,18 +93,18 @@ def textblock_cells(words: DataFrame) -> DataFrame:
     """Cells of two columns, No. and Description, from positioned words: rows are clusters by height,
     a row with a number in the number column begins an item, what is right of it is its description;
     rows without a number continue the item before. Items without description go, and pages with
-    fewer than two items."""
-    full = words.select(*PAGE, "x0", "y0", "y1", strip(F.col("text")).alias("text"), "word_no").filter("text <> ''")
-    page = full.groupBy(*PAGE).agg(F.count("*").alias("k"), F.coalesce(upper_median(F.collect_list(F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0")))), F.lit(10.0)).alias("h"))
-    full = full.join(page.filter("k >= 4"), PAGE).withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    rows = cluster_rows(full, PAGE, "cy", "word_no", F.greatest(F.lit(4.0), F.col("h") * 0.6))
-    is_number = F.col("text").rlike(fixed.ITEM_NO_PATTERN)
-    column = rows.filter(is_number).groupBy(*PAGE).agg(upper_median(F.collect_list("x0")).alias("numcol"), F.count("*").alias("m")).filter("m >= 2").drop("m")
-    ordered = F.sort_array(F.collect_list(F.struct("x0", "word_no", "text")))
-    bands = rows.join(column, PAGE).groupBy(*PAGE, "cluster", "numcol").agg(ordered.alias("words"))
-    near = F.get(F.filter("words", lambda w: w["text"].rlike(fixed.ITEM_NO_PATTERN) & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0)
-    bands = bands.withColumn("mark", near)
-    right = F.filter("words", lambda w: F.when(F.col("mark").isNotNull(), w["x0"] > F.col("mark")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["text"].rlike(fixed.ITEM_NO_PATTERN)))
+    fewer than two items. Words move once, by page."""
+    text = strip(F.col("text"))
+    point = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), "word_no", "x0", (F.col("y1") - F.col("y0")).alias("h"), text.alias("text"), text.rlike(fixed.ITEM_NO_PATTERN).alias("number"))
+    pages = words.select(*PAGE, point.alias("p")).filter("p.text <> ''").groupBy(*PAGE).agg(F.sort_array(F.collect_list("p")).alias("points")).filter(F.size("points") >= 4)
+    xs = F.transform(F.filter("points", lambda p: p["number"]), lambda p: p["x0"])
+    heights = F.filter(F.transform("points", lambda p: p["h"]), lambda h: h > 0)
+    pages = pages.withColumns({"xs": xs, "tol": F.greatest(F.lit(4.0), F.coalesce(upper_median(heights), F.lit(10.0)) * 0.6)}).filter(F.size("xs") >= 2)
+    pages = pages.withColumns({"numcol": upper_median(F.col("xs")), "begins": _running_rows(F.col("points"), "cy", F.col("tol"))})
+    bands = pages.select(*PAGE, "numcol", F.posexplode(_slices(F.col("points"), F.col("begins"))).alias("cluster", "row"))
+    bands = bands.withColumn("words", F.sort_array(F.transform("row", lambda p: F.struct(p["x0"].alias("x0"), p["word_no"].alias("word_no"), p["text"].alias("text"), p["number"].alias("number")))))
+    bands = bands.withColumn("mark", F.get(F.filter("words", lambda w: w["number"] & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0))
+    right = F.filter("words", lambda w: F.when(F.col("mark").isNotNull(), w["x0"] > F.col("mark")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["number"]))
     bands = bands.select(*PAGE, "cluster", F.col("mark.text").alias("number"), F.array_join(F.transform(right, lambda w: w["text"]), " ").alias("words"))
     w = Window.partitionBy(*PAGE).orderBy("cluster")
     bands = bands.withColumn("item", F.sum(F.col("number").isNotNull().cast("int")).over(w)).filter("item > 0")

@@ -25,10 +25,14 @@ def columns(config: Config) -> dict[str, str]:
 
 def pivot_cells(cells: DataFrame, mapping: DataFrame, config: Config) -> DataFrame:
     """One row per raw row with every schema column: mapped cells are cleaned and bundled in column
-    order, missing ones are empty. One shuffle; the mapping is configuration-sized."""
-    named = cells.join(mapping.filter("target IS NOT NULL").select("raw_header", "target"), "raw_header", "left").withColumn("value", clean(F.col("value")))
-    of = lambda c: F.transform(F.sort_array(F.collect_list(F.when(F.col("target") == c, F.struct("col_pos", "value")))), lambda x: x["value"])
-    return named.groupBy(*KEYS).agg(*[bundle(of(c)).alias(s) for c, s in columns(config).items()])
+    order, missing ones are empty. One shuffle and one list a row; the mapping is configuration-sized."""
+    named = cells.join(mapping.filter("target IS NOT NULL").select("raw_header", "target"), "raw_header", "left")
+    cell = F.when(F.col("target").isNotNull(), F.struct("col_pos", "target", clean(F.col("value")).alias("value")))
+    rows = named.groupBy(*KEYS).agg(F.sort_array(F.collect_list(cell)).alias("__cells"))
+    of = lambda c: F.transform(F.filter("__cells", lambda x: x["target"] == c), lambda x: x["value"])
+    names = columns(config)
+    held = rows.select(*KEYS, *[of(c).alias(s) for c, s in names.items()])
+    return held.select(*KEYS, *[bundle(F.col(s)).alias(s) for s in names.values()])
 
 
 def unmapped_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
