@@ -217,7 +217,7 @@ def qc_summary(spark, d):
     return qc.qc_summary(_sql(spark, d, QC_ROWS, "part"), ["doc_id"])
 
 
-PAGES = "SELECT source AS doc_id, cast(doc_id AS int) AS page_no, CASE WHEN doc_id % 3 = 0 THEN left(text, 15) ELSE text END AS text FROM documents"
+PAGES = "SELECT source AS doc_id, cast(doc_id AS int) AS page_no, text FROM documents"
 
 
 @query(f"SELECT doc_id, page_no FROM ({PAGES}) WHERE length({STRIP('text')}) < 20")
@@ -437,12 +437,33 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return _sql(spark, d, sql, "lineitem")
 
 
-@query()
+#: The same words in DuckDB's SQL, without blank ones.
+SQL_WORDS = """SELECT * FROM (SELECT l_orderkey::VARCHAR AS doc_id, 1 AS page_no, x + (l_suppkey % 2) * j AS x0, l_linenumber * 20.0::DOUBLE AS y0, l_linenumber * 20.0::DOUBLE + 10 AS y1, (l_linenumber * 10 + i)::INTEGER AS word_no,
+ trim(CASE i WHEN 0 THEN CASE WHEN l_partkey % 4 = 0 THEN 'and' ELSE l_linenumber::VARCHAR END WHEN 1 THEN 'valve' || l_suppkey % 9 WHEN 2 THEN l_returnflag ELSE 'Bolts' END) AS text
+ FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL), (VALUES (0, 60.0::DOUBLE, 1), (1, 180.0, 0), (2, 220.0, 0), (3, 18.0, 0)) AS k(i, x, j)) WHERE text <> ''"""
+#: Pages with four words at least, their words' centres and height, and the number column of two numbers at least.
+SQL_PAGES = f"""w AS ({SQL_WORDS}), f AS (SELECT *, (y0 + y1) / 2 AS cy, regexp_matches(text, {q(fixed.ITEM_NO_PATTERN)}) AS num FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, page_no) >= 4),
+g AS (SELECT doc_id, page_no, coalesce(list_sort(list(y1 - y0) FILTER (y1 > y0))[count(*) FILTER (y1 > y0) // 2 + 1], 10.0) AS h, list_sort(list(x0) FILTER (num))[count(*) FILTER (num) // 2 + 1] AS numcol FROM f GROUP BY ALL HAVING count(*) FILTER (num) >= 2)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_PAGES},
+p AS (SELECT f.*, numcol, greatest(4.0, h * 0.6) AS tol, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY cy, word_no) AS i FROM f JOIN g USING (doc_id, page_no)),
+r AS (SELECT doc_id, page_no, word_no, i, 0 AS cluster, cy AS s, 1 AS n FROM p WHERE i = 1
+ UNION ALL SELECT p.doc_id, p.page_no, p.word_no, p.i, CASE WHEN abs(p.cy - s / n) <= p.tol THEN cluster ELSE cluster + 1 END, CASE WHEN abs(p.cy - s / n) <= p.tol THEN s + p.cy ELSE p.cy END, CASE WHEN abs(p.cy - s / n) <= p.tol THEN n + 1 ELSE 1 END
+ FROM r JOIN p ON p.doc_id = r.doc_id AND p.page_no = r.page_no AND p.i = r.i + 1),
+c AS (SELECT p.*, cluster FROM p JOIN r USING (doc_id, page_no, word_no)),
+m AS (SELECT doc_id, page_no, cluster, arg_min(text, (x0, word_no)) AS number, arg_min(x0, (x0, word_no)) AS mark FROM c WHERE num AND abs(x0 - numcol) <= 30 GROUP BY ALL),
+b AS (SELECT doc_id, page_no, cluster, any_value(number) AS number, string_agg(text, ' ' ORDER BY x0, word_no) FILTER (CASE WHEN mark IS NOT NULL THEN x0 > mark + 2 ELSE x0 > numcol + 2 AND NOT num END) AS words FROM c LEFT JOIN m USING (doc_id, page_no, cluster) GROUP BY ALL),
+t AS (SELECT *, sum((number IS NOT NULL)::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY cluster) AS item FROM b),
+d AS (SELECT doc_id, page_no, item, any_value(number) AS number, {STRIP("string_agg(words, ' ' ORDER BY cluster) FILTER (words <> '')")} AS description FROM t WHERE item > 0 GROUP BY ALL HAVING description <> ''),
+e AS (SELECT * FROM d QUALIFY count(*) OVER (PARTITION BY doc_id, page_no) >= 2)
+SELECT doc_id, page_no, item::INTEGER AS row_no, 0 AS col_pos, 'No.' AS raw_header, number AS value FROM e UNION ALL SELECT doc_id, page_no, item::INTEGER, 1, 'Description', description FROM e""")
 def textblock_table(spark, d):
     return layout.textblock_cells(words(spark, d))
 
 
-@query()
+@query(f"""WITH {SQL_PAGES}, n AS (SELECT doc_id, page_no, cy FROM f JOIN g USING (doc_id, page_no) WHERE num AND abs(x0 - numcol) <= 30)
+SELECT doc_id, page_no, sum(jump)::BIGINT AS n FROM (SELECT doc_id, page_no, coalesce((cy - lag(cy) OVER (PARTITION BY doc_id, page_no ORDER BY cy) > 6)::INTEGER, 1) AS jump FROM n) GROUP BY ALL""")
 def item_anchors(spark, d):
     return layout.item_anchors(words(spark, d))
 
@@ -469,7 +490,14 @@ def rows_to_cells(spark, d):
     return headers.rows_to_cells(_sql(spark, d, ROWS_TABLE, "events"), ["doc_id"])
 
 
-@query()
+SQL_SCORES = lambda name, cells: f"""{name}_c AS (SELECT table_no, col_pos, raw_header, {NORM('raw_header')} AS n, count(*) AS rows, count(*) FILTER (WHERE trim(value) <> '') AS filled FROM {cells} GROUP BY ALL),
+{name} AS (SELECT table_no, sum(points) + 3.0 * sum(filled) / sum(rows) - CASE WHEN count(*) = 1 AND max(rows) < 2 THEN 5 ELSE 0 END AS score FROM (SELECT *, {POINTS} AS points FROM {name}_c, k) GROUP BY table_no)"""
+
+
+@query(f"""WITH cells AS ({TABLE_CELLS}), other AS (SELECT * REPLACE (CASE WHEN col_pos = 2 THEN 'Part No.' ELSE raw_header END AS raw_header) FROM cells), k AS (SELECT list(norm) AS known FROM {KNOWN} WHERE norm <> ''),
+{SQL_SCORES('s1', 'cells')}, weak AS (SELECT * FROM other WHERE table_no NOT IN (SELECT table_no FROM s1 WHERE score >= {CONFIG.score_confident})), {SQL_SCORES('s2', 'weak')},
+late AS (SELECT table_no FROM s1 JOIN s2 USING (table_no) WHERE s2.score > s1.score)
+SELECT * FROM cells WHERE table_no NOT IN (FROM late) UNION ALL SELECT * FROM weak WHERE table_no IN (FROM late)""")
 def score_escalation(spark, d):
     """The cheap pass where it is confident, else the better one of both."""
     cells = _sql(spark, d, TABLE_CELLS, "part")
