@@ -29,10 +29,15 @@ def scanned_documents(pages: DataFrame, config: Config) -> DataFrame:
     return pages.groupBy("doc_id").agg(n.alias("scanned"), F.count("*").alias("total")).withColumn("is_scanned", F.col("scanned") >= F.greatest(F.lit(1.0), F.col("total") * 0.6))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """Lines (y, page_h) in the top and bottom bands of their page."""
+def mark_bands(lines: DataFrame) -> DataFrame:
+    """Lines (y, page_h) with the band of their page that they are in: top, bottom or null."""
     y, h = F.col("y"), F.col("page_h")
-    return lines.withColumn("band", F.when(y < fixed.BAND * h, "top").when(y > (1 - fixed.BAND) * h, "bottom")).filter("band IS NOT NULL")
+    return lines.withColumn("band", F.when(y < fixed.BAND * h, "top").when(y > (1 - fixed.BAND) * h, "bottom"))
+
+
+def bands(lines: DataFrame) -> DataFrame:
+    """Lines in the top and bottom bands of their page."""
+    return mark_bands(lines).filter("band IS NOT NULL")
 
 
 def has_maker_hint(line: Column) -> Column:
@@ -78,14 +83,19 @@ def propagate_titles(context: DataFrame) -> DataFrame:
     return context.join(learnt, ["doc_id", "drawing_no"], "left").withColumn("spare_group", F.coalesce("learnt", "spare_group")).drop("learnt")
 
 
-def page_status(pages: DataFrame, config: Config, tables: DataFrame | None = None) -> DataFrame:
-    """doc_id, page_no, status and reason of pages that give no table."""
+def page_status(pages: DataFrame, config: Config, tables: DataFrame | None = None, ocr: bool = False) -> DataFrame:
+    """doc_id, page_no, status and reason of pages that give no table. With ``ocr``, the tables hold
+    what it read from scanned pages too."""
     text = F.col("text")
-    status = F.when(is_scanned_page(text, config.min_text_chars), "scanned").when(is_skipped_page(text, config.skip_markers), "skipped")
+    scanned = is_scanned_page(text, config.min_text_chars)
+    has = F.lit(False)
     if tables is not None:
         pages = pages.join(tables.select(*PAGE).distinct().withColumn("has", F.lit(True)), PAGE, "left")
-        status = status.when(F.col("has").isNull(), "empty")
-    reason = F.create_map(*[F.lit(x) for p in {"scanned": "scanned/image-only (no text layer)", "skipped": "skipped (non-parts page)", "empty": "no table detected"}.items() for x in p])
+        has = F.coalesce("has", F.lit(False))
+    status = F.when(scanned & F.lit(ocr), F.when(~has, "unread")).when(scanned, "scanned").when(is_skipped_page(text, config.skip_markers), "skipped")
+    if tables is not None:
+        status = status.when(~has, "empty")
+    reason = F.create_map(*[F.lit(x) for p in fixed.PAGE_STATUS.items() for x in p])
     return pages.select(*PAGE, status.alias("status")).filter("status IS NOT NULL").withColumn("reason", F.format_string("page %d: %s", F.col("page_no"), F.element_at(reason, F.col("status"))))
 
 

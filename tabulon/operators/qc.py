@@ -55,6 +55,24 @@ def document_message(docs: DataFrame) -> DataFrame:
     return docs.withColumn("warning", text)
 
 
+def lost_messages(lost: DataFrame, shown: int = 5) -> DataFrame:
+    """doc_id and message: how many pages may have lost rows, the first ones, and how many more."""
+    pages = F.sort_array(F.collect_list(F.struct("page_no", "seen", "got")))
+    each = lost.groupBy("doc_id").agg(pages.alias("p"))
+    examples = F.array_join(F.transform(F.slice("p", 1, shown), lambda x: F.format_string("p%d (saw %d, got %d)", x["page_no"], x["seen"], x["got"])), ", ")
+    more = F.when(F.size("p") > shown, F.format_string(" +%d more", F.size("p") - shown)).otherwise("")
+    return each.select("doc_id", F.concat(F.format_string("%d pages may have lost rows: ", F.size("p")), examples, more).alias("message"))
+
+
+def document_warnings(docs: DataFrame, state: DataFrame, lost: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id and ``warnings``, in order: about scans, about lost rows, and, if there is neither and no
+    row, that no table was found. ``state``: what ``document_message`` needs; ``rows``: doc_id and n."""
+    joined = docs.join(document_message(state).select("doc_id", "warning"), "doc_id", "left").join(lost_messages(lost), "doc_id", "left").join(rows, "doc_id", "left")
+    some = F.array_compact(F.array("warning", "message"))
+    none = F.array(F.lit("no table was found on any page: the document may be scanned or laid out in an unknown way"))
+    return joined.select("doc_id", F.when((F.size(some) == 0) & F.col("n").isNull(), none).otherwise(some).alias("warnings"))
+
+
 def error_groups(errors: DataFrame) -> DataFrame:
     """Errors of pages and of whole files, counted."""
     kind = F.when(F.startswith("message", F.lit("page ")), "page").otherwise("critical")

@@ -1,8 +1,8 @@
 """A batch of documents to files: a workbook, a QC report and log lines for each document.
 
-The documents are processed as one plan; its parts are written once as tables by document, and each
-document's files are then made from its own partition. A document that fails is logged and reported,
-the others go on.
+The documents are processed as one plan, and their parts are kept as tables. Each document's rows then
+meet in a task that writes its files, so the number of documents is spread over executors; the driver
+has one outcome per document and the log. A document that fails is reported, the others go on.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,10 @@ def log_entry(status: str, doc_id: str, rows: int, now: datetime | None = None)
     return f"[{now or datetime.now():%Y-%m-%d %H:%M:%S}] | [Status: {status}] | [{name}] | [Rows Processed: {rows}]"
 
 
-def _log(folder: str, status: str, doc_id: str, rows: int = 0) -> None:
+def _log(folder: str, lines: list[str]) -> None:
     try:
         with open(os.path.join(folder, LOG), "a", encoding="utf-8") as f:
-            f.write(log_entry(status, doc_id, rows) + "\n")
+            f.writelines(x + "\n" for x in lines)
     except OSError:  # a log that can't be written stops nothing
         pass
 
@@ -53,57 +54,65 @@ def base_name(doc_id: str) -> str:
     return os.path.splitext(doc_id.replace("\\", "/").rsplit("/", 1)[-1])[0]
 
 
-def review_sheet(unmapped: DataFrame) -> DataFrame:
-    """One document's raw rows (their keys) with unmapped cells, a column for each header, in the
-    order of names."""
-    names = sorted(r[0] for r in unmapped.select("raw_header").distinct().collect())  # of one document: as many as its headers
-    if not names:
-        return unmapped.select(*transform.KEYS).limit(0)
-    return unmapped.groupBy(*transform.KEYS).agg(*[F.coalesce(F.max(F.when(F.col("raw_header") == n, F.col("value"))), F.lit("")).alias(f"[UNMAPPED] {n}") for n in names])
+def review_table(rest: pd.DataFrame) -> pd.DataFrame:
+    """One document's raw rows (their keys) with unmapped cells, a column for each header, in the order
+    of names."""
+    if rest.empty:
+        return pd.DataFrame(columns=transform.KEYS)
+    named = rest.assign(raw_header="[UNMAPPED] " + rest["raw_header"])
+    wide = named.pivot_table(index=transform.KEYS, columns="raw_header", values="value", aggfunc="max").fillna("")
+    return wide.rename_axis(columns=None).reset_index()
 
 
 def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | None = None) -> list[Outcome]:
-    """Files of ``doc_ids`` in ``out_dir``. ``tables`` is a folder that driver and executors share; the
-    parts and unmapped cells are kept there, partitioned by document."""
+    """Files of ``doc_ids`` in ``out_dir``. Both it and ``tables``, where parts and unmapped cells are
+    kept, are folders that driver and executors share."""
     spark = result.main.sparkSession
     os.makedirs(out_dir, exist_ok=True)
-    for doc_id in doc_ids:
-        _log(out_dir, "STARTED", doc_id)
+    _log(out_dir, [log_entry("STARTED", d, 0) for d in doc_ids])
     parts = qc.flag_language(result.main, detect) if config.language_detection else result.main
     kept = {}
-    for name, df in (("main", parts), ("unmapped", result.unmapped)):
+    for name, df in (("main", parts.withColumn("__failed", qc.fails(parts))), ("unmapped", result.unmapped)):
         path = f"{tables.rstrip('/')}/{name}"
-        df.withColumn("part_of", F.sha2("doc_id", 256)).repartition("part_of").write.mode("overwrite").partitionBy("part_of").parquet(path)
-        kept[name] = spark.read.schema(f"{_ddl(df)}, part_of string").parquet(path)
-    return [_write_one(kept, config, d, out_dir) for d in dict.fromkeys(doc_ids)]
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        df.write.mode("overwrite").parquet(path)
+        kept[name] = spark.read.schema(df.schema).parquet(path)
+    asked = dict.fromkeys(doc_ids)
+    listed = spark.createDataFrame([(d,) for d in asked], "doc_id string")
+    write = _writer(config, out_dir, sinks.write_workbook)
+    groups = kept["main"].join(listed, "doc_id", "left_semi").groupBy("doc_id").cogroup(kept["unmapped"].join(listed, "doc_id", "left_semi").groupBy("doc_id"))
+    done = {r["doc_id"]: Outcome(**r.asDict()) for r in groups.applyInPandas(write, "doc_id string, workbook string, report string, rows long, failed long, error string").collect()}
+    unread = {r["doc_id"]: Outcome(r["doc_id"], error=r["error"]) for r in result.errors.collect()} if result.errors is not None else {}
+    out = [unread.get(d) or done.get(d) or Outcome(d) for d in asked]
+    _log(out_dir, [log_entry("FINISHED", o.doc_id, o.rows) for o in out if o.error is None])
+    return out
 
 
-def _write_one(kept: dict[str, DataFrame], config: Config, doc_id: str, out_dir: str) -> Outcome:
-    out = Outcome(doc_id)
-    try:
-        own = F.sha2(F.lit(doc_id), 256)
-        main, rest = (kept[k].filter(F.col("part_of") == own).drop("part_of") for k in ("main", "unmapped"))
-        out.rows, out.failed = main.agg(F.count("*"), F.count_if(qc.fails(main))).first()
-        review = review_sheet(rest)
-        extra = [c for c in review.columns if c not in transform.KEYS]
-        if out.rows:
-            sheets = {MAIN: sinks.display(main.orderBy("row_index"), transform.columns(config))}
-            if extra:
-                sheets[REVIEW] = review.orderBy("page_no", "row_no").drop(*transform.KEYS)
-            target = sinks.free_path(os.path.join(out_dir, base_name(doc_id) + WORKBOOK))
-            out.workbook = sinks.write_workbook(target, sheets)
-        if out.failed:
-            out.report = os.path.join(out_dir, base_name(doc_id) + REPORT)
-            names = transform.columns(config) | {c: c for c in extra}
-            sinks.write_qc_report(main.join(review, transform.KEYS, "left"), out.report, ["row_index"], names)
-        _log(out_dir, "FINISHED", doc_id, out.rows)
-    except Exception as e:  # one document's failure is its own
-        out.error = f"{type(e).__name__}: {e}"
-    return out
+def _writer(config: Config, out_dir: str, write_workbook: Callable) -> Callable:
+    """A function of one document's parts and unmapped cells that writes its files."""
+    names = transform.columns(config)
+
+    def write(main: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+        doc_id = (main if len(main) else rest)["doc_id"].iloc[0]
+        out = Outcome(doc_id, rows=len(main), failed=int(main["__failed"].sum()))
+        try:
+            main, review = main.sort_values("row_index"), review_table(rest)
+            extra = [c for c in review.columns if c not in transform.KEYS]
+            if out.rows:
+                sheets = {MAIN: main[list(names.values())].set_axis(list(names), axis=1)}
+                if extra:
+                    sheets[REVIEW] = review.sort_values(["page_no", "row_no"])[extra]
+                target = sinks.free_path(os.path.join(out_dir, base_name(doc_id) + WORKBOOK))
+                out.workbook = write_workbook(target, sheets)
+            if out.failed:
+                path = os.path.join(out_dir, base_name(doc_id) + REPORT)
+                failed = main[main["__failed"]].merge(review, how="left", on=transform.KEYS) if extra else main[main["__failed"]]
+                shown = names | {c: c for c in extra}
+                out.report = sinks.write_qc_rows(path, list(shown), zip(failed["row_index"], failed[list(shown.values())].itertuples(index=False, name=None)))
+        except Exception as e:  # one document's failure is its own
+            out.error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([vars(out)])
+
+    return write
 
 
 def mapping_report(mapping: DataFrame) -> DataFrame:

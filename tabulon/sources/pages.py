@@ -1,15 +1,11 @@
-"""Documents as pages: page specs, file intake, and a data source for PDF words (optional decoder)."""
+"""Page specs, selection of pages, file intake and output names."""
 
 from __future__ import annotations
 
-import os
 import re
-from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LAST = 2**31 - 1
 
@@ -60,85 +56,5 @@ def output_name(path: Column, suffix: str = "_PROCESSED.xlsx") -> Column:
     return F.concat(F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1), F.lit(suffix))
 
 
-def decoder():
-    """The optional PDF library, or None."""
-    try:
-        import fitz
-    except ImportError:
-        return None
-    return fitz
-
-
-class PageRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
-
-
-class PdfReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.spec, self.step = options["path"], options.get("pages"), int(options.get("pagesPerTask", 32))
-
-    def _open(self, path: str):
-        fitz = decoder()
-        if fitz is None:
-            raise RuntimeError("Cannot open PDF: no decoder is installed")
-        try:
-            doc = fitz.open(path)
-        except Exception as e:
-            raise RuntimeError(f"Cannot open PDF: {e}") from e
-        if doc.needs_pass:
-            raise RuntimeError("The PDF has a password; remove it and try again.")
-        return doc
-
-    def partitions(self) -> list[PageRange]:
-        out = []
-        for path in intake(self.path.split(";")):
-            total = self._open(path).page_count
-            for a, b in parse_pages(self.spec, total) or [(1, total)]:
-                out += [PageRange(path, i, min(i + self.step - 1, b)) for i in range(a, b + 1, self.step)]
-        return out
-
-    def read(self, partition: PageRange) -> Iterator[tuple]:
-        doc = self._open(partition.path)
-        for no in range(partition.first, partition.last + 1):
-            page = doc.load_page(no - 1)
-            for n, w in enumerate(page.get_text("words")):
-                yield os.path.basename(partition.path), no, float(w[0]), float(w[1]), float(w[2]), float(w[3]), w[4], int(w[5]), int(w[6]), n
-
-
-class PdfWords(DataSource):
-    """``spark.read.format("pdf_words").option("pages", "1-5")``: a task per range of pages."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pdf_words"
-
-    def schema(self) -> str:
-        return "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double, text string, block_no int, line_no int, word_no int"
-
-    def reader(self, schema) -> PdfReader:
-        return PdfReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PdfWords)
-
-
 def ocr_status(enabled: bool, available: bool) -> str:
     return "disabled" if not enabled else "unavailable" if not available else "ran"
-
-
-def ocr_boxes(images: DataFrame, engine: Callable[[], Callable[[bytes], list]] | None) -> DataFrame:
-    """ocr_boxes of images(doc_id, page_no, page_w, image binary). ``engine`` makes an OCR function
-    (bytes to (points, text, score)) once a task; without one there are no boxes."""
-    schema = "doc_id string, page_no int, box_no int, page_w double, box array<struct<x:double,y:double>>, text string, score double"
-    if engine is None:
-        return images.sparkSession.createDataFrame([], schema)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        read = engine()
-        for batch in batches:
-            rows = [(r.doc_id, r.page_no, i, r.page_w, [{"x": float(x), "y": float(y)} for x, y in points], text, score) for r in batch.itertuples() for i, (points, text, score) in enumerate(read(r.image))]
-            yield pd.DataFrame(rows, columns=["doc_id", "page_no", "box_no", "page_w", "box", "text", "score"])
-
-    return images.mapInPandas(scan, schema)

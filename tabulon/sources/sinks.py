@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import csv
 import os
+import re
 import zipfile
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import strip_controls
 from tabulon.operators.qc import log_line, qc_failed
+from tabulon.sources import fixed_values as fixed
+
+#: Rows of a worksheet, with the names.
+SHEET_ROWS = 1 << 20
 
 
 class LockedError(RuntimeError):
@@ -29,25 +35,39 @@ def _letters(n: int) -> str:
     return out
 
 
-def write_workbook(path: str, sheets: dict[str, DataFrame]) -> str:
-    """An OOXML workbook of strings. Rows stream to the file, a partition at a time; for data beyond
-    one worksheet use a table."""
-    types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-    names = "".join(f'<sheet name="{escape(n[:31])}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1))
-    links = "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
+def _text(cell) -> str:
+    return "" if cell is None or cell != cell else re.sub(fixed.CONTROL_PATTERN, "", str(cell))
+
+
+def _sheets(sheets: dict[str, DataFrame | pd.DataFrame]) -> Iterator[tuple[str, list[str], Iterator[tuple]]]:
+    """Name, columns and rows of each worksheet; one that is full goes on in another."""
+    for name, df in sheets.items():
+        local = isinstance(df, pd.DataFrame)
+        rows = iter(df.itertuples(index=False, name=None)) if local else (tuple(r) for r in df.toLocalIterator())
+        n = len(df) if local else df.count()
+        for part in range(max(1, -(-n // (SHEET_ROWS - 1)))):
+            yield name[: 31 - 4 * bool(part)] + (f" ({part + 1})" if part else ""), list(df.columns), (r for _, r in zip(range(SHEET_ROWS - 1), rows))
+
+
+def write_workbook(path: str, sheets: dict[str, DataFrame | pd.DataFrame]) -> str:
+    """An OOXML workbook of strings, from rows here or from tables, which stream to the file a partition
+    at a time."""
+    listed = list(_sheets(sheets))
+    types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(listed) + 1))
+    names = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _, _) in enumerate(listed, 1))
+    links = "".join(f'<Relationship Id="rId{i}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(listed) + 1))
     top = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'{top}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
         z.writestr("_rels/.rels", f'{top}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{top}<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{top}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
-        for i, df in enumerate(sheets.values(), 1):
-            safe = df.select(*[strip_controls(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(c) for c in df.columns])
+        for i, (_, columns, rows) in enumerate(listed, 1):
             with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
                 out.write(f'{top}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'.encode())
-                out.write(_row(1, tuple(df.columns)))
-                for r, row in enumerate(safe.toLocalIterator(), 2):
-                    out.write(_row(r, tuple(row)))
+                out.write(_row(1, tuple(map(_text, columns))))
+                for r, row in enumerate(rows, 2):
+                    out.write(_row(r, tuple(map(_text, row))))
                 out.write(b"</sheetData></worksheet>")
     return path
 
@@ -81,13 +101,18 @@ def _writable(path: str) -> bool:
 def write_qc_report(parts: DataFrame, path: str, order: list[str], names: dict[str, str] | None = None) -> None:
     """Failing rows with their index as CSV; the index column has no name, the file begins with a BOM.
     ``names``: the columns by the name shown (all by their own if None)."""
-    rows = qc_failed(parts).orderBy(*order)
+    names = {c: c for c in parts.columns if c != "row_index"} if names is None else names
+    rows = qc_failed(parts).orderBy(*order).toLocalIterator()
+    write_qc_rows(path, list(names), ((r["row_index"], [r[c] for c in names.values()]) for r in rows))
+
+
+def write_qc_rows(path: str, columns: list[str], rows: Iterable[tuple[int, Iterable]]) -> str:
     with open(path, "w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f)
-        names = {c: c for c in parts.columns if c != "row_index"} if names is None else names
-        w.writerow(["", *names])
-        for r in rows.toLocalIterator():
-            w.writerow([r["row_index"], *[r[c] for c in names.values()]])
+        w.writerow(["", *columns])
+        for index, cells in rows:
+            w.writerow([index, *("" if x is None or x != x else x for x in cells)])
+    return path
 
 
 def append_log(log: DataFrame, path: str) -> None:

@@ -260,13 +260,6 @@ def test_language_flag(spark):
     assert qc.flag_language(df, None) is df
 
 
-def test_pdf_source_needs_a_decoder(spark):
-    if pages.decoder() is None:
-        with pytest.raises(RuntimeError, match="Cannot open PDF"):
-            pages.PdfReader({"path": "x.pdf"}).partitions()
-    assert pages.ocr_boxes(spark.createDataFrame([], "doc_id string"), None).count() == 0
-
-
 def test_watch(spark, tmp_path):
     spark.createDataFrame(cells_of([{"Item No.": "1", "Description": "pump", "Part No.": "P"}]), CELLS).write.parquet(str(tmp_path / "in"))
     seen = []
