@@ -135,7 +135,9 @@ def extended(found: DataFrame, matched: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc and ``runs``: the ranges of line numbers to delete, disjoint and ascending."""
     found = cut(lines(docs))
-    runs = extended(found, matches(cut(shared(fingerprints(found, min_words)))))
+    # both tables are read twice, and choosing costs more than writing down what was chosen
+    chosen = cut(fingerprints(found, min_words))
+    runs = extended(found, matches(cut(shared(chosen))))
     ordered = Window.partitionBy("doc").orderBy("a", "b")
     runs = runs.withColumn("new", (F.col("a") > F.coalesce(F.max("b").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)) + 1).cast("int"))
     merged = runs.withColumn("island", F.sum("new").over(ordered)).groupBy("doc", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
