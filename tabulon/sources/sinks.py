@@ -98,6 +98,12 @@ def _writable(path: str) -> bool:
         return False
 
 
+def grid(df: DataFrame, order: list[str], rows: int = 200) -> tuple[list[str], list[tuple[int, list[str]]]]:
+    """Names, and the first rows as text under labels from 1, for people to look at. Nothing is written."""
+    shown = df.orderBy(*order).limit(rows).collect()
+    return list(df.columns), [(i, [_text(x) for x in r]) for i, r in enumerate(shown, 1)]
+
+
 def write_qc_report(parts: DataFrame, path: str, order: list[str], names: dict[str, str] | None = None) -> None:
     """Failing rows with their index as CSV; the index column has no name, the file begins with a BOM.
     ``names``: the columns by the name shown (all by their own if None)."""

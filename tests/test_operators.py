@@ -238,6 +238,22 @@ def test_plan(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "log")).first()[0] == "[2024-01-02 03:04:05] | [Status: STARTED] | [b.pdf] | [Rows Processed: 0]"
 
 
+def test_grid(spark):
+    df = spark.createDataFrame([(2, None, "b\x07"), (1, 5, "a"), (3, 7, "c")], "i int, n int, t string")
+    assert sinks.grid(df, ["i"], 2) == (["i", "n", "t"], [(1, ["1", "5", "a"]), (2, ["2", "", "b"])])
+
+
+def test_full_sheets_go_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 4)
+    for name, rows in (("here", spark.range(7).toPandas()), ("there", spark.range(7))):
+        path = sinks.write_workbook(str(tmp_path / f"{name}.xlsx"), {"A long name of more than thirty-one": rows, "none": spark.range(0)})
+        with zipfile.ZipFile(path) as z:
+            book = z.read("xl/workbook.xml").decode()
+            sheets = [z.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2, 3, 4)]
+        assert [s.count("<row ") for s in sheets] == [4, 4, 2, 1] and "(3)" in book
+        assert sorted(x for s in sheets for x in "0123456" if f">{x}</t>" in s) == list("0123456")
+
+
 def test_empty_plan(spark):
     got = process_cells(spark.createDataFrame([], CELLS), CONFIG)
     assert got.main.count() == 0 and [c for c in got.main.columns if c not in ("doc_id", "page_no", "row_no", "row_index")] == list(transform.columns(CONFIG).values())
