@@ -750,18 +750,27 @@ def test_pipeline_cases(spark, tmp_path, docs, bpe, monkeypatch):
     assert none.count() == 0 and none.columns == ["doc_id", "lang", "source", "n_chars", "ids"]
 
 
-def test_shared_folder(spark, monkeypatch):
-    """A cluster without spark.checkpoint.dir is refused; one machine gets a temporary folder."""
+def test_shared_folder(spark):
+    """Without spark.checkpoint.dir a cluster is refused, and one machine gets a temporary folder."""
     class Context:
-        master = "spark://somewhere:7077"
+        def __init__(self, master):
+            self.master, self.folder = master, None
 
         def getCheckpointDir(self):
-            return None
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
 
     class Session:
-        sparkContext = Context()
         conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
 
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session.shared_dir(Session())
-    assert session.shared_dir(spark).startswith("file:")
+        def __init__(self, master):
+            self.sparkContext = Context(master)
+
+    for master in ("spark://somewhere:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Session(master))
+    for master in ("local", "local[2]", "local[*]"):
+        assert session.shared_dir(Session(master)).startswith("file:///")
+    assert session.shared_dir(spark)
