@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulon.operators import context, headers, layout, qc, transform
 from tabulon.sources import documents as source
+from tabulon.sources import page_source
 from tabulon.sources.config import Config
 from tabulon.sources.pages import ocr_status
 
@@ -60,20 +61,21 @@ def process_words(words: DataFrame, lines: DataFrame, pages: DataFrame, config:
     return result
 
 
-def process_files(spark: SparkSession, paths: list[str], config: Config, folder: str, decoder: source.Decoder | None = None, ocr: Callable[[], Callable] | None = None, ocr_lines: Callable[[], Callable] | None = None, pages: str | None = None, page_range: tuple[int, int] | None = None) -> Result:
-    """PDF files to parts. ``folder`` is one that driver and executors share; files, pages, what OCR read
+def process_files(spark: SparkSession, paths: list[str] | source.Stored, config: Config, folder: str, decoder: source.Decoder | None = None, ocr: Callable[[], Callable] | None = None, ocr_lines: Callable[[], Callable] | None = None, pages: str | None = None, page_range: tuple[int, int] | None = None) -> Result:
+    """PDF files, by path or stored, to parts. ``folder`` is one that driver and executors share; files, pages, what OCR read
     and each step's rows are kept there, so that nothing is read or worked out twice. ``ocr`` and ``ocr_lines`` make OCR functions (see ``read_scans``). A file or
     page that can't be read stops no other: see errors, status and warnings of the result."""
-    decoder = decoder or source.decoder()
+    decoder = paths if isinstance(paths, source.Stored) else decoder or source.decoder()
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         path = f"{folder.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    files = keep("files", source.open_files(spark, paths, decoder))
-    numbers = source.page_numbers(files, pages, page_range)
-    read = keep("pages", source.read_pages(numbers, decoder))
+    found = source.read_stored(paths, pages, page_range) if isinstance(paths, source.Stored) else page_source.read(spark, paths, decoder, pages=pages, page_range=page_range)
+    read = keep("pages", found)
+    files = read.groupBy("doc_id").agg(F.max(F.when(F.col("page_no").isNull(), F.col("error"))).alias("error"))
+    read = read.filter("page_no IS NOT NULL")
     good = read.filter("error IS NULL")
     words = good.select(*PAGE, F.inline("words"))
     lines = context.mark_bands(good.select(*PAGE, "page_h", F.inline("lines")))

@@ -1,7 +1,10 @@
-"""Files as pages, read on executors: a task per range of pages, every file and page failing alone.
+"""Files as pages, read on executors, every file and page failing alone.
 
-A decoder is a function from a path to an open document. It runs in tasks, and raises what people are
-to read if a file can't be opened. The document has ``pages`` (their number) and functions of a page
+Files come by path, as a data source (``page_source``) whose tasks open what all machines see under that
+path; or as bytes, from any file system that Spark reads (``stored``).
+
+A decoder is a function from a path (or from bytes) to an open document. It runs in tasks, and raises
+what people are to read if a file can't be opened. The document has ``pages`` (their number) and functions of a page
 number, from 1: ``text`` , ``size`` (width, height), ``words`` (x0, y0, x1, y1, text each), ``lines``
 (y, text each, from top to bottom), ``tables`` (each rows of cells) and ``image`` (with a resolution:
 an array of height, width and channels).
@@ -9,7 +12,9 @@ an array of height, width and channels).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
+from dataclasses import dataclass
+from fnmatch import fnmatch
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +25,24 @@ from pyspark.sql.types import StructType
 
 from tabulon.operators import headers
 from tabulon.operators.ocr_tables import table_of
-from tabulon.sources.pages import intake, select_pages
+from tabulon.sources.pages import chosen_pages, parse_pages
 
 Decoder = Callable[[str], object]
 PAGE = ["doc_id", "page_no"]
 #: Pages of a task, rows of a batch, resolution of page images.
 STEP, ROWS, DPI = 32, 64, 200
+#: Bytes of a file that is read whole.
+LARGEST = 1 << 30
 
 
 class FitzDocument:
     """A document by the optional PDF library."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str | bytes):
         import fitz
 
         try:
-            self.file = fitz.open(path)
+            self.file = fitz.open(source) if isinstance(source, str) else fitz.open(stream=source, filetype="pdf")
         except Exception as e:
             raise RuntimeError(f"Cannot open PDF: {e}") from e
         if self.file.needs_pass:
@@ -96,64 +103,125 @@ def _rows(df: DataFrame, read: Callable[[Iterator[dict]], Iterator[dict]], schem
     return df.mapInArrow(scan, schema)
 
 
-def open_files(spark: SparkSession, paths: list[str], open_: Decoder) -> DataFrame:
-    """doc_id (the path), total (pages) and error of each PDF path, each once; a task for each file."""
-    found = intake(paths)
+#: Columns of pages, in order.
+COLUMNS = {
+    "doc_id": "string",
+    "page_no": "int",
+    "total": "int",
+    "page_w": "double",
+    "page_h": "double",
+    "text": "string",
+    "words": "array<struct<word_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>",
+    "lines": "array<struct<line_no:int,y:double,text:string>>",
+    "error": "string",
+}
+SCHEMA = ", ".join(f"{c} {t}" for c, t in COLUMNS.items())
+
+
+def page_row(doc, n: int, columns: Collection[str]) -> dict:
+    """What the columns ask of a page; nothing else of it is decoded."""
+    out = {}
+    if "page_w" in columns or "page_h" in columns:
+        w, h = doc.size(n)
+        out |= {"page_w": float(w), "page_h": float(h)}
+    if "text" in columns:
+        out["text"] = doc.text(n)
+    if "words" in columns:
+        out["words"] = [dict(zip(("word_no", "x0", "y0", "x1", "y1", "text"), (i, *map(float, x[:4]), x[4]))) for i, x in enumerate(doc.words(n))]
+    if "lines" in columns:
+        out["lines"] = [{"line_no": i, "y": float(y), "text": t} for i, (y, t) in enumerate(doc.lines(n)) if t.strip()]
+    return out
+
+
+def file_rows(doc_id: str, open_: Callable[[], object], wanted: Callable[[int], Iterable[int]], columns: Collection[str] = tuple(COLUMNS)) -> Iterator[dict]:
+    """A row for each page that ``wanted`` makes of the number of pages; ``error`` is null for a page that
+    could be read. A file that can't be opened, or has no pages, is one row without a page_no."""
+    none = {"words": [], "lines": []}
+    try:
+        doc = open_()
+        total = int(doc.pages)
+    except Exception as e:  # a file's failure is its own
+        yield none | {"doc_id": doc_id, "error": str(e)}
+        return
+    if total < 1:
+        yield none | {"doc_id": doc_id, "total": 0}
+    for n in wanted(total):
+        keys = {"doc_id": doc_id, "page_no": n, "total": total}
+        try:
+            yield keys | page_row(doc, n, columns)
+        except Exception as e:  # and a page's
+            yield none | keys | {"error": f"page {n}: {e}"}
 
-    def read(rows: Iterator[dict]) -> Iterator[dict]:
-        for r in rows:
-            try:
-                yield r | {"total": int(open_(r["doc_id"]).pages), "error": None}
-            except Exception as e:  # a file's failure is its own
-                yield r | {"total": None, "error": str(e)}
 
-    listed = spark.createDataFrame([(i, p) for i, p in enumerate(found)], "n int, doc_id string")
-    return _rows(listed.repartitionById(max(len(found), 1), "n").select("doc_id"), read, "doc_id string, total int, error string")
+@dataclass
+class Stored:
+    """Files of a file system that Spark reads: ``files`` has path and content, ``refused`` path and error,
+    and ``decode`` makes a document of bytes."""
 
+    files: DataFrame
+    refused: DataFrame
+    decode: Callable[[bytes], object]
 
-def page_numbers(files: DataFrame, spec: str | None = None, page_range: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id and page_no of the selected pages of files that could be opened."""
-    whole = files.filter("error IS NULL AND total > 0").select("doc_id", F.explode(F.sequence(F.lit(1), "total")).alias("page_no"))
-    return select_pages(whole, spec, page_range)
 
+def stored(spark: SparkSession, roots: str | list[str], decode: Callable[[bytes], object], largest: int = LARGEST) -> Stored:
+    """PDF files under folders, of globs, or alone, by Spark's own listing and reading: nested ones too,
+    names in either case, each file once. One of more than ``largest`` bytes is refused unread."""
+    asked = list(dict.fromkeys([roots] if isinstance(roots, str) else roots))
+    within = lambda x, root: x != root and (x.startswith(root.rstrip("/") + "/") or fnmatch(x, root) or fnmatch(x, root.rstrip("/") + "/*"))
+    kept = [x for x in asked if not any(within(x, root) and not (within(root, x) and asked.index(x) < asked.index(root)) for root in asked)]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")  # else thousands of files would be one batch
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(kept)
+    if sum(any(c in x for c in "*?[{") for x in kept) > 1:  # what several globs share comes once for each
+        found = found.dropDuplicates(["path"])
+    small = F.col("length") <= largest
+    refused = found.filter(~small).select("path", F.format_string(f"Cannot open PDF: %d bytes are more than {largest}", "length").alias("error"))
+    return Stored(found.filter(small).select("path", "content"), refused, decode)
 
-def _each_page(numbers: DataFrame, open_: Decoder, read: Callable[[object, int], Iterator[dict]], failed: Callable[[int, Exception], list[dict]], schema: str) -> DataFrame:
-    """What ``read`` makes of each page, or ``failed`` of its exception. A task has one file open."""
 
-    def pages(rows: Iterator[dict]) -> Iterator[dict]:
-        path, doc = None, None
+def read_stored(files: Stored, spec: str | None = None, page_range: tuple[int, int] | None = None) -> DataFrame:
+    """Pages (see ``COLUMNS``) of stored files: a file is read in the task that Spark reads its bytes in."""
+    parse_pages(spec)  # a wrong spec fails here
+    decode = files.decode
+
+    def read(rows: Iterator[dict]) -> Iterator[dict]:
         for r in rows:
-            try:
-                if path != r["doc_id"]:
-                    path, doc = None, None
-                    doc = open_(r["doc_id"])
-                    path = r["doc_id"]
-                found = list(read(doc, r["page_no"]))
-            except Exception as e:  # a page's failure is its own
-                found = failed(r["page_no"], e)
-            for x in found:
-                yield {"doc_id": r["doc_id"], "page_no": r["page_no"]} | x
-
-    dealt = numbers.select(*PAGE).repartition("doc_id", F.floor((F.col("page_no") - 1) / STEP)).sortWithinPartitions(*PAGE)
-    return _rows(dealt, pages, f"doc_id string, page_no int, {schema}")
+            yield from file_rows(r["path"], lambda: decode(r["content"]), lambda total: chosen_pages(total, spec, page_range))
 
+    refused = files.refused.select(F.col("path").alias("doc_id"), "error")
+    return _rows(files.files, read, SCHEMA).unionByName(refused, allowMissingColumns=True)
 
-def read_pages(numbers: DataFrame, open_: Decoder) -> DataFrame:
-    """One row a page: text, page_w, page_h, words and lines (arrays), and error, which is null for a
-    page that could be read."""
 
-    def read(doc, n: int) -> Iterator[dict]:
-        w, h = doc.size(n)
-        words = [dict(zip(("word_no", "x0", "y0", "x1", "y1", "text"), (i, *map(float, x[:4]), x[4]))) for i, x in enumerate(doc.words(n))]
-        lines = [{"line_no": i, "y": float(y), "text": t} for i, (y, t) in enumerate(doc.lines(n)) if t.strip()]
-        yield {"page_w": float(w), "page_h": float(h), "text": doc.text(n), "words": words, "lines": lines, "error": None}
+def _each_page(numbers: DataFrame, files: Decoder | Stored, read: Callable[[object, int], Iterator[dict]], failed: Callable[[int, Exception], list[dict]], schema: str) -> DataFrame:
+    """What ``read`` makes of each page, or ``failed`` of its exception. A task has one file open. Files by
+    path are spread by ranges of pages; bytes move to their pages once."""
+    whole = isinstance(files, Stored)
 
-    empty = {"page_w": None, "page_h": None, "text": None, "words": [], "lines": []}
-    schema = "page_w double, page_h double, text string, words array<struct<word_no:int,x0:double,y0:double,x1:double,y1:double,text:string>>, lines array<struct<line_no:int,y:double,text:string>>, error string"
-    return _each_page(numbers, open_, read, lambda n, e: [empty | {"error": f"page {n}: {e}"}], schema)
+    def pages(rows: Iterator[dict]) -> Iterator[dict]:
+        path, doc = None, None
+        for r in rows:
+            for n in r["pages"] if whole else [r["page_no"]]:
+                try:
+                    if path != r["doc_id"]:
+                        path, doc = None, None
+                        doc = files.decode(r["content"]) if whole else files(r["doc_id"])
+                        path = r["doc_id"]
+                    found = list(read(doc, n))
+                except Exception as e:  # a page's failure is its own
+                    found = failed(n, e)
+                for x in found:
+                    yield {"doc_id": r["doc_id"], "page_no": n} | x
+
+    if whole:
+        bytes_, decode = files.files, files.decode
+        listed = numbers.groupBy("doc_id").agg(F.sort_array(F.collect_list("page_no")).alias("pages"))
+        dealt = listed.join(bytes_.withColumnRenamed("path", "doc_id"), "doc_id")
+        files = Stored(None, None, decode)  # what travels to tasks
+    else:
+        dealt = numbers.select(*PAGE).repartition("doc_id", F.floor((F.col("page_no") - 1) / STEP)).sortWithinPartitions(*PAGE)
+    return _rows(dealt, pages, f"doc_id string, page_no int, {schema}")
 
 
-def read_tables(numbers: DataFrame, open_: Decoder) -> DataFrame:
+def read_tables(numbers: DataFrame, open_: Decoder | Stored) -> DataFrame:
     """Cells of the best table that the decoder's own finder sees on each page; a page where it fails
     has none."""
 
@@ -185,7 +253,7 @@ def ocr_table(image: np.ndarray, engine: Callable[[np.ndarray], list]) -> tuple[
     return [], [], ""
 
 
-def read_scans(numbers: DataFrame, open_: Decoder, engine: Callable[[], Callable] | None, fallback: Callable[[], Callable] | None = None) -> DataFrame:
+def read_scans(numbers: DataFrame, open_: Decoder | Stored, engine: Callable[[], Callable] | None, fallback: Callable[[], Callable] | None = None) -> DataFrame:
     """Cells of page images, with the way they were read, and rows with an error alone for pages that
     gave none. ``engine`` makes, once a task, a function from an image to (points, text, score) each;
     only where it can't be made, ``fallback`` makes one from an image to lines of text, which become

@@ -36,6 +36,14 @@ def in_ranges(page: Column, ranges: list[tuple[int, int]]) -> Column:
     return out
 
 
+def chosen_pages(total: int, spec: str | None = None, page_range: tuple[int, int] | None = None) -> list[int]:
+    """Pages of a document of ``total`` pages, ascending: the spec goes before the range, and what selects
+    nothing gives the whole."""
+    ranges = parse_pages(spec, total) or ([page_range] if page_range else [])
+    some = {n for a, b in ranges for n in range(max(a, 1), min(b, total) + 1)}
+    return sorted(some) if some else list(range(1, total + 1))
+
+
 def select_pages(pages: DataFrame, spec: str | None = None, page_range: tuple[int, int] | None = None, page: str = "page_no") -> DataFrame:
     """The spec goes before the range; either that selects nothing of a document gives the whole of it.
     The test of emptiness is per document and aggregates only page numbers."""

@@ -8,7 +8,7 @@ from tabulon.operators import qc
 from tabulon.plans import batch
 from tabulon.plans.documents import process_files
 from tabulon.sources import documents as source
-from tabulon.sources import pages
+from tabulon.sources import page_source, pages
 from tabulon.sources.config import Config
 
 
@@ -153,8 +153,7 @@ def test_ocr_cases(spark, tmp_path, case):
 
 def test_selected_pages(spark, tmp_path):
     """The spec goes before the range; what selects nothing of a document gives the whole of it."""
-    files = source.open_files(spark, ["long.pdf", "plain.pdf"], decoder())
-    count = lambda *a: {r.doc_id: r["count"] for r in source.page_numbers(files, *a).groupBy("doc_id").count().collect()}
+    count = lambda spec=None, between=None: {r.doc_id: r["count"] for r in page_source.read(spark, ["long.pdf", "plain.pdf"], decoder(), ["doc_id"], spec, between).groupBy("doc_id").count().collect()}
     assert count() == {"long.pdf": 70, "plain.pdf": 1}
     assert count("3, 60-") == {"long.pdf": 12, "plain.pdf": 1} and count(None, (2, 5)) == {"long.pdf": 4, "plain.pdf": 1} and count("1-2", (2, 5)) == {"long.pdf": 2, "plain.pdf": 1}
     got = process_files(spark, ["long.pdf"], Config(), str(tmp_path), decoder(), pages="33-34, 70")
