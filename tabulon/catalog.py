@@ -380,6 +380,28 @@ def unmapped_rows(spark, d):
     return transform.unmapped_cells(cells, headers.map_exact(cells, phrase_table(spark, CONFIG)))
 
 
+SEEN = "SELECT p_brand AS doc_id, cast(1 + p_partkey % 9 AS int) AS page_no, cast(p_partkey AS int) AS row_no, cast({} AS int) AS col_pos, {} AS raw_header, {} AS value FROM part"
+SEEN_CELLS = " UNION ALL ".join(SEEN.format(c, h, v) for c, h, v in [("p_size % 3", "CASE WHEN p_partkey % 9 > 2 THEN 'Weight' ELSE 'No.' END", "p_name"), ("3 + p_size % 2", "concat('Z', cast(p_size % 7 AS varchar(9)))", CELL), ("4", "CASE WHEN length(p_name) % 2 = 0 THEN 'Part No.' ELSE 'Alpha' END", "p_type"), ("9", "'Blank'", "' '")])
+
+
+@query(f"""WITH c AS ({SEEN_CELLS}), f AS (SELECT doc_id, raw_header, min((page_no, col_pos)) AS seen FROM c GROUP BY ALL)
+SELECT doc_id, raw_header, (row_number() OVER (PARTITION BY doc_id ORDER BY seen, raw_header) - 1)::INTEGER AS place FROM f""")
+def first_seen_columns(spark, d):
+    """The columns of the union of each document's pages."""
+    return transform.first_seen(_sql(spark, d, SEEN_CELLS, "part"), ["doc_id"])
+
+
+@query(f"""WITH i AS (SELECT DISTINCT {NORM('phrase')} AS norm FROM {PHRASES}), c AS ({SEEN_CELLS}),
+r AS (SELECT *, {CLEAN('value')} AS v FROM c WHERE {NORM('raw_header')} NOT IN (SELECT norm FROM i)),
+f AS (SELECT doc_id, raw_header, min((page_no, col_pos)) AS seen, bool_or({STRIP('v')} <> '') AS filled FROM r GROUP BY ALL),
+g AS (SELECT *, bool_or(filled) OVER (PARTITION BY doc_id) AS shown FROM f)
+SELECT doc_id, raw_header, (row_number() OVER (PARTITION BY doc_id ORDER BY seen, raw_header) - 1)::INTEGER AS place FROM g WHERE shown""")
+def review_columns(spark, d):
+    """The columns of each document's review sheet: those without a target, in the order they are first seen."""
+    cells = _sql(spark, d, SEEN_CELLS, "part")
+    return transform.review_columns(cells, headers.map_exact(cells, phrase_table(spark, CONFIG)))
+
+
 RESCUE = " UNION ALL ".join(f"SELECT p_brand AS doc_id, p_partkey AS row_no, {i} AS col_pos, {h} AS raw_header, {v} AS value FROM part" for i, (h, v) in enumerate([("'No.'", KEY), ("'col1'", "p_type"), ("CASE WHEN length(p_brand) % 2 = 0 THEN 'Title Name' ELSE 'col2' END", "p_name")]))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,13 +65,22 @@ def lost_messages(lost: DataFrame, shown: int = 5) -> DataFrame:
     return each.select("doc_id", F.concat(F.format_string("%d pages may have lost rows: ", F.size("p")), examples, more).alias("message"))
 
 
-def document_warnings(docs: DataFrame, state: DataFrame, lost: DataFrame, rows: DataFrame) -> DataFrame:
-    """doc_id and ``warnings``, in order: about scans, about lost rows, and, if there is neither and no
-    row, that no table was found. ``state``: what ``document_message`` needs; ``rows``: doc_id and n."""
-    joined = docs.join(document_message(state).select("doc_id", "warning"), "doc_id", "left").join(lost_messages(lost), "doc_id", "left").join(rows, "doc_id", "left")
+def unmapped_messages(columns: DataFrame) -> DataFrame:
+    """doc_id and unmapped: how many columns had no target. ``columns``: doc_id and raw_header."""
+    n = columns.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return n.select("doc_id", F.format_string("%d columns could not be mapped: their cells are in the review sheet", "n").alias("unmapped"))
+
+
+def document_warnings(docs: DataFrame, state: DataFrame, lost: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """doc_id and ``warnings``, in order: about scans, about lost rows, if there is neither and no row that
+    no table was found, and about unmapped columns. ``state``: what ``document_message`` needs; ``rows``:
+    doc_id and n; ``columns``: what ``unmapped_messages`` needs."""
+    sides = [document_message(state).select("doc_id", "warning"), lost_messages(lost), rows, unmapped_messages(columns)]
+    joined = reduce(lambda a, b: a.join(b, "doc_id", "left"), sides, docs)
     some = F.array_compact(F.array("warning", "message"))
     none = F.array(F.lit("no table was found on any page: the document may be scanned or laid out in an unknown way"))
-    return joined.select("doc_id", F.when((F.size(some) == 0) & F.col("n").isNull(), none).otherwise(some).alias("warnings"))
+    first = F.when((F.size(some) == 0) & F.col("n").isNull(), none).otherwise(some)
+    return joined.select("doc_id", F.concat(first, F.array_compact(F.array("unmapped"))).alias("warnings"))
 
 
 def error_groups(errors: DataFrame) -> DataFrame:
@@ -79,11 +89,12 @@ def error_groups(errors: DataFrame) -> DataFrame:
     return errors.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def flag_language(parts: DataFrame, detect: Callable[[str], str] | None) -> DataFrame:
+def flag_language(parts: DataFrame, detect: Callable[[str], str] | None, mark: str | None = None) -> DataFrame:
     """Tags internal_remark where a long, mostly alphabetic part_name is not English. ``detect`` is a
-    plug-in from text to language code; without one nothing is tagged."""
+    plug-in from text to language code; without one nothing is tagged. ``mark`` names a column that says
+    whether the row was tagged."""
     if detect is None:
-        return parts
+        return parts.withColumn(mark, F.lit(False)) if mark else parts
 
     @F.pandas_udf("string")
     def language(names: pd.Series) -> pd.Series:
@@ -99,7 +110,9 @@ def flag_language(parts: DataFrame, detect: Callable[[str], str] | None) -> Data
     long = (F.length(name) >= fixed.FOREIGN_MIN_LENGTH) & (letters(name) >= F.length(name) * 0.5)
     foreign = F.coalesce(language(F.when(long, name).otherwise("")) != "en", F.lit(False)) & long & ~F.contains("internal_remark", F.lit(fixed.FOREIGN_TAG))
     tagged = F.when(remark == "", fixed.FOREIGN_TAG).otherwise(F.concat_ws(" ", remark, F.lit(fixed.FOREIGN_TAG)))
-    return parts.withColumn("internal_remark", F.when(foreign, tagged).otherwise(F.col("internal_remark")))
+    marked = parts.withColumn(mark or "__foreign", foreign)
+    marked = marked.withColumn("internal_remark", F.when(F.col(mark or "__foreign"), tagged).otherwise(F.col("internal_remark")))
+    return marked if mark else marked.drop("__foreign")
 
 
 def log_line(ts: Column, status: Column, file: Column, rows: Column) -> Column:

@@ -42,6 +42,30 @@ def unmapped_cells(cells: DataFrame, mapping: DataFrame) -> DataFrame:
     return some.filter("some").select(*KEYS, "raw_header", "value")
 
 
+def first_seen(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of the union of a document's tables: ``by``, raw_header, and place, from 0 in the order
+    in which pages, and columns within a page, first have them."""
+    seen = cells.groupBy(*by, "raw_header").agg(F.min(F.struct("page_no", "col_pos")).alias("__at"))
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("__at", "raw_header")) - 1).drop("__at")
+
+
+def review_columns(cells: DataFrame, mapping: DataFrame, by: list[str] = KEYS[:1]) -> DataFrame:
+    """The unmapped columns of each document that has a cell in one of them, as ``first_seen``."""
+    rest = cells.join(mapping.filter("target IS NOT NULL"), "raw_header", "left_anti")
+    seen = rest.groupBy(*by, "raw_header").agg(F.min(F.struct("page_no", "col_pos")).alias("__at"), F.max(strip(clean(F.col("value"))) != "").alias("__some"))
+    w = Window.partitionBy(*by)
+    ranked = seen.withColumns({"place": F.row_number().over(w.orderBy("__at", "raw_header")) - 1, "__any": F.max("__some").over(w)})
+    return ranked.filter("__any").drop("__at", "__some", "__any")
+
+
+def review_rows(unmapped: DataFrame, columns: DataFrame) -> DataFrame:
+    """One document's review table: KEYS and its unmapped columns in their order. The columns (one document's)
+    come to the driver, the cells don't; they are pivoted in one pass."""
+    names = [r["raw_header"] for r in columns.orderBy("place").collect()]
+    of = lambda h: F.coalesce(F.max(F.when(F.col("raw_header") == h, F.col("value"))), F.lit(""))
+    return unmapped.groupBy(*KEYS).agg(*[of(h).alias(f"[UNMAPPED] {h}") for h in names])
+
+
 def apply_context(parts: DataFrame, context: DataFrame) -> DataFrame:
     """Fills blank manufacturer, spare_group, drawing_no and ref_page from page_ctx."""
     names = ["manufacturer", "spare_group", "drawing_no"]

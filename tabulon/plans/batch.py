@@ -3,13 +3,20 @@
 The documents are processed as one plan, and their parts are kept as tables. Each document's rows then
 meet in a task that writes its files, so the number of documents is spread over executors; the driver
 has one outcome per document and the log. A document that fails is reported, the others go on.
+
+Files are committed: a task writes them under names of its own attempt in a hidden folder, and when all
+tasks have ended, the driver gives those of the attempts that counted their final names, and removes
+the folder with what other attempts left. If the batch fails, no file of it appears, and the log has STARTED
+without FINISHED.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
@@ -34,6 +41,8 @@ class Outcome:
     rows: int = 0
     failed: int = 0
     error: str | None = None
+    #: What people should know of the rows and files.
+    notes: list[str] = field(default_factory=list)
 
 
 def log_entry(status: str, doc_id: str, rows: int, now: datetime | None = None) -> str:
@@ -55,59 +64,96 @@ def base_name(doc_id: str) -> str:
 
 
 def review_table(rest: pd.DataFrame) -> pd.DataFrame:
-    """One document's raw rows (their keys) with unmapped cells, a column for each header, in the order
-    of names."""
+    """One document's raw rows (their keys) with unmapped cells, a column for each header, in the order in
+    which the document first has them. A column without cells here has a row without keys."""
     if rest.empty:
         return pd.DataFrame(columns=transform.KEYS)
-    named = rest.assign(raw_header="[UNMAPPED] " + rest["raw_header"])
-    wide = named.pivot_table(index=transform.KEYS, columns="raw_header", values="value", aggfunc="max").fillna("")
-    return wide.rename_axis(columns=None).reset_index()
+    order = rest.groupby("raw_header")["place"].min().sort_values(kind="stable").index
+    cells = rest[rest["row_no"].notna()].astype({"page_no": int, "row_no": int})
+    wide = cells.pivot_table(index=transform.KEYS, columns="raw_header", values="value", aggfunc="max").reindex(columns=order).fillna("")
+    return wide.add_prefix("[UNMAPPED] ").rename_axis(columns=None).reset_index()
 
 
-def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | None = None) -> list[Outcome]:
+def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | None = None, as_copy: bool = True) -> list[Outcome]:
     """Files of ``doc_ids`` in ``out_dir``. Both it and ``tables``, where parts and unmapped cells are
-    kept, are folders that driver and executors share."""
+    kept, are folders that driver and executors share. A workbook that is locked is kept under another name,
+    or with ``as_copy`` false is an error of its document."""
     spark = result.main.sparkSession
     os.makedirs(out_dir, exist_ok=True)
     _log(out_dir, [log_entry("STARTED", d, 0) for d in doc_ids])
-    parts = qc.flag_language(result.main, detect) if config.language_detection else result.main
+    parts = qc.flag_language(result.main, detect if config.language_detection else None, "__foreign")
+    columns = result.columns if result.columns is not None else result.unmapped.select("doc_id", "raw_header").distinct().withColumn("place", F.lit(0))
+    placed = result.unmapped.join(columns, ["doc_id", "raw_header"]).unionByName(columns, allowMissingColumns=True)
     kept = {}
-    for name, df in (("main", parts.withColumn("__failed", qc.fails(parts))), ("unmapped", result.unmapped)):
+    for name, df in (("main", parts.withColumn("__failed", qc.fails(parts))), ("unmapped", placed)):
         path = f"{tables.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(path)
         kept[name] = spark.read.schema(df.schema).parquet(path)
     asked = dict.fromkeys(doc_ids)
     listed = spark.createDataFrame([(d,) for d in asked], "doc_id string")
-    write = _writer(config, out_dir, sinks.write_workbook)
-    groups = kept["main"].join(listed, "doc_id", "left_semi").groupBy("doc_id").cogroup(kept["unmapped"].join(listed, "doc_id", "left_semi").groupBy("doc_id"))
-    done = {r["doc_id"]: Outcome(**r.asDict()) for r in groups.applyInPandas(write, "doc_id string, workbook string, report string, rows long, failed long, error string").collect()}
-    unread = {r["doc_id"]: Outcome(r["doc_id"], error=r["error"]) for r in result.errors.collect()} if result.errors is not None else {}
-    out = [unread.get(d) or done.get(d) or Outcome(d) for d in asked]
+    attempts = os.path.join(out_dir, f".attempts-{uuid.uuid4().hex}")
+    os.makedirs(attempts)
+    try:
+        write = _writer(config, attempts, sinks.write_workbook)
+        groups = kept["main"].join(listed, "doc_id", "left_semi").groupBy("doc_id").cogroup(kept["unmapped"].join(listed, "doc_id", "left_semi").groupBy("doc_id"))
+        done = {r["doc_id"]: Outcome(**r.asDict()) for r in groups.applyInPandas(write, "doc_id string, workbook string, report string, rows long, failed long, error string, notes array<string>").collect()}
+        unread = {r["doc_id"]: Outcome(r["doc_id"], error=r["error"]) for r in result.errors.collect()} if result.errors is not None else {}
+        out = [unread.get(d) or done.get(d) or Outcome(d) for d in asked]
+        taken: set[str] = set()
+        for o in out:
+            _commit(o, out_dir, taken, as_copy)
+    finally:
+        shutil.rmtree(attempts, ignore_errors=True)
     _log(out_dir, [log_entry("FINISHED", o.doc_id, o.rows) for o in out if o.error is None])
     return out
 
 
-def _writer(config: Config, out_dir: str, write_workbook: Callable) -> Callable:
-    """A function of one document's parts and unmapped cells that writes its files."""
+def _commit(o: Outcome, out_dir: str, taken: set[str], as_copy: bool) -> None:
+    """Gives a document's files, as its task wrote them, their final names, which it notes in ``taken``."""
+    written, o.workbook, o.report = {"workbook": o.workbook, "report": o.report}, None, None
+    if o.error:
+        return
+    try:
+        for kind, ending in (("workbook", WORKBOOK), ("report", REPORT)):
+            if not written[kind]:
+                continue
+            wanted = os.path.join(out_dir, base_name(o.doc_id) + ending)
+            target = sinks.free_path(wanted, as_copy or wanted in taken, taken)
+            os.replace(written[kind], target)
+            taken.add(target)
+            setattr(o, kind, target)
+            if target != wanted:
+                why = "another document of the batch has that name" if wanted in taken else "it is locked"
+                o.notes.append(f"{os.path.basename(wanted)} was kept as {os.path.basename(target)}: {why}")
+    except Exception as e:  # one document's failure is its own
+        o.error = f"{type(e).__name__}: {e}"
+
+
+def _writer(config: Config, folder: str, write_workbook: Callable) -> Callable:
+    """A function of one document's parts and unmapped cells that writes its files into the folder, under
+    names that no other attempt has."""
     names = transform.columns(config)
 
     def write(main: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
         doc_id = (main if len(main) else rest)["doc_id"].iloc[0]
         out = Outcome(doc_id, rows=len(main), failed=int(main["__failed"].sum()))
+        base = os.path.join(folder, f"{uuid.uuid4().hex}-{base_name(doc_id)}")
         try:
             main, review = main.sort_values("row_index"), review_table(rest)
             extra = [c for c in review.columns if c not in transform.KEYS]
+            if main["__foreign"].any():
+                out.notes.append(f"{main['__foreign'].sum()} rows are flagged as not English")
+            if extra:
+                out.notes.append(f"{len(extra)} columns could not be mapped: their cells are in the review sheet")
             if out.rows:
                 sheets = {MAIN: main[list(names.values())].set_axis(list(names), axis=1)}
                 if extra:
                     sheets[REVIEW] = review.sort_values(["page_no", "row_no"])[extra]
-                target = sinks.free_path(os.path.join(out_dir, base_name(doc_id) + WORKBOOK))
-                out.workbook = write_workbook(target, sheets)
+                out.workbook = write_workbook(base + WORKBOOK, sheets)
             if out.failed:
-                path = os.path.join(out_dir, base_name(doc_id) + REPORT)
                 failed = main[main["__failed"]].merge(review, how="left", on=transform.KEYS) if extra else main[main["__failed"]]
                 shown = names | {c: c for c in extra}
-                out.report = sinks.write_qc_rows(path, list(shown), zip(failed["row_index"], failed[list(shown.values())].itertuples(index=False, name=None)))
+                out.report = sinks.write_qc_rows(base + REPORT, list(shown), zip(failed["row_index"], failed[list(shown.values())].itertuples(index=False, name=None)))
         except Exception as e:  # one document's failure is its own
             out.error = f"{type(e).__name__}: {e}"
         return pd.DataFrame([vars(out)])

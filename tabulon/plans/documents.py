@@ -29,13 +29,15 @@ class Result:
     #: doc_id and error of files that could not be opened; doc_id and warnings (texts) of the others.
     errors: DataFrame | None = None
     warnings: DataFrame | None = None
+    #: doc_id, raw_header and place of the columns of the review sheets.
+    columns: DataFrame | None = None
 
 
 def process_cells(cells: DataFrame, config: Config, page_ctx: DataFrame | None = None) -> Result:
     """Distinct headers are mapped once; cells are then pivoted, transformed and checked."""
     mapping = headers.header_map(cells.select("raw_header").distinct(), config)
     parts = transform.transform(cells, mapping, config, page_ctx)
-    return Result(parts, transform.unmapped_cells(cells, mapping), qc.qc_failed(parts), mapping)
+    return Result(parts, transform.unmapped_cells(cells, mapping), qc.qc_failed(parts), mapping, columns=transform.review_columns(cells, mapping))
 
 
 def process_words(words: DataFrame, lines: DataFrame, pages: DataFrame, config: Config, other: DataFrame | Callable[[DataFrame], DataFrame] | None = None, scans: DataFrame | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> Result:
@@ -98,5 +100,5 @@ def process_files(spark: SparkSession, paths: list[str] | source.Stored, config:
         state = state.withColumn("ocr_status", F.when(F.coalesce("not_ready", F.lit(False)) & ~F.col("ocr_used"), "unavailable").otherwise(F.col("ocr_status")))
     opened = files.filter("error IS NULL").select("doc_id")
     rows = result.main.groupBy("doc_id").agg(F.count("*").alias("n"))
-    result.warnings = qc.document_warnings(opened, state, result.lost, rows)
+    result.warnings = qc.document_warnings(opened, state, result.lost, rows, result.columns)
     return result

@@ -5,8 +5,11 @@ from __future__ import annotations
 import csv
 import os
 import re
+import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
+from contextlib import contextmanager
+from itertools import count
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -49,9 +52,30 @@ def _sheets(sheets: dict[str, DataFrame | pd.DataFrame]) -> Iterator[tuple[str,
             yield name[: 31 - 4 * bool(part)] + (f" ({part + 1})" if part else ""), list(df.columns), (r for _, r in zip(range(SHEET_ROWS - 1), rows))
 
 
+@contextmanager
+def whole(path: str) -> Iterator[str]:
+    """A name beside the path, for a file that takes its place when it is whole; one that fails is removed
+    and leaves what was there."""
+    folder, name = os.path.split(path)
+    beside = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+    try:
+        yield beside
+        os.replace(beside, path)
+    except BaseException:
+        if os.path.exists(beside):
+            os.remove(beside)
+        raise
+
+
 def write_workbook(path: str, sheets: dict[str, DataFrame | pd.DataFrame]) -> str:
     """An OOXML workbook of strings, from rows here or from tables, which stream to the file a partition
     at a time."""
+    with whole(path) as beside:
+        _workbook(beside, sheets)
+    return path
+
+
+def _workbook(path: str, sheets: dict[str, DataFrame | pd.DataFrame]) -> None:
     listed = list(_sheets(sheets))
     types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(listed) + 1))
     names = "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, (n, _, _) in enumerate(listed, 1))
@@ -69,7 +93,6 @@ def write_workbook(path: str, sheets: dict[str, DataFrame | pd.DataFrame]) -> st
                 for r, row in enumerate(rows, 2):
                     out.write(_row(r, tuple(map(_text, row))))
                 out.write(b"</sheetData></worksheet>")
-    return path
 
 
 def _row(r: int, cells: tuple) -> bytes:
@@ -77,14 +100,13 @@ def _row(r: int, cells: tuple) -> bytes:
     return f'<row r="{r}">{body}</row>'.encode()
 
 
-def free_path(path: str, as_copy: bool = True, tries: int = 100) -> str:
-    """The path, or if it is locked the first free copy name."""
-    if _writable(path):
+def free_path(path: str, as_copy: bool = True, taken: Collection[str] = ()) -> str:
+    """The path, or if it is locked, or another file of the batch has it, the first copy name that is free."""
+    if path not in taken and _writable(path):
         return path
     base, ext = os.path.splitext(path)
-    for i in range(1, tries if as_copy else 1):
-        if _writable(f"{base}_{i}{ext}"):
-            return f"{base}_{i}{ext}"
+    if as_copy:
+        return next(x for x in (f"{base}_{i}{ext}" for i in count(1)) if x not in taken and not os.path.exists(x))
     raise LockedError(f"{path} is locked; close it and try again")
 
 
@@ -113,7 +135,7 @@ def write_qc_report(parts: DataFrame, path: str, order: list[str], names: dict[s
 
 
 def write_qc_rows(path: str, columns: list[str], rows: Iterable[tuple[int, Iterable]]) -> str:
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+    with whole(path) as beside, open(beside, "w", encoding="utf-8-sig", newline="") as f:
         w = csv.writer(f)
         w.writerow(["", *columns])
         for index, cells in rows:
