@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tabulon.functions.patterns import longest
 from tabulon.sources import fixed_values as fixed
 
 #: White space as Unicode-aware programs strip it; Java's \s and SQL's trim know less.
@@ -71,23 +69,17 @@ def bundle(values: Column) -> Column:
 
 def material(scan: Column, materials: list[str], whole_words: bool = False) -> Column:
     """The longest material named in the text, null if none is."""
-    by_length = F.array(*map(F.lit, sorted(materials, key=len, reverse=True)))
-    low = F.lower(scan)
+    low, lowered = F.lower(scan), [m.lower() for m in materials]
     if whole_words:
         low = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}-]+", " "), F.lit(" "))
-        return F.get(F.filter(by_length, lambda m: F.contains(low, F.concat(F.lit(" "), F.lower(m), F.lit(" ")))), 0)
-    return F.get(F.filter(by_length, lambda m: F.contains(low, F.lower(m))), 0)
+        lowered = [f" {m} " for m in lowered]
+    return longest(low, lowered, materials)
 
 
 def strip_controls(x: Column) -> Column:
     return F.regexp_replace(x, fixed.CONTROL_PATTERN, "")
 
 
-def any_contains(x: Column, parts: list[str]) -> Column:
-    """A chain of tests: compiled, ended by the first hit, with ``x`` evaluated once."""
-    return reduce(or_, (F.contains(x, F.lit(p)) for p in parts), F.lit(False))
-
-
 def letters(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"[^\p{L}]", ""))
 

@@ -8,7 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.text import any_contains, strip
+from tabulon.functions.patterns import any_contains
+from tabulon.functions.text import strip
 from tabulon.sources import fixed_values as fixed
 from tabulon.sources.config import Config
 

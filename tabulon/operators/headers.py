@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.functions.similarity import similarity_udf
+from tabulon.functions.similarity import other_lengths, prefix_keys, similarity_udf, sketch, sketches_fit, sorted_tokens
 from tabulon.functions.text import norm_header, strip
 from tabulon.sources import fixed_values as fixed
 from tabulon.sources.config import Config, literal_rows, norm, phrase_table
@@ -18,31 +18,59 @@ def alias_index(phrases: DataFrame) -> DataFrame:
     return phrases.groupBy("norm").agg(F.max_by("target", "ordinal").alias("target"))
 
 
-def map_exact(headers: DataFrame, phrases: DataFrame) -> DataFrame:
-    """raw_header, target (null: unmapped), method and score, by normalised equality."""
-    named = headers.filter(~F.col("raw_header").isin(CONTEXT_COLUMNS)).select("raw_header").distinct()
+def named(headers: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Distinct headers with the target that they have by normalised equality, null without one."""
+    distinct = headers.filter(~F.col("raw_header").isin(CONTEXT_COLUMNS)).select("raw_header").distinct()
     index = alias_index(phrases).withColumnRenamed("norm", "key")
-    joined = named.withColumn("key", norm_header(F.col("raw_header"))).join(index, "key", "left")
-    hit = F.col("target").isNotNull()
-    return joined.select("raw_header", "target", F.when(hit, "exact").alias("method"), F.when(hit, 100.0).alias("score"))
+    return distinct.withColumn("key", norm_header(F.col("raw_header"))).join(index, "key", "left").select("raw_header", F.col("target").alias("named"))
+
+
+def similar(headers: DataFrame, phrases: DataFrame, threshold: float) -> DataFrame:
+    """raw_header, named, and ``best`` for those without a name: score and target of the most similar phrase,
+    the first of equal ones; a score below the threshold is not the best one there is.
+
+    Headers and phrases meet by an index of grams (``prefix_keys``) and by length, at the first key that they
+    share, so a pair comes once; of these pairs, the ones whose sketches are near are scored. A header's own
+    row, without a key, keeps those that meet no phrase."""
+    side = phrases.select("ordinal", "target", "phrase", sorted_tokens(F.col("phrase")).alias("s")).withColumn("m", F.length("s"))
+    side = side.withColumns({"theirs": prefix_keys(F.col("s"), F.col("m"), threshold), "drawn": sketch(F.col("s"), F.col("m"))})
+    side = side.select("ordinal", "target", "phrase", "m", "theirs", "drawn", F.explode("theirs").alias("k"))
+    longest = phrases.agg(F.max(F.length("phrase"))).scalar()
+    text = headers.withColumn("s", sorted_tokens(F.col("raw_header"))).withColumns({"n": F.length("s"), "longest": longest})
+    low, high = other_lengths(F.col("n"), threshold)
+    fits = F.col("named").isNull() & (low <= F.col("longest"))
+    own = F.when(fits, prefix_keys(F.col("s"), F.col("n"), threshold)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    keyed = text.select("raw_header", "named", "n", low.alias("low"), high.alias("high"), F.when(fits, sketch(F.col("s"), F.col("n"))).alias("bits"), own.alias("own"))
+    keyed = keyed.withColumn("k", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "own")))
+    near = F.col("m").between(F.col("low"), F.col("high")) & sketches_fit(F.col("bits"), F.col("n"), F.col("drawn"), F.col("m"), threshold)
+    met = keyed.join(side, (keyed["k"] == side["k"]) & near & (keyed["k"] == F.array_min(F.array_intersect("own", "theirs"))), "left")
+    score = F.when(F.col("phrase").isNotNull(), similarity_udf()(F.col("raw_header"), F.col("phrase")))
+    scored = met.select("raw_header", "named", "ordinal", "target", score.alias("score"))
+    best = F.max(F.when(F.col("score").isNotNull(), F.struct("score", (-F.col("ordinal")).alias("first"), "target"))).alias("best")
+    return scored.groupBy("raw_header").agg(F.max("named").alias("named"), best)
+
+
+def _mapping(found: DataFrame, threshold: float) -> DataFrame:
+    """raw_header, target (null: unmapped), method and score."""
+    exact, near = F.col("named").isNotNull(), F.col("best.score") >= threshold
+    target = F.when(exact, F.col("named")).when(near, F.col("best.target"))
+    return found.select("raw_header", target.alias("target"), F.when(exact, "exact").when(near, "fuzzy").alias("method"), F.when(exact, 100.0).when(near, F.col("best.score")).alias("score"))
+
+
+def map_exact(headers: DataFrame, phrases: DataFrame) -> DataFrame:
+    """raw_header, target, method and score by normalised equality."""
+    return _mapping(named(headers, phrases).withColumn("best", F.lit(None).cast("struct<score:double,target:string>")), 100.0)
 
 
 def map_fuzzy(headers: DataFrame, phrases: DataFrame, threshold: float) -> DataFrame:
-    """The same by similarity, for headers without an exact name: each against every phrase. Phrases
-    are configuration (a bounded list), so this is a lookup per distinct header, not a join of data."""
-    listed = phrases.agg(F.sort_array(F.collect_list(F.struct("ordinal", "target", "phrase"))).alias("all"))
-    each = headers.select("raw_header").withColumn("all", listed.scalar()).select("raw_header", F.explode("all").alias("p"))
-    scored = each.select("raw_header", "p.ordinal", "p.target", similarity_udf()(F.col("raw_header"), F.col("p.phrase")).alias("score"))
-    best = scored.groupBy("raw_header").agg(F.max(F.struct("score", (-F.col("ordinal")).alias("first"), "target")).alias("b"))
-    hit = F.col("b.score") >= threshold
-    return best.select("raw_header", F.when(hit, F.col("b.target")).alias("target"), F.when(hit, "fuzzy").alias("method"), F.when(hit, F.col("b.score")).alias("score"))
+    """The same by similarity, for headers without an exact name."""
+    return _mapping(similar(headers.select("raw_header", F.lit(None).cast("string").alias("named")), phrases, threshold), threshold)
 
 
 def header_map(headers: DataFrame, config: Config) -> DataFrame:
+    """By name, and by similarity for what has none, in one pass over the headers."""
     phrases = phrase_table(headers.sparkSession, config)
-    exact = map_exact(headers, phrases)
-    rest = map_fuzzy(exact.filter("target IS NULL"), phrases, config.fuzzy_threshold)
-    return exact.filter("target IS NOT NULL").unionByName(rest)
+    return _mapping(similar(named(headers, phrases), phrases, config.fuzzy_threshold), config.fuzzy_threshold)
 
 
 def known_headers(spark: SparkSession, config: Config) -> DataFrame:
@@ -95,12 +123,12 @@ def best_table(cells: DataFrame, page: list[str]) -> DataFrame:
 
 def escalate(first: DataFrame, second: DataFrame, page: list[str], known: DataFrame, confident: float) -> DataFrame:
     """Cells of the cheap pass where its score is confident; elsewhere of the better of both passes, the
-    cheap one if equal."""
-    scores = score_tables(first, page, known).select(*page, F.col("score").alias("s1"))
-    rest = second.join(scores.filter(F.col("s1") >= confident), page, "left_anti")
-    other = score_tables(rest, page, known).select(*page, F.col("score").alias("s2"))
-    chosen = scores.join(other, page, "full").select(*page, (F.col("s2").isNotNull() & (F.col("s1").isNull() | (F.col("s2") > F.col("s1")))).alias("late"))
-    return first.join(chosen.filter("NOT late").drop("late"), page, "left_semi").unionByName(rest.join(chosen.filter("late").drop("late"), page, "left_semi"))
+    cheap one if equal. Both are scored in one pass."""
+    cells = first.withColumn("__late", F.lit(False)).unionByName(second.withColumn("__late", F.lit(True)))
+    of = lambda late: F.max(F.when(F.col("__late") == late, F.col("score")))
+    scores = score_tables(cells, [*page, "__late"], known).groupBy(*page).agg(of(False).alias("s1"), of(True).alias("s2"))
+    late = F.coalesce(F.col("s1") < confident, F.lit(True)) & F.col("s2").isNotNull() & (F.col("s1").isNull() | (F.col("s2") > F.col("s1")))
+    return cells.join(scores.select(*page, late.alias("__late")), [*page, "__late"], "left_semi").drop("__late")
 
 
 def describe_rescue(cells: DataFrame, table: list[str]) -> DataFrame:
