@@ -16,7 +16,7 @@ from tabulon.functions.similarity import similarity_udf
 from tabulon.operators import context, headers, layout, ocr_tables, qc, transform
 from tabulon.plans import documents as plan
 from tabulon.sources import fixed_values as fixed
-from tabulon.sources.config import Config, literal_rows, phrase_table
+from tabulon.sources.config import Config, phrase_table
 from tabulon.sources.pages import in_ranges, output_name, parse_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,10 @@ PHRASES = "(VALUES " + ", ".join(f"({i}, {q(c)}, {q(p)})" for i, c, p in CONFIG.
 NORM = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
 KNOWN = f"(SELECT DISTINCT {NORM('phrase')} AS norm FROM {PHRASES} UNION SELECT DISTINCT {NORM('target')} FROM {PHRASES})"
 HEADERS = ["Item No.", "Item Designation", "Title", "TYPE", "Ref. No.", "Mystery Col", "P/N", "q'ty", "part  name", "描述", "__ref_page__", "col_3", "1234-5678", "s"]
-HEADER_ROWS = "(VALUES " + ", ".join(f"({q(h)})" for h in HEADERS) + ") AS h(raw_header)"
+HEADER_CASE = "CASE p_partkey % 20 " + " ".join(f"WHEN {i} THEN {q(h)}" for i, h in enumerate(HEADERS)) + " WHEN 17 THEN p_brand WHEN 18 THEN p_name ELSE p_type END"
+HEADER_ROWS = f"(SELECT DISTINCT {HEADER_CASE} AS raw_header FROM part) AS h"
+TYPOS = ["Descripton", "Drawing   No.", "Types", "Manufacturor", "Zxqv Nonsense 999", "No. Part", "Quantitty", "Referense No."]
+TYPO_CASE = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN {q(h)}" for i, h in enumerate(TYPOS)) + " WHEN 9 THEN p_brand WHEN 10 THEN p_name ELSE p_type END"
 
 
 @query(f"SELECT p_partkey, {NORM('p_type')} AS norm_type, {NORM('p_brand')} AS norm_brand FROM part")
@@ -80,14 +83,13 @@ def norm_header(spark, d):
 SELECT raw_header, target, CASE WHEN target IS NOT NULL THEN 'exact' END AS method, CASE WHEN target IS NOT NULL THEN 100.0::DOUBLE END AS score
 FROM {HEADER_ROWS} LEFT JOIN i ON norm = {NORM('raw_header')} WHERE raw_header NOT LIKE '\\_\\_%' ESCAPE '\\'""")
 def map_exact(spark, d):
-    return headers.map_exact(literal_rows(spark, [(h,) for h in HEADERS], "raw_header string"), phrase_table(spark, CONFIG))
+    return headers.map_exact(read(spark, d, "part").select(F.expr(HEADER_CASE.replace("''", "\\'")).alias("raw_header")), phrase_table(spark, CONFIG))
 
 
 @query()
 def map_fuzzy(spark, d):
-    """Headers with typing errors; a threshold and ties by the first phrase."""
-    typos = ["Descripton", "Drawing   No.", "Types", "Manufacturor", "Zxqv Nonsense 999", "No. Part", "Quantitty", "Referense No."]
-    return headers.map_fuzzy(literal_rows(spark, [(h,) for h in typos], "raw_header string"), phrase_table(spark, CONFIG), CONFIG.fuzzy_threshold)
+    """Headers with typing errors, and names and types of parts; a threshold and ties by the first phrase."""
+    return headers.map_fuzzy(read(spark, d, "part").select(F.expr(TYPO_CASE).alias("raw_header")).distinct(), phrase_table(spark, CONFIG), CONFIG.fuzzy_threshold)
 
 
 @query()
@@ -103,9 +105,12 @@ def token_sort_similarity(spark, d):
     return p.select("p_partkey", F.round(similarity_udf()(F.col("p_name"), F.col("p_type")), 6).alias("score"))
 
 
-@query(f"SELECT norm FROM {KNOWN} WHERE norm <> ''")
+@query(f"SELECT raw_header, {NORM('raw_header')} IN (SELECT norm FROM {KNOWN} WHERE norm <> '') AS known FROM {HEADER_ROWS}")
 def known_headers(spark, d):
-    return headers.known_headers(spark, CONFIG)
+    """Whether a header of the table is a known one."""
+    made = read(spark, d, "part").select(F.expr(HEADER_CASE.replace("''", "\\'")).alias("raw_header")).distinct()
+    known = headers.known_headers(spark, CONFIG).withColumn("known", F.lit(True))
+    return made.withColumn("norm", t.norm_header(F.col("raw_header"))).join(known, "norm", "left").select("raw_header", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 TABLES = "SELECT cast(p_size % 10 AS bigint) AS table_no, cast(p_partkey AS bigint) AS row_no, {} AS col_pos, {} AS raw_header, {} AS value FROM part"
@@ -312,6 +317,21 @@ def row_cluster_mean(spark, d):
     return layout.cluster_rows(points, ["l_orderkey"], "y", "pt", F.lit(5.0)).select("l_orderkey", "pt", "cluster")
 
 
+PRICES_SQL = "SELECT l_linenumber % 2 AS page, concat(cast(l_orderkey AS varchar(19)), '-', cast(l_linenumber AS varchar(9)), '-', cast(l_partkey AS varchar(19))) AS pt, cast(l_extendedprice AS double) AS y FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT page, pt, y, row_number() OVER w AS i, CASE WHEN y - lag(y) OVER w <= 0.5 THEN 0 ELSE 1 END AS jump FROM ({PRICES_SQL}) WINDOW w AS (PARTITION BY page ORDER BY y, pt)),
+s AS (SELECT *, sum(jump) OVER (PARTITION BY page ORDER BY i) AS seg FROM p), t AS (SELECT *, row_number() OVER (PARTITION BY page, seg ORDER BY i) AS k FROM s),
+r AS (SELECT page, pt, y, i, seg, k, y AS sums, 1 AS n, 1 AS begins FROM t WHERE k = 1
+ UNION ALL SELECT t.page, t.pt, t.y, t.i, t.seg, t.k, CASE WHEN abs(t.y - sums / n) <= 0.5 THEN sums + t.y ELSE t.y END, CASE WHEN abs(t.y - sums / n) <= 0.5 THEN n + 1 ELSE 1 END, CASE WHEN abs(t.y - sums / n) <= 0.5 THEN 0 ELSE 1 END
+ FROM r JOIN t ON t.page = r.page AND t.seg = r.seg AND t.k = r.k + 1)
+SELECT page, pt, (sum(begins) OVER (PARTITION BY page ORDER BY i) - 1)::BIGINT AS cluster FROM r""")
+def row_cluster_spread(spark, d):
+    """Rows by running means where two groups hold all points."""
+    points = _sql(spark, d, PRICES_SQL, "lineitem")
+    return layout.cluster_rows_spread(points, ["page"], "y", "pt", 0.5).select("page", "pt", F.col("cluster").cast("long").alias("cluster"))
+
+
 @query(f"SELECT l_orderkey, pt, (list_position(ds, list_min(ds)) - 1)::INTEGER AS nearest FROM (SELECT l_orderkey, pt, list_transform([5.0, 15.0, 25.0, 40.0], lambda c: abs(c - y)) AS ds FROM ({POINTS_SQL}))")
 def nearest_column(spark, d):
     points = _sql(spark, d, POINTS_SQL, "lineitem")

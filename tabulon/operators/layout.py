@@ -45,6 +45,37 @@ def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance:
     return parts.select(*by, "__cluster", F.explode("__part").alias("__p")).select(*by, "__p.row.*", F.col("__cluster").alias("cluster"))
 
 
+#: Tolerances that a bin of ``cluster_rows_spread`` is wide.
+SPAN = 64
+
+
+def cluster_rows_spread(points: DataFrame, by: list[str], y: str, tie: str, tolerance: float) -> DataFrame:
+    """The same as ``cluster_rows`` for groups of any size: no task needs the points of a group.
+
+    A point farther than the tolerance from the one before it always begins a row, as the row's mean isn't
+    above that one. So points are dealt by bins of ``SPAN`` tolerances; within a bin, and from the end of the
+    bin before, such gaps cut them into segments, and each segment is folded for itself. Two small sums over
+    bins and segments, a row each, number them. Only points without any gap between them stay together.
+    Points without a place or a group are left out.
+    """
+    yy, width = F.col(y).cast("double"), float(SPAN * tolerance) or 1.0
+    binned = points.withColumn("__bin", F.floor(yy / width))
+    whole = Window.partitionBy(*by).orderBy("__bin")
+    ends = binned.groupBy(*by, "__bin").agg(F.max(yy).alias("__end")).withColumn("__before", F.lag("__end").over(whole)).drop("__end")
+    within = Window.partitionBy(*by, "__bin").orderBy(y, tie)
+    joined = binned.join(ends, [*by, "__bin"])
+    gap = yy - F.coalesce(F.lag(yy).over(within), F.col("__before")) > tolerance
+    cut = joined.withColumn("__cut", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("__nth", F.sum("__cut").over(within)).drop("__before")
+    cuts = cut.groupBy(*by, "__bin").agg(F.sum("__cut").alias("__n"))
+    cuts = cuts.withColumn("__base", F.coalesce(F.sum("__n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    segments = cut.join(cuts, [*by, "__bin"]).withColumn("__segment", F.col("__base") + F.col("__nth")).drop("__bin", "__base", "__nth", "__cut")
+    folded = cluster_rows(segments, [*by, "__segment"], y, tie, F.lit(tolerance))
+    sizes = folded.groupBy(*by, "__segment").agg(F.max("cluster").alias("__last"))
+    earlier = Window.partitionBy(*by).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__first", F.coalesce(F.sum(F.col("__last") + 1).over(earlier), F.lit(0))).drop("__last")
+    return folded.join(sizes, [*by, "__segment"]).withColumn("cluster", F.col("__first") + F.col("cluster")).drop("__segment", "__first")
+
+
 def gap_clusters(points: DataFrame, by: list[str], x: str, tie: str, gap: Column | float) -> DataFrame:
     """``cluster`` of each point: a gap to the one before, larger than allowed, begins a new one."""
     w = Window.partitionBy(*by).orderBy(x, tie)

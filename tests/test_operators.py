@@ -1,6 +1,7 @@
 import json
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,8 +169,30 @@ def test_cluster_rows_matches_loop(spark):
                 cluster, members = cluster + 1, [y]
             want[p, i] = cluster
     df = spark.createDataFrame(rows, "p int, i int, y double")
-    got = layout.cluster_rows(df, ["p"], "y", "i", F.lit(4.0)).collect()
-    assert {(r.p, r.i): r.cluster for r in got} == want
+    for got in (layout.cluster_rows(df, ["p"], "y", "i", F.lit(4.0)), layout.cluster_rows_spread(df, ["p"], "y", "i", 4.0)):
+        assert {(r.p, r.i): r.cluster for r in got.collect()} == want
+
+
+def test_rows_of_a_large_group_are_spread(spark, monkeypatch):
+    """The same as the fold over the whole group, by several tasks, with bins of any width."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr("pmod(id, 1) AS g", "id AS i", "cast(pmod(xxhash64(id), 9000000) AS double) / 100 - 20000 AS y")
+    want = {r.i: r.cluster for r in layout.cluster_rows(df, ["g"], "y", "i", F.lit(2.0)).collect()}
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": False, "spark.sql.autoBroadcastJoinThreshold": -1}  # as if the table were large
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        for span in (64, 1, 1 << 20):
+            monkeypatch.setattr(layout, "SPAN", span)
+            spread = layout.cluster_rows_spread(df, ["g"], "y", "i", 2.0).withColumn("task", F.spark_partition_id())
+            rows = spread.collect()
+            assert {r.i: r.cluster for r in rows} == want and len(rows) == 60_000
+            tasks = Counter(r.task for r in rows)
+            assert len(tasks) == 4 and max(tasks.values()) < 25_000
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    same = layout.cluster_rows_spread(df.withColumn("y", F.lit(1.0)).limit(50), ["g"], "y", "i", 0.0)
+    assert {r.cluster for r in same.collect()} == {0}
 
 
 def word(no, x, y, text, n, page=1):
