@@ -14,14 +14,16 @@ fits, are dealt out by the other columns in the last join.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and an empty path, and no rule
 fits it; of rules with equally long expressions the longer host goes first, then ``block`` before
-``allow``; a rule listed twice counts once; repeated pages are judged each; other columns are not
-read; an empty table gives an empty result.
+``allow``; a rule listed twice counts once; repeated pages are judged each; other columns of any type and name
+are passed on (those that can be hashed deal out null URLs), but for host, path, rule and verdict, which are
+replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from tabulon.llm.session import cut, table
 
@@ -68,16 +70,26 @@ def fitting_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return best.withColumn("verdict", F.col("action")).drop("action")
 
 
+def _hashable(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _hashable(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return not isinstance(kind, (MapType, VariantType))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
-    """``pages`` with host, path, rule and verdict of the column url."""
+    """``pages`` with host, path, rule and verdict of the column url, in place of columns of these names."""
     host, path = host_and_path(F.col("url"))
     # a written table, so that the optimiser can split the task of a frequent URL
     found = cut(fitting_rules(pages.select("url").distinct(), rules))
-    plain = pages.drop("host", "path", "rule", "verdict", "hit_url", "hit_key")
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    others = [f"`{f.name}`" for f in pages.schema if f.name in kept and _hashable(f.dataType)]
     # no URL that a rule fits is without "://"
-    plain = plain.withColumn("hit_key", F.coalesce("url", F.concat(F.lit("null "), F.xxhash64(*plain.columns).cast("string"))))
-    joined = plain.join(found, F.col("hit_key") == F.col("hit_url"), "left").drop("hit_url", "hit_key")
-    return joined.withColumns({"host": host, "path": path, "verdict": F.coalesce("verdict", F.lit(default))})
+    key = F.coalesce("url", F.concat(F.lit("null "), F.xxhash64(*others).cast("string")))
+    rows = pages.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), host.alias("host"), path.alias("path"), key.alias("key"))
+    joined = rows.join(found, F.col("key") == F.col("hit_url"), "left")
+    return joined.select("row.*", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
