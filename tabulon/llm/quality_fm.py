@@ -7,7 +7,7 @@ by metadata (its declared length), the last two as one bucket per field. The sco
 
 so that all pairwise interactions cost time linear in the features of a text (sum-of-squares
 identity). It is fitted with Adagrad on the driver on at most ``sample`` labelled rows, those whose
-hashed ids are smallest; that bound is a parameter and the only one. Every text is scored whole, in
+hashed ids are smallest, one row of each id; that bound is a parameter and the only one. Every text is scored whole, in
 one scan without a shuffle; the model that travels to the executors has a fixed size (``BUCKETS`` and
 ``FACTORS``), whatever the corpus.
 
@@ -15,7 +15,7 @@ Defined cases: null and empty texts are scored by their statistics alone; a text
 scored whole; a row with a null doc_id is scored, and is neither held out nor learnt from (held_out is
 null); a null declared length counts as the text's own; conflicting labels of a document count as the larger; labels that are null
 or without a document are not learnt from; without any label the score is 0.5; repeated rows are
-scored each; other columns are not read.
+scored each; ids with equal hashes go by id; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """``labels``: doc_id, label. The sampled label rows (at most ``sample``) are broadcast to the
-    scan of the texts, and only their features come to the driver."""
+    scan of the texts, and of each id only one row's features come to the driver: of rows that share an id,
+    the least in bytes."""
     chosen = labels.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             index, value = (np.split(a[order].astype(kind), cuts) if batch.num_rows else [] for a, kind in ((x.index, np.int32), (x.value, np.float32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label").cast(pa.int32()), *(pa.array([a.tobytes() for a in col], pa.binary()) for col in (index, value))], names=["doc_id", "label", "index", "value"])
 
-    rows = arrow(docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id"), scan, "doc_id bigint, label int, index binary, value binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["index"])))
+    rows = arrow(docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id"), scan, "doc_id bigint, label int, index binary, value binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("index", "value", "label")).alias("r")).select("doc_id", "r.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32).astype(float)) for r in rows], np.array([r["label"] for r in rows], float))
 
 

@@ -167,6 +167,18 @@ def test_urls(spark):
     assert url_filters.judge(df.limit(0), ties).count() == 0
 
 
+def test_urls_beside_any_columns(spark):
+    """Columns of any type and name come through; a third of the rows without a URL is spread by the others."""
+    df = spark.range(900).selectExpr("id", "IF(id % 3 = 0, NULL, concat('http://a', id % 7, '.net/')) AS url", "map('k', id) AS m", "array(map(1, id)) AS am", "id AS hit_url", "id AS hit_key", "id AS row", "id AS key", "id AS `a.b`", "'x' AS rule")
+    got = url_filters.judge(df, url_filters.rule_table(spark, url_filters.RULES))
+    assert got.columns == [c for c in df.columns if c != "rule"] + ["host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert len(rows) == 900 and all(r.m == {"k": r.id} and r.am == [{1: r.id}] and r.hit_url == r.hit_key == r.row == r.key == r["a.b"] == r.id for r in rows)
+    assert all((r.verdict, r.rule) == (("allow", None) if r.id % 3 == 0 else ("block", "net/")) for r in rows)
+    only = spark.range(3).selectExpr("CAST(NULL AS string) AS url", "map(1, id) AS m")
+    assert {r.verdict for r in url_filters.judge(only, url_filters.rule_table(spark, url_filters.RULES)).collect()} == {"allow"}
+
+
 # op3
 
 
@@ -774,3 +786,14 @@ def test_shared_folder(spark):
     for master in ("local", "local[2]", "local[*]"):
         assert session.shared_dir(Session(master)).startswith("file:///")
     assert session.shared_dir(spark)
+
+
+def test_labelled_rows_have_a_bound(spark, monkeypatch):
+    """However many rows share an id, one of them is learnt from."""
+    seen = []
+    monkeypatch.setattr(quality_fm, "fit", lambda examples, labels: seen.append((len(examples), labels.tolist())))
+    docs = spark.createDataFrame([(1, f"text {i} of words", 5) for i in range(500)] + [(2, "other", 1), (None, "x", 1)], "doc_id bigint, text string, n_chars bigint")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1)], "doc_id bigint, label int")
+    quality_fm.train(docs.filter("doc_id = 1"), labels, 1)
+    quality_fm.train(docs, labels)
+    assert seen[0][0] <= 1 and seen[1] == (2, [1.0, 0.0])
