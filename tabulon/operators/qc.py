@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import letters, strip
+from tabulon.operators import language
+from tabulon.operators.language import Profile
 from tabulon.sources import fixed_values as fixed
 
 
@@ -89,15 +91,30 @@ def error_groups(errors: DataFrame) -> DataFrame:
     return errors.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-def flag_language(parts: DataFrame, detect: Callable[[str], str] | None, mark: str | None = None) -> DataFrame:
+def flag_language(parts: DataFrame, detect: Callable[[str], str] | Profile | None, mark: str | None = None) -> DataFrame:
     """Tags internal_remark where a long, mostly alphabetic part_name is not English. ``detect`` is a
-    plug-in from text to language code; without one nothing is tagged. ``mark`` names a column that says
-    whether the row was tagged."""
+    learnt profile, or a plug-in from text to language code; without one nothing is tagged. ``mark`` names
+    a column that says whether the row was tagged."""
     if detect is None:
         return parts.withColumn(mark, F.lit(False)) if mark else parts
+    name, remark = strip(F.col("part_name")), strip(F.col("internal_remark"))
+    long = (F.length(name) >= fixed.FOREIGN_MIN_LENGTH) & (letters(name) >= F.length(name) * 0.5)
+    asked = parts.withColumn("__asked", F.when(long, name))
+    if isinstance(detect, Profile):
+        found = language.detect(asked.filter("__asked IS NOT NULL").select(F.col("__asked").alias("text")), detect)
+        told = asked.join(found.withColumnsRenamed({"text": "__asked", "language": "__language"}), "__asked", "left")
+    else:
+        told = asked.withColumn("__language", _by_plug_in(detect)(F.coalesce("__asked", F.lit(""))))
+    foreign = F.coalesce(F.col("__language") != "en", F.lit(False)) & F.col("__asked").isNotNull() & ~F.contains("internal_remark", F.lit(fixed.FOREIGN_TAG))
+    tagged = F.when(remark == "", fixed.FOREIGN_TAG).otherwise(F.concat_ws(" ", remark, F.lit(fixed.FOREIGN_TAG)))
+    marked = told.withColumn(mark or "__foreign", foreign)
+    marked = marked.withColumn("internal_remark", F.when(F.col(mark or "__foreign"), tagged).otherwise(F.col("internal_remark")))
+    return marked.select(*parts.columns, *([mark] if mark else []))
+
 
+def _by_plug_in(detect: Callable[[str], str]):
     @F.pandas_udf("string")
-    def language(names: pd.Series) -> pd.Series:
+    def by_plug_in(names: pd.Series) -> pd.Series:
         def one(x: str) -> str | None:
             try:
                 return detect(x)
@@ -106,13 +123,7 @@ def flag_language(parts: DataFrame, detect: Callable[[str], str] | None, mark: s
 
         return names.map(one)
 
-    name, remark = strip(F.col("part_name")), strip(F.col("internal_remark"))
-    long = (F.length(name) >= fixed.FOREIGN_MIN_LENGTH) & (letters(name) >= F.length(name) * 0.5)
-    foreign = F.coalesce(language(F.when(long, name).otherwise("")) != "en", F.lit(False)) & long & ~F.contains("internal_remark", F.lit(fixed.FOREIGN_TAG))
-    tagged = F.when(remark == "", fixed.FOREIGN_TAG).otherwise(F.concat_ws(" ", remark, F.lit(fixed.FOREIGN_TAG)))
-    marked = parts.withColumn(mark or "__foreign", foreign)
-    marked = marked.withColumn("internal_remark", F.when(F.col(mark or "__foreign"), tagged).otherwise(F.col("internal_remark")))
-    return marked if mark else marked.drop("__foreign")
+    return by_plug_in
 
 
 def log_line(ts: Column, status: Column, file: Column, rows: Column) -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.operators import headers, qc, transform
+from tabulon.operators.language import Profile
 from tabulon.plans.documents import Result
 from tabulon.sources import sinks
 from tabulon.sources.config import Config
@@ -74,7 +75,7 @@ def review_table(rest: pd.DataFrame) -> pd.DataFrame:
     return wide.add_prefix("[UNMAPPED] ").rename_axis(columns=None).reset_index()
 
 
-def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | None = None, as_copy: bool = True) -> list[Outcome]:
+def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | Profile | None = None, as_copy: bool = True) -> list[Outcome]:
     """Files of ``doc_ids`` in ``out_dir``. Both it and ``tables``, where parts and unmapped cells are
     kept, are folders that driver and executors share. A workbook that is locked is kept under another name,
     or with ``as_copy`` false is an error of its document."""
