@@ -5,9 +5,9 @@ meet in a task that writes its files, so the number of documents is spread over
 has one outcome per document and the log. A document that fails is reported, the others go on.
 
 Files are committed: a task writes them under names of its own attempt in a hidden folder, and when all
-tasks have ended, the driver gives those of the attempts that counted their final names, and removes
-the folder with what other attempts left. If the batch fails, no file of it appears, and the log has STARTED
-without FINISHED.
+tasks of a turn (without a ``Control``, of the batch) have ended, the driver gives those of the attempts that
+counted their final names, and removes the folder with what other attempts left. If a turn fails or is
+cancelled, no file of it appears, and the log has STARTED without FINISHED for its documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.operators import headers, qc, transform
@@ -75,10 +75,11 @@ def review_table(rest: pd.DataFrame) -> pd.DataFrame:
     return wide.add_prefix("[UNMAPPED] ").rename_axis(columns=None).reset_index()
 
 
-def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | Profile | None = None, as_copy: bool = True) -> list[Outcome]:
+def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str, tables: str, detect: Callable[[str], str] | Profile | None = None, as_copy: bool = True, control: Control | None = None) -> list[Outcome]:
     """Files of ``doc_ids`` in ``out_dir``. Both it and ``tables``, where parts and unmapped cells are
     kept, are folders that driver and executors share. A workbook that is locked is kept under another name,
-    or with ``as_copy`` false is an error of its document."""
+    or with ``as_copy`` false is an error of its document. With ``control`` the documents go in turns, and
+    the batch can be watched and ended; the outcomes are then those of the documents that were finished."""
     spark = result.main.sparkSession
     os.makedirs(out_dir, exist_ok=True)
     _log(out_dir, [log_entry("STARTED", d, 0) for d in doc_ids])
@@ -91,22 +92,90 @@ def write_batch(result: Result, config: Config, doc_ids: list[str], out_dir: str
         df.write.mode("overwrite").parquet(path)
         kept[name] = spark.read.schema(df.schema).parquet(path)
     asked = dict.fromkeys(doc_ids)
-    listed = spark.createDataFrame([(d,) for d in asked], "doc_id string")
+    unread = {r["doc_id"]: Outcome(r["doc_id"], error=r["error"]) for r in result.errors.collect()} if result.errors is not None else {}
+    out, taken = [], set()
+    for turn in turns(list(asked), control.turn if control else None):
+        if control and control.cancelled:
+            break
+        rows = {k: df.join(spark.createDataFrame([(d,) for d in turn], "doc_id string"), "doc_id", "left_semi") for k, df in kept.items()}
+        try:
+            done = _written(rows, config, out_dir, control)
+        except Cancelled:
+            break
+        for d in turn:
+            o = unread.get(d) or done[0].get(d) or Outcome(d)
+            _commit(o, out_dir, taken, as_copy)
+            out.append(o)
+        shutil.rmtree(done[1], ignore_errors=True)
+        _log(out_dir, [log_entry("FINISHED", o.doc_id, o.rows) for o in out[-len(turn) :] if o.error is None])
+        if control:
+            control.report(len(out), len(asked))
+    return out
+
+
+def turns(doc_ids: list[str], size: int | None) -> list[list[str]]:
+    size = size or max(len(doc_ids), 1)
+    return [doc_ids[i : i + size] for i in range(0, len(doc_ids), size)]
+
+
+class Cancelled(Exception):
+    """The turn's jobs were cancelled; nothing of it was committed."""
+
+
+@dataclass
+class Control:
+    """What another thread may ask of a batch: how far it is, and to end.
+
+    The documents go in turns of ``turn``; ``progress`` is called after each with documents done, and all.
+    ``cancel`` ends the batch before the next turn, and ``cancel(now=True)`` also stops the running turn's
+    jobs, by their tag; either way the documents of finished turns stay as they are. ``share`` says how much
+    of the running turn's tasks are done, by Spark's status tracker."""
+
+    spark: SparkSession
+    turn: int = 1000
+    progress: Callable[[int, int], None] | None = None
+    tag: str = field(default_factory=lambda: f"tabulon-batch-{uuid.uuid4().hex}")
+    cancelled: bool = False
+
+    def cancel(self, now: bool = False) -> None:
+        self.cancelled = True
+        if now:
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+
+    def report(self, done: int, total: int) -> None:
+        if self.progress:
+            self.progress(done, total)
+
+    def share(self) -> float | None:
+        """None while no stage is active."""
+        tracker = self.spark.sparkContext.statusTracker()
+        jobs = self.spark.sparkContext._jsc.sc().statusTracker().getJobIdsForTag(self.tag)
+        stages = {i for job in jobs if (info := tracker.getJobInfo(job)) for i in info.stageIds}
+        active = [x for i in tracker.getActiveStageIds() if i in stages and (x := tracker.getStageInfo(i))]
+        total = sum(x.numTasks for x in active)
+        return sum(x.numCompletedTasks for x in active) / total if total else None
+
+
+def _written(rows: dict[str, DataFrame], config: Config, out_dir: str, control: Control | None) -> tuple[dict[str, Outcome], str]:
+    """Outcomes of a turn's documents by id, whose files are named as their tasks wrote them, and the folder that
+    they are in, which is gone if the turn fails."""
     attempts = os.path.join(out_dir, f".attempts-{uuid.uuid4().hex}")
     os.makedirs(attempts)
+    sc = rows["main"].sparkSession.sparkContext
+    groups = rows["main"].groupBy("doc_id").cogroup(rows["unmapped"].groupBy("doc_id"))
+    written = groups.applyInPandas(_writer(config, attempts, sinks.write_workbook), "doc_id string, workbook string, report string, rows long, failed long, error string, notes array<string>")
+    if control:
+        sc.addJobTag(control.tag)
     try:
-        write = _writer(config, attempts, sinks.write_workbook)
-        groups = kept["main"].join(listed, "doc_id", "left_semi").groupBy("doc_id").cogroup(kept["unmapped"].join(listed, "doc_id", "left_semi").groupBy("doc_id"))
-        done = {r["doc_id"]: Outcome(**r.asDict()) for r in groups.applyInPandas(write, "doc_id string, workbook string, report string, rows long, failed long, error string, notes array<string>").collect()}
-        unread = {r["doc_id"]: Outcome(r["doc_id"], error=r["error"]) for r in result.errors.collect()} if result.errors is not None else {}
-        out = [unread.get(d) or done.get(d) or Outcome(d) for d in asked]
-        taken: set[str] = set()
-        for o in out:
-            _commit(o, out_dir, taken, as_copy)
-    finally:
+        return {r["doc_id"]: Outcome(**r.asDict()) for r in written.collect()}, attempts
+    except BaseException as e:
         shutil.rmtree(attempts, ignore_errors=True)
-    _log(out_dir, [log_entry("FINISHED", o.doc_id, o.rows) for o in out if o.error is None])
-    return out
+        if control and control.cancelled and isinstance(e, Exception):
+            raise Cancelled from e
+        raise
+    finally:
+        if control:
+            sc.removeJobTag(control.tag)
 
 
 def _commit(o: Outcome, out_dir: str, taken: set[str], as_copy: bool) -> None:

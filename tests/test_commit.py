@@ -5,6 +5,8 @@ import os
 import re
 import subprocess
 import sys
+import threading
+import time
 import zipfile
 
 import pytest
@@ -131,3 +133,49 @@ def test_a_task_that_dies_half_way(tmp_path, tries):
         assert "WROTE ['d_PROCESSED.xlsx', 'e_PROCESSED.xlsx']" in said and log.count("FINISHED") == 2
         assert visible(out) == [batch.LOG, "d_PROCESSED.xlsx", "d_QC_Report.csv", "e_PROCESSED.xlsx", "e_QC_Report.csv"]
         assert zipfile.ZipFile(out / "d_PROCESSED.xlsx").testzip() is None
+
+
+def test_a_cancelled_batch_keeps_what_is_finished(spark, tmp_path):
+    """Turns that ended stay; of the others nothing appears, and the log has STARTED alone."""
+    ids, out, told = [f"{c}.pdf" for c in "abcde"], tmp_path / "out", []
+    result = process_cells(cells(spark, ids), CONFIG)
+
+    def progress(done, total):
+        told.append((done, total))
+        if done == 4:
+            control.cancel()
+
+    control = batch.Control(spark, 2, progress)
+    got = batch.write_batch(result, CONFIG, ids, str(out), str(tmp_path / "t"), control=control)
+    assert [o.doc_id for o in got] == ids[:4] and told == [(2, 5), (4, 5)] and control.share() is None
+    log = (out / batch.LOG).read_text()
+    assert log.count("STARTED") == 5 and log.count("FINISHED") == 4 and "FINISHED] | [e.pdf]" not in log
+    assert [x for x in visible(out) if x.endswith("xlsx")] == [f"{c}_PROCESSED.xlsx" for c in "abcd"] and not any(x.startswith(".") for x in visible(out))
+
+
+def test_jobs_of_a_turn_are_stopped(spark, tmp_path, monkeypatch):
+    ids, out, seen = ["a.pdf", "b.pdf"], tmp_path / "out", []
+    real, started = batch.sinks.write_workbook, str(tmp_path / "started")
+
+    def slow(path, sheets):
+        if "b_" in path:
+            open(started, "w").close()
+            time.sleep(120)
+        return real(path, sheets)
+
+    monkeypatch.setattr(batch.sinks, "write_workbook", slow)
+    control = batch.Control(spark, 1)
+
+    def stop():
+        while not os.path.exists(started):
+            time.sleep(0.2)
+        seen.append(control.share())
+        control.cancel(now=True)
+
+    thread = threading.Thread(target=stop)
+    thread.start()
+    began = time.time()
+    got = batch.write_batch(process_cells(cells(spark, ids), CONFIG), CONFIG, ids, str(out), str(tmp_path / "t"), control=control)
+    thread.join()
+    assert [o.doc_id for o in got] == ["a.pdf"] and time.time() - began < 110 and seen[0] is not None and 0 <= seen[0] < 1
+    assert visible(out) == [batch.LOG, "a_PROCESSED.xlsx", "a_QC_Report.csv"] and (out / batch.LOG).read_text().count("FINISHED") == 1
