@@ -65,14 +65,22 @@ def any_contains(x: Column, parts: list[str]) -> Column:
     return _found(tuple(parts), True)(x) >= 0
 
 
+def _listed(texts: list[str]) -> Column:
+    """A constant array, made in one step (the optimiser folds it)."""
+    return F.split(F.lit("\x1f".join(texts)), "\x1f") if all(texts) and not any("\x1f" in t for t in texts) else F.array(*map(F.lit, texts))
+
+
 def longest(x: Column, parts: list[str], shown: list[str]) -> Column:
     """Of the parts in the text the longest, the first of equally long ones, as what stands for it in
     ``shown``; null if there is none."""
     order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
     names = [shown[i] for i in order]
+    if not parts:
+        return F.lit(None).cast("string")
     if len(parts) <= FEW:
-        pairs = F.array(*[F.struct(F.lit(parts[i]).alias("part"), F.lit(shown[i]).alias("name")) for i in order])
-        return F.get(F.filter(pairs, lambda p: F.contains(x, p["part"])), 0)["name"] if parts else F.lit(None).cast("string")
+        keys = _listed([parts[i] for i in order])
+        found = F.get(F.filter(keys, lambda p: F.contains(x, p)), 0)
+        return F.get(_listed(names), (F.array_position(keys, found) - 1).cast("int"))
     keys = tuple(parts[i] for i in order)
 
     @F.pandas_udf("string")

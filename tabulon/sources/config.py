@@ -132,9 +132,16 @@ def save(config: Config, path: str) -> None:
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table of driver-side values, with a size that the optimiser knows."""
     names = ", ".join(x.split()[0] for x in schema.split(", "))
-    quote = lambda v: "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    known = {"string": text, "int": str, "bigint": lambda v: f"{v}L"}
     types = [x.split()[1] for x in schema.split(", ")]
-    body = ", ".join("(" + ", ".join(f"cast({quote(v)} as {t})" for v, t in zip(r, types)) + ")" for r in rows)
+
+    def cell(v, t: str) -> str:
+        if v is None or t not in known:
+            return f"cast({'NULL' if v is None else text(v) if isinstance(v, str) else v} as {t})"
+        return known[t](v)
+
+    body = ", ".join("(" + ", ".join(map(cell, r, types)) + ")" for r in rows)
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({names})")
 
 
