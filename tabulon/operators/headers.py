@@ -128,7 +128,8 @@ def escalate(first: DataFrame, second: DataFrame, page: list[str], known: DataFr
     of = lambda late: F.max(F.when(F.col("__late") == late, F.col("score")))
     scores = score_tables(cells, [*page, "__late"], known).groupBy(*page).agg(of(False).alias("s1"), of(True).alias("s2"))
     late = F.coalesce(F.col("s1") < confident, F.lit(True)) & F.col("s2").isNotNull() & (F.col("s1").isNull() | (F.col("s2") > F.col("s1")))
-    return cells.join(scores.select(*page, late.alias("__late")), [*page, "__late"], "left_semi").drop("__late")
+    # one row a page, so an inner join: a semi-join would be pushed into both sides of the union, with its scores
+    return cells.join(scores.select(*page, late.alias("__late")), [*page, "__late"]).select(*first.columns)
 
 
 def describe_rescue(cells: DataFrame, table: list[str]) -> DataFrame:
