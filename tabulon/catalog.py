@@ -580,11 +580,11 @@ GRAMS = lambda of, keep: f"(SELECT {keep}, z[1] || z[2] || z[3] AS gram FROM (SE
 @query(f"""WITH c AS (SELECT lang, gram, count(*) AS n FROM {GRAMS("(SELECT text, lang FROM documents WHERE doc_id % 5 <> 0 AND text IS NOT NULL AND lang IS NOT NULL)", "lang")} GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rank, sum(n) OVER (PARTITION BY lang) AS total FROM c),
 l AS (SELECT lang, max(total) AS total FROM k GROUP BY lang), g AS (SELECT text, gram, count(*) AS m FROM {GRAMS("(SELECT DISTINCT text FROM documents)", "text")} GROUP BY ALL),
-s AS (SELECT text, l.lang, sum(m * (coalesce(ln(2.0 * n), 0) - ln(2.0 * l.total))) AS score FROM g CROSS JOIN l LEFT JOIN k ON k.gram = g.gram AND k.lang = l.lang AND rank <= {language.SIZE} GROUP BY ALL),
-b AS (SELECT text, arg_min(lang, (-round(score, 6), lang)) AS language FROM s GROUP BY text)
+s AS (SELECT text, l.lang, sum(m * coalesce(ln(2.0 * n), 0)) / sum(m) - ln(2.0 * any_value(l.total)) AS score FROM g CROSS JOIN l LEFT JOIN k ON k.gram = g.gram AND k.lang = l.lang AND rank <= {language.SIZE} GROUP BY ALL),
+b AS (SELECT text, arg_min(lang, (-round(score, 9), lang)) AS language FROM s GROUP BY text)
 SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, language FROM documents LEFT JOIN b USING (text)""")
 def detect_language(spark, d):
     """The language of every text, by profiles learnt from four fifths of the documents."""
     docs = read(spark, d, "documents").select("doc_id", "lang", "text")
-    found = language.detect(docs.filter("text IS NOT NULL"), language.learn(docs.filter("doc_id % 5 <> 0")))
-    return docs.join(found, "text", "left").select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"), "language")
+    told = language.with_language(docs, "text", language.learn(docs.filter("doc_id % 5 <> 0")))
+    return told.select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"), "language")

@@ -3,8 +3,7 @@
 A text is lower-cased, what is no letter becomes a space, and each three characters in a row of it are a
 gram. A profile holds, for each of the most frequent grams of each language, how often it was seen; the
 language of a text is the one under which its grams are likeliest together (naive Bayes, half a count for
-grams that a language doesn't have). Texts are made distinct first, their grams meet the profile in a join, and
-only sums by text are shuffled. A profile has at most ``size`` grams a language, whatever it was learnt
+grams that a language doesn't have). Grams meet the profile in a join, and only sums by text are shuffled. A profile has at most ``size`` grams a language, whatever it was learnt
 from, and so is a table of known size.
 """
 
@@ -54,9 +53,19 @@ def learn(texts: DataFrame, size: int = SIZE) -> Profile:
     return Profile(languages, [-math.log(2.0 * totals[x]) for x in languages], texts.sparkSession.createDataFrame(sorted(gains.items()), "gram string, gains array<double>"))
 
 
+def with_language(rows: DataFrame, column: str, profile: Profile, name: str = "language") -> DataFrame:
+    """The rows with the language of a column's text: null where it is null or the profile has none; of equally
+    likely ones the first by name. Grams carry a digest of their text, not the text; copies of a text sum up
+    together, which changes no order of scores."""
+    keyed = rows.withColumn("__key", F.md5(F.col(column).cast("binary")))
+    grams = with_grams(keyed.filter(F.col(column).isNotNull()).select("__key", F.col(column).alias("text")), ["__key"])
+    sums = grams.join(profile.grams, "gram", "left").groupBy("__key").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.get("gains", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(profile.languages))])
+    # rounded, since sums of doubles depend on their order
+    scores = [F.struct(F.round(F.col(f"s{i}") / F.col("n") + F.lit(floor), 9).alias("score"), F.lit(-i).alias("first"), F.lit(x).alias("name")) for i, (x, floor) in enumerate(zip(profile.languages, profile.floors))]
+    told = sums.select("__key", (F.array_max(F.array(*scores))["name"] if scores else F.lit(None).cast("string")).alias(name))
+    return keyed.join(told, "__key", "left").drop("__key")
+
+
 def detect(texts: DataFrame, profile: Profile) -> DataFrame:
-    """text and language (null if the profile has none) of each distinct text; of equally likely ones the first by name."""
-    grams = with_grams(texts.select("text").distinct(), ["text"])
-    sums = grams.join(profile.grams, "gram", "left").groupBy("text").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.get("gains", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(len(profile.languages))])
-    scores = [F.struct((F.col(f"s{i}") + F.col("n") * F.lit(floor)).alias("score"), F.lit(-i).alias("first"), F.lit(name).alias("name")) for i, (name, floor) in enumerate(zip(profile.languages, profile.floors))]
-    return sums.select("text", (F.array_max(F.array(*scores))["name"] if scores else F.lit(None).cast("string")).alias("language"))
+    """text and language of each distinct text."""
+    return with_language(texts.select("text").distinct(), "text", profile)

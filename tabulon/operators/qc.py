@@ -101,8 +101,7 @@ def flag_language(parts: DataFrame, detect: Callable[[str], str] | Profile | Non
     long = (F.length(name) >= fixed.FOREIGN_MIN_LENGTH) & (letters(name) >= F.length(name) * 0.5)
     asked = parts.withColumn("__asked", F.when(long, name))
     if isinstance(detect, Profile):
-        found = language.detect(asked.filter("__asked IS NOT NULL").select(F.col("__asked").alias("text")), detect)
-        told = asked.join(found.withColumnsRenamed({"text": "__asked", "language": "__language"}), "__asked", "left")
+        told = language.with_language(asked, "__asked", detect, "__language")
     else:
         told = asked.withColumn("__language", _by_plug_in(detect)(F.coalesce("__asked", F.lit(""))))
     foreign = F.coalesce(F.col("__language") != "en", F.lit(False)) & F.col("__asked").isNotNull() & ~F.contains("internal_remark", F.lit(fixed.FOREIGN_TAG))
