@@ -13,13 +13,15 @@ the budget. So windows exceed the budget in two cases only: by what a turn has b
 by what the system turn has beyond half of the budget. Without the second rule every turn would become
 a window, each with the whole system turn.
 
-The sums are made in two levels, over blocks of ``BLOCK`` turn numbers and over the blocks'
-sums, so that a conversation with very many turns is spread over tasks. Texts move by conversation and
-block. A conversation within one block, as most are, needs no more than that: its windows, and their
-digests, are made where its turns are. One of several blocks is grouped again by span, and its repeated
-turns move once more; its digest alone needs all its windows in order, in one task, which streams them.
-All else that moves has no text. Keys are columns without nulls, so that each step finds the rows where
-the one before has put them.
+By default rows move once, by conversation, whatever its length: running sums place each turn, spans are
+made where the turns are, and a window takes its history from the span before it. A task goes through its
+conversations turn by turn, and what it holds of one beyond a few thousand turns is on disk. A digest of a
+conversation needs its bytes in that order in any case.
+
+With ``spread``, a conversation's windows are made by many tasks, for whoever needs the windows alone and has
+conversations beyond a task: sums are made in two levels, over blocks of ``BLOCK`` turn numbers and over the
+blocks' sums; texts move by conversation and block, then by span, and repeated turns once more. The windows are
+the same. Keys are columns without nulls, so that each step finds the rows where the one before has put them.
 
 Template: ``### role``, a line feed, the text, a line feed, ``</turn>``, a line feed. In roles and
 texts a backslash, ``</turn>`` and ``###`` (in roles also a line feed) are escaped, which
@@ -40,6 +42,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tabulon.llm.session import arrow, partitions, table
 
@@ -75,65 +78,76 @@ def shares(system: Column, budget: int, history: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(budget) - system - repeated, F.lit(floor)), repeated
 
 
-def _sums(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The turns by key and block; and of each block the tokens and turns before it, the number of its
-    conversation's blocks, and the text of the system turn that leads the conversation, if one does."""
-    rows = turns.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("nameless"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+def _rows(turns: DataFrame) -> DataFrame:
+    return turns.select(F.coalesce("conv_id", F.lit(0)).alias("c"), F.col("conv_id").isNull().alias("nameless"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tokens", token_estimate(F.col("text")))
+
+
+def _order(by: list[str]) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Turns with their position, the tokens up to their end, and the text of the system turn that leads
+    their conversation, if one does."""
+    inner = _order(KEY)
+    up_to = inner.rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first(F.when(F.col("role") == "system", F.col("text"))).over(up_to)
+    numbered = rows.withColumns({"end": F.sum("tokens").over(up_to), "pos": F.row_number().over(inner) - 1, "first": first, "more": F.lead(F.lit(True)).over(inner)})
+    return numbered.withColumn("system", F.when((F.col("pos") > 0) | F.col("more"), F.col("first")))
+
+
+def _placed_by_blocks(rows: DataFrame) -> DataFrame:
+    """The same, and their block, from sums of blocks: of each the tokens and turns before it."""
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
     named = F.col("turn").isNotNull().alias("named")
     first = F.min(F.struct(named, "turn", "role"))
     said = F.min(F.when(F.col("role") == "system", F.struct(named, "turn", "text")))
-    sums = rows.groupBy(*KEY, "block").agg(F.sum(token_estimate(F.col("text"))).alias("t"), F.count("*").alias("n"), first.alias("first"), said.alias("said"))
+    sums = rows.groupBy(*KEY, "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), first.alias("first"), said.alias("said"))
     whole = Window.partitionBy(*KEY)
     before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     leads = (F.min("first").over(whole)["role"] == "system") & (F.sum("n").over(whole) > 1)
     system = F.when(leads, F.min("said").over(whole)["text"])
-    return rows, sums.select(*KEY, "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.count("*").over(whole).alias("blocks"), system.alias("system"))
+    sums = sums.select(*KEY, "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), system.alias("system"))
+    inner = _order([*KEY, "block"])
+    up_to = inner.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(sums, [*KEY, "block"]).withColumns({"end": F.col("t0") + F.sum("tokens").over(up_to), "pos": F.col("n0") + F.row_number().over(inner) - 1})
 
 
-def _placed(rows: DataFrame, sums: DataFrame, budget: int, history: int) -> DataFrame:
+def _spanned(placed: DataFrame, by: list[str], budget: int, history: int) -> DataFrame:
     """Turns but for the leading system turn, with their window and ``turn``: position, tokens before
-    it and up to its end, role and text, and the system turn's text at the first of a block and window."""
-    inner = Window.partitionBy(*KEY, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    joined = rows.join(sums, [*KEY, "block"]).withColumn("tokens", token_estimate(F.col("text")))
-    joined = joined.withColumns({"end": F.col("t0") + F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "pos": F.col("n0") + F.row_number().over(inner) - 1})
-    joined = joined.withColumn("begin", F.col("end") - F.col("tokens")).filter("pos > 0 OR system IS NULL")
+    it and up to its end, role and text, and the system turn's text at the first of a window (and block)."""
+    placed = placed.withColumn("begin", F.col("end") - F.col("tokens")).filter("pos > 0 OR system IS NULL")
     s_tokens = F.coalesce(token_estimate(F.col("system")), F.lit(0))
     stride, _ = shares(s_tokens, budget, history)
     from_, to = (F.floor((at - s_tokens) / stride) for at in (F.col("begin"), F.col("end") - 1))
     # never null, and known to be: else the optimiser filters one use of the spans and makes them twice
-    body = joined.withColumn("window", F.coalesce((2 * from_ + (from_ != to).cast("long")).cast("long"), F.lit(0)))
-    new = ~F.lag("window").over(Window.partitionBy(*KEY, "block").orderBy("pos")).eqNullSafe(F.col("window"))
-    return body.select(*KEY, "block", "window", F.struct("pos", "begin", "end", "role", "text", F.when(new, F.col("system")).alias("system")).alias("turn"))
+    body = placed.withColumn("window", F.coalesce((2 * from_ + (from_ != to).cast("long")).cast("long"), F.lit(0)))
+    new = ~F.lag("window").over(_order(by)).eqNullSafe(F.col("window"))
+    return body.select(*KEY, "window", F.struct("pos", "begin", "end", "role", "text", F.when(new, F.col("system")).alias("system")).alias("turn"))
 
 
-def _spans(placed: DataFrame, by: list[str], budget: int, history: int) -> DataFrame:
+def _spans(placed: DataFrame, budget: int, history: int) -> DataFrame:
     """By span its turns, the system turn's text, and ``last``: the turns that the next span repeats."""
-    spans = placed.groupBy(*by, "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    spans = placed.groupBy(*KEY, "window").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     spans = spans.withColumn("system", F.get(F.filter(F.transform("turns", lambda t: t["system"]), lambda x: x.isNotNull()), 0))
     _, fits = shares(F.coalesce(token_estimate(F.col("system")), F.lit(0)), budget, history)
     return spans.withColumn("last", F.filter("turns", lambda t: F.element_at("turns", -1)["end"] - t["begin"] <= fits))
 
 
-def _parts(turns: DataFrame, budget: int, history: int) -> tuple[DataFrame, DataFrame]:
-    """Formatted windows of conversations within one block, each of them in one task, sorted by
-    conversation and window; and those of the others."""
-    rows, sums = _sums(turns)
-    whole = _spans(_placed(rows, sums.filter("blocks = 1"), budget, history), [*KEY, "block"], budget, history)
-    whole = whole.withColumn("tail", F.lag("last").over(Window.partitionBy(*KEY, "block").orderBy("window")))
-    placed = _placed(rows, sums.filter("blocks > 1"), budget, history)
-    spans = _spans(placed, KEY, budget, history)
-    after = Window.partitionBy(*KEY).orderBy("window")
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, spread: bool = False) -> DataFrame:
+    """conv_id, window (ascending), n_repeated (leading turns that are not new), text, and loss: the
+    character ranges of the text under the loss mask. Each conversation's windows are in one task, in order;
+    with ``spread`` they are anywhere."""
+    rows, after = _rows(turns), Window.partitionBy(*KEY).orderBy("window")
+    if not spread:
+        spans = _spans(_spanned(_placed(rows), KEY, budget, history), budget, history)
+        spans = spans.withColumn("tail", F.lag("last").over(after))
+        return _formatted(spans.sortWithinPartitions(*KEY, "window"))
+    placed = _spanned(_placed_by_blocks(rows), [*KEY, "block"], budget, history)
+    spans = _spans(placed, budget, history)
     follows = placed.select(*KEY, "window").distinct().withColumn("next", F.lead("window").over(after)).filter("next IS NOT NULL")
     tails = spans.select(*KEY, "window", F.col("last").alias("tail")).filter(F.size("tail") > 0).join(follows, [*KEY, "window"]).select(*KEY, F.col("next").alias("window"), "tail")
-    return _formatted(whole).sortWithinPartitions("conv_id", "window"), _formatted(spans.join(tails, [*KEY, "window"], "left"))
-
-
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window (ascending), n_repeated (leading turns that are not new), text, and loss: the
-    character ranges of the text under the loss mask."""
-    whole, others = _parts(turns, budget, history)
-    return whole.unionByName(others)
+    return _formatted(spans.join(tails, [*KEY, "window"], "left"))
 
 
 def _formatted(spans: DataFrame) -> DataFrame:
@@ -217,8 +231,7 @@ PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame(PROBE, "conv_id bigint, turn bigint, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    whole, others = _parts(turns, BUDGET, HISTORY)
-    return digests(whole, dealt=True).unionByName(digests(others))
+    return digests(windows(turns), dealt=True)
 
 
 #: The same rows in DuckDB, with the spans, the repeated turns and all lengths worked out again.

@@ -198,19 +198,28 @@ def test_chat(spark):
 
 
 def test_chat_in_blocks(spark, monkeypatch):
-    """Long conversations give the windows that they give as one block, and every digest once."""
+    """Spread windows are those of conversations in one task, whatever the blocks; so are their digests."""
     rng = random.Random(14)
     rows = [(c, i if c % 3 else i // 2, rng.choice(["user", "assistant"]) if i or c % 2 else "system", prose(rng, rng.randint(0, 90))) for c in range(12) for i in range(rng.choice([3, 50, 150, 400]))]
-    rows += [(None, i, "assistant", f"t{i}") for i in range(100)]
+    rows += [(None, i, "assistant", f"t{i}") for i in range(100)] + [(90, 0, "system", "alone"), (91, None, "system", "s"), (91, None, "system", "s"), (92, 0, "system", "a"), (92, 0, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").cache()
-    found = lambda: (sorted((str(w.conv_id), w.window, w.n_repeated, w.text, str(w.loss)) for w in chat_windows.windows(df).collect()), sorted(map(str, chat_windows.digests(chat_windows.windows(df)).collect())))
-    some = found()
-    whole, others = chat_windows._parts(df, chat_windows.BUDGET, chat_windows.HISTORY)
-    here, there = chat_windows.digests(whole, dealt=True).collect(), chat_windows.digests(others).collect()
-    assert sorted(map(str, here + there)) == some[1] and len(here) > 1 and len(there) > 1 and len(here + there) == 13
-    for block in (7, 10**6):
+
+    def found(spread):
+        made = chat_windows.windows(df, spread=spread)
+        return sorted((str(w.conv_id), w.window, w.n_repeated, w.text, str(w.loss)) for w in made.collect()), sorted(map(str, chat_windows.digests(made, dealt=not spread).collect()))
+
+    some = found(False)
+    assert len(some[1]) == 16 and len(some[0]) > 100
+    for block in (7, 64, 10**6):
         monkeypatch.setattr(chat_windows, "BLOCK", block)
-        assert found() == some
+        assert found(True) == some
+
+
+def test_chat_moves_texts_once(spark):
+    """Conversations of any length: one exchange, and it is by conversation."""
+    df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    plan = chat_windows.digests(chat_windows.windows(df), dealt=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(c" in plan and "Join" not in plan
 
 
 def cost(text):
