@@ -16,7 +16,7 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
-def _running_rows(points: Column, y: str, tolerance: Column) -> Column:
+def running_rows(points: Column, y: str, tolerance: Column) -> Column:
     """Sorted points (an array) cut into rows: in order of y a point joins the row before it if it is
     within the tolerance of that row's running mean. The state depends on the data, so this is a fold,
     not a window; it notes where rows begin, so it grows by row and not by point."""
@@ -30,7 +30,7 @@ def _running_rows(points: Column, y: str, tolerance: Column) -> Column:
     return F.aggregate(points, zero, step)["begins"]
 
 
-def _slices(points: Column, begins: Column) -> Column:
+def slices(points: Column, begins: Column) -> Column:
     """The parts of an array that begin at these places."""
     ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(points) + 1))
     return F.zip_with(begins, ends, lambda b, e: F.slice(points, b, e - b))
@@ -40,8 +40,8 @@ def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance:
     """``cluster`` (from 0) of each point: the rows of a page by running means."""
     fields = [c for c in points.columns if c not in by]
     rows = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(y).alias("__y"), F.col(tie).alias("__tie"), F.struct(*fields).alias("row")))).alias("__points"), F.first(tolerance).alias("__tol"))
-    rows = rows.withColumn("__begins", _running_rows(F.col("__points"), "__y", F.col("__tol")))
-    parts = rows.select(*by, F.posexplode(_slices(F.col("__points"), F.col("__begins"))).alias("__cluster", "__part"))
+    rows = rows.withColumn("__begins", running_rows(F.col("__points"), "__y", F.col("__tol")))
+    parts = rows.select(*by, F.posexplode(slices(F.col("__points"), F.col("__begins"))).alias("__cluster", "__part"))
     return parts.select(*by, "__cluster", F.explode("__part").alias("__p")).select(*by, "__p.row.*", F.col("__cluster").alias("cluster"))
 
 
@@ -131,8 +131,8 @@ def textblock_cells(words: DataFrame) -> DataFrame:
     xs = F.transform(F.filter("points", lambda p: p["number"]), lambda p: p["x0"])
     heights = F.filter(F.transform("points", lambda p: p["h"]), lambda h: h > 0)
     pages = pages.withColumns({"xs": xs, "tol": F.greatest(F.lit(4.0), F.coalesce(upper_median(heights), F.lit(10.0)) * 0.6)}).filter(F.size("xs") >= 2)
-    pages = pages.withColumns({"numcol": upper_median(F.col("xs")), "begins": _running_rows(F.col("points"), "cy", F.col("tol"))})
-    bands = pages.select(*PAGE, "numcol", F.posexplode(_slices(F.col("points"), F.col("begins"))).alias("cluster", "row"))
+    pages = pages.withColumns({"numcol": upper_median(F.col("xs")), "begins": running_rows(F.col("points"), "cy", F.col("tol"))})
+    bands = pages.select(*PAGE, "numcol", F.posexplode(slices(F.col("points"), F.col("begins"))).alias("cluster", "row"))
     bands = bands.withColumn("words", F.sort_array(F.transform("row", lambda p: F.struct(p["x0"].alias("x0"), p["word_no"].alias("word_no"), p["text"].alias("text"), p["number"].alias("number")))))
     bands = bands.withColumn("mark", F.get(F.filter("words", lambda w: w["number"] & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0))
     right = F.filter("words", lambda w: F.when(F.col("mark").isNotNull(), w["x0"] > F.col("mark")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["number"]))

@@ -1,213 +1,231 @@
-"""Tables from OCR boxes, a page at a time: each page is a small, order-dependent group."""
+"""Tables from OCR boxes: a page is one array, and all steps are folds and filters over it."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import groupby
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulon.functions.text import norm_header, strip
+from tabulon.operators.layout import PAGE, running_rows, slices, upper_median
 from tabulon.sources import fixed_values as fixed
-from tabulon.sources.config import norm
 
-SCHEMA = "doc_id string, page_no int, row_no int, col_pos int, raw_header string, value string"
-#: Cells of an output batch.
-OUT = 10_000
+#: Boxes below which a page has no table.
+FEWEST = 4
 
 
-@dataclass
-class Cell:
-    x: float
-    y: float
-    text: str
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value worked out once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-@dataclass
-class Column:
-    centre: float
-    members: list[int] = field(default_factory=list)
-    name: str = ""
+def _mean(values: Column) -> Column:
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, v: total + v), F.size(values))
 
 
-def _mean(values: list[float]) -> float:
-    return sum(values) / len(values)
+def _some(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull())
 
 
-def _rows(cells: list[Cell], tolerance: float) -> list[list[Cell]]:
-    rows: list[list[Cell]] = []
-    for c in sorted(cells, key=lambda c: c.y):
-        if rows and abs(c.y - _mean([d.y for d in rows[-1]])) <= tolerance:
-            rows[-1].append(c)
-        else:
-            rows.append([c])
-    return rows
+def _filled(texts: Column) -> Column:
+    return F.filter(texts, lambda t: t != "")
 
 
-def _tokens(texts: list[str]) -> int:
-    return sum(norm(t) in fixed.OCR_HEADER_TOKENS for t in texts)
+def _known(texts: Column) -> Column:
+    return F.size(F.filter(texts, lambda t: norm_header(t).isin(fixed.OCR_HEADER_TOKENS)))
 
 
-def _header_row(rows: list[list[Cell]]) -> int | None:
-    """The row with the most header tokens, at least two; where item numbers begin shortly below
-    another such row, the nearest one above them."""
-    counts = [_tokens([c.text for c in r]) for r in rows]
-    best = max(range(len(rows)), key=lambda i: (counts[i], -i))
-    if counts[best] < 2:
-        return None
-    numbered = [i for i, r in enumerate(rows) if any(re.match(fixed.ITEM_NO_PATTERN, c.text) for c in r)]
-    onset = next((a for a, b in zip(numbered, numbered[1:]) if b - a <= 3), 0)
-    return next((i for i in range(onset - 1, max(onset - 6, -1), -1) if counts[i] >= 2), best)
+def _row(points: Column) -> Column:
+    """Of a row's points by height: its height, header tokens, whether it has a number, cells from the left."""
+    texts = F.transform(points, lambda p: p["text"])
+    cells = F.sort_array(F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["box_no"].alias("box_no"), p["text"].alias("text"))))
+    numbered = F.exists(texts, lambda t: t.rlike(fixed.ITEM_NO_PATTERN))
+    return F.struct(_mean(F.transform(points, lambda p: p["y"])).alias("y"), _known(texts).alias("known"), numbered.alias("numbered"), cells.alias("cells"))
 
 
-def _single_link(xs: list[float], gap: float) -> list[float]:
-    groups: list[list[float]] = []
-    for x in sorted(xs):
-        if groups and x - groups[-1][-1] <= gap:
-            groups[-1].append(x)
-        else:
-            groups.append([x])
-    return [_mean(g) for g in groups]
+def _header_row(rows: Column) -> Column:
+    """The place of the row with the most header tokens, at least two; where item numbers begin shortly
+    below another such row, the nearest one above them. Null if there is none."""
+    best = F.array_max(F.transform(rows, lambda r, i: F.struct(r["known"].alias("known"), (-i).alias("minus"))))
+    numbered = _some(F.transform(rows, lambda r, i: F.when(r["numbered"], i)))
+    onset = _let(numbered, lambda at: F.coalesce(F.get(F.filter(at, lambda a, i: F.get(at, i + 1) - a <= 3), F.lit(0)), F.lit(0)))
+    nearest = _let(onset, lambda o: F.array_max(F.transform(rows, lambda r, i: F.when((r["known"] >= 2) & (i < o) & (i >= o - 5), i))))
+    return _let(best, lambda b: F.when(b["known"] >= 2, F.coalesce(nearest, -b["minus"])))
 
 
-def _nearest(x: float, columns: list[Column]) -> int:
-    return min(range(len(columns)), key=lambda i: abs(columns[i].centre - x))
+def _single_link(values: Column, gap: Column) -> Column:
+    """Centres of sorted values: one farther than the gap from that before it begins a group."""
 
+    def groups(xs: Column) -> Column:
+        begins = _some(F.transform(xs, lambda x, i: F.when((i == 0) | (x - F.get(xs, i - 1) > gap), i + 1)))
+        return _let(begins, lambda at: _some(F.transform(slices(xs, at), _mean)))
 
-def _row_texts(row: list[Cell], centres: list[Column]) -> dict[int, str]:
-    out: dict[int, str] = {}
-    for c in sorted(row, key=lambda c: c.x):
-        i = _nearest(c.x, centres)
-        out[i] = f"{out[i]} {c.text}" if i in out else c.text
-    return out
+    return _let(values, groups)
 
 
-def _unique(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for i, n in enumerate(names):
-        n = n or f"col{i}"
-        seen[n] = seen.get(n, -1) + 1
-        out.append(f"{n}_{seen[n]}" if seen[n] else n)
-    return out
+def _with_stray(own: Column, under: Column, gap: Column) -> Column:
+    """Columns come from the header's cells, and from at least two cells below that are farther than a
+    gap from all of those."""
+    far = lambda x: ~F.exists(own, lambda c: F.abs(x - c) <= gap)
+    stray = F.sort_array(F.filter(F.flatten(F.transform(under, lambda r: F.transform(r["cells"], lambda c: c["x"]))), far))
+    more = _let(stray, lambda xs: F.filter(_single_link(xs, gap), lambda x: F.size(F.filter(xs, lambda s: F.abs(s - x) <= gap)) >= 2))
+    return F.sort_array(F.concat(own, more))
 
 
-def _merge_stopwords(groups: list[Column]) -> list[Column]:
-    """A header that is a stop word joins its neighbours: both, if both are words of their own, else
-    the one to the left, else the one to the right."""
-    is_stop = lambda g: g.name.lower() in fixed.OCR_STOPWORDS
-    solid = lambda g: len(g.name) > 3 and not is_stop(g)
-    i = 0
-    while i < len(groups):
-        if not is_stop(groups[i]) or len(groups) == 1:
-            i += 1
-            continue
-        both = 0 < i < len(groups) - 1 and solid(groups[i - 1]) and solid(groups[i + 1])
-        lo, hi = (i - 1, i + 2) if both else (i - 1, i + 1) if i else (0, 2)
-        some = groups[lo:hi]
-        groups[lo:hi] = [Column(some[0].centre, [m for g in some for m in g.members], " ".join(g.name for g in some))]
-        i = lo + 1 if both or i else 0
-    return groups
+def _texts(cells: Column, centres: Column) -> Column:
+    """A row's text in each column; cells go to the nearest one, the first of equally near ones."""
 
+    def nearest(c: Column) -> Column:
+        return F.array_min(F.transform(centres, lambda k, i: F.struct(F.abs(k - c["x"]).alias("d"), i.alias("i"))))["i"]
 
-def _extract(rows: list[list[Cell]], header_y: float, centres: list[Column], groups: list[Column], limit: float) -> list[list[str]]:
+    def joined(dealt: Column) -> Column:
+        return F.transform(centres, lambda _, i: F.array_join(F.transform(F.filter(dealt, lambda d: d["i"] == i), lambda d: d["text"]), " "))
+
+    return _let(F.transform(cells, lambda c: F.struct(nearest(c).alias("i"), c["text"].alias("text"))), joined)
+
+
+def _unique(names: Column) -> Column:
+    """Names without a text by their place; a name's later uses are numbered."""
+
+    def numbered(all_: Column) -> Column:
+        def one(n: Column, i: Column) -> Column:
+            earlier = F.size(F.filter(F.slice(all_, F.lit(1), i), lambda m: m == n))
+            return F.when(earlier > 0, F.concat(n, F.lit("_"), earlier.cast("string"))).otherwise(n)
+
+        return F.transform(all_, one)
+
+    return _let(F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("col"), i.cast("string"))).otherwise(n)), numbered)
+
+
+def _groups(names: Column) -> Column:
+    """Columns put together: a header that is a stop word joins its neighbours: both, if both are words
+    of their own, else the one to the left, else the one to the right. A fold that keeps the groups so
+    far, and whether the next column belongs to the last of them."""
+    stop = lambda n: F.lower(n).isin(fixed.OCR_STOPWORDS)
+    solid = lambda n: F.coalesce((F.length(n) > 3) & ~stop(n), F.lit(False))
+    none = F.expr("cast(array() as array<struct<name:string,members:array<int>>>)")
+
+    def step(acc: Column, i: Column) -> Column:
+        done, name, n = acc["groups"], F.get(names, i), F.size(acc["groups"])
+        last, after = F.get(done, n - 1), F.get(names, i + 1)
+        alone = F.concat(done, F.array(F.struct(name.alias("name"), F.array(i).alias("members"))))
+        both = F.struct(F.concat_ws(" ", last["name"], name).alias("name"), F.concat(last["members"], F.array(i)).alias("members"))
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(both))
+        joins = acc["open"] | (stop(name) & (n > 0))
+        opens = ~acc["open"] & stop(name) & F.when(n == 0, after.isNotNull()).otherwise(solid(last["name"]) & solid(after))
+        return F.struct(F.when(joins, joined).otherwise(alone).alias("groups"), opens.alias("open"))
+
+    return F.aggregate(F.transform(names, lambda _, i: i), F.struct(none.alias("groups"), F.lit(False).alias("open")), step)["groups"]
+
+
+def _is_record(cells: Column) -> Column:
+    """Neither empty, nor another header, nor a note."""
+    prefixes = F.array(*map(F.lit, fixed.OCR_SKIP_PREFIXES))
+    note = lambda t: F.exists(prefixes, lambda p: F.startswith(t, p))
+    return _let(_filled(F.transform(cells, F.lower)), lambda some: (F.size(some) > 0) & (_known(some) < 3) & ~F.exists(some, note))
+
+
+def _records(rows: Column, s: Column) -> Column:
     """Records of rows that lead away from the header, up to the first large gap."""
-    out, at = [], header_y
-    for row in rows:
-        y = _mean([c.y for c in row])
-        if abs(y - at) > limit:
-            break
-        at = y
-        found = _row_texts(row, centres)
-        cells = [" ".join(found[m] for m in g.members if m in found) for g in groups]
-        filled = [c.lower() for c in cells if c]
-        if filled and _tokens(filled) < 3 and not any(c.startswith(tuple(fixed.OCR_SKIP_PREFIXES)) for c in filled):
-            out.append(cells)
-    return out
-
-
-def table_of(boxes: list[tuple], page_w: float) -> tuple[list[str], list[list[str]]]:
-    """Names and records from (box points, text, score). Columns come from the header's cells, and
-    from at least two cells below that are farther than a column gap from all of those."""
-    cells, heights = [], []
-    for points, text, score in boxes:
-        text = (text or "").strip()
-        if text and (score is None or score >= fixed.OCR_MIN_SCORE):
-            xs, ys = [p[0] for p in points], [p[1] for p in points]
-            cells.append(Cell(_mean(xs), _mean(ys), text))
-            heights.append(max(ys) - min(ys))
-    if len(cells) < 4:
-        return [], []
-    height = sorted(heights)[len(heights) // 2] or 12
-    rows = _rows(cells, max(8.0, 0.7 * height))
-    top = _header_row(rows)
-    if top is None or top == len(rows) - 1:
-        return [], []
-    gap, limit = max(40.0, 0.035 * page_w), 5.0 * height
-    centres = [Column(x) for x in _single_link([c.x for c in rows[top]], gap)]
-    stray = [c.x for r in rows[top + 1 :] for c in r if all(abs(c.x - k.centre) > gap for k in centres)]
-    extra = [x for x in _single_link(stray, gap) if sum(abs(s - x) <= gap for s in stray) >= 2]
-    centres = sorted(centres + [Column(x) for x in extra], key=lambda c: c.centre)
-    header = _row_texts(rows[top], centres)
-    names = _unique([header.get(i, "") for i in range(len(centres))])
-    groups = _merge_stopwords([Column(c.centre, [i], n) for i, (c, n) in enumerate(zip(centres, names))])
-    names = _unique([g.name for g in groups])
-    header_y = _mean([c.y for c in rows[top]])
-    records = _extract(rows[top + 1 :], header_y, centres, groups, limit)
-    number = next((i for i, n in enumerate(names) if norm(n) in fixed.OCR_NUMBER_TOKENS), None)
-    if number is not None and records and top:
-        share = lambda rs: sum(r[number].isdigit() for r in rs) / len(rs)
-        if share(records) < 0.3:  # perhaps the table stands on its header
-            lo, hi = centres[0].centre - 2 * gap, centres[-1].centre + 2 * gap
-            above = [[c for c in r if lo <= c.x <= hi] for r in reversed(rows[:top])]
-            other = _extract([r for r in above if r], header_y, centres, groups, limit)
-            if other and share(other) > share(records):
-                records = other
-    return _rescue(names, records), records
-
-
-def _rescue(names: list[str], records: list[list[str]]) -> list[str]:
+
+    def record(row: Column) -> Column:
+        return _let(_texts(row["cells"], s["centres"]), lambda t: F.transform(s["groups"], lambda g: F.array_join(_filled(F.transform(g["members"], lambda m: F.get(t, m))), " ")))
+
+    before = lambda i: F.when(i == 0, s["header"]["y"]).otherwise(F.get(rows, i - 1)["y"])
+    far = F.array_min(F.transform(rows, lambda r, i: F.when(F.abs(r["y"] - before(i)) > s["height"] * 5, i)))
+    return F.filter(F.transform(F.slice(rows, F.lit(1), F.coalesce(far, F.size(rows))), record), _is_record)
+
+
+def _share(records: Column, number: Column) -> Column:
+    return F.try_divide(F.size(F.filter(records, lambda r: F.get(r, number).rlike(r"^\p{Nd}+$"))), F.size(records))
+
+
+def _rescued(names: Column, records: Column) -> Column:
     """The most textual unnamed column becomes Description, unless one has a like name."""
-    if any(k in n.lower() for n in names for k in fixed.NAME_LIKE):
-        return names
-    best, most = None, 0.0
-    for i, n in enumerate(names):
-        filled = [r[i] for r in records if r[i]]
-        if re.fullmatch(r"col\d+", n) and filled:
-            texty, size = sum(bool(re.search("[A-Za-z]", v)) for v in filled) / len(filled), _mean([len(v) for v in filled])
-            if texty >= 0.6 and size >= 4 and texty * size > most:
-                best, most = i, texty * size
-    return [("Description" if i == best else n) for i, n in enumerate(names)]
+
+    def textual(filled: Column, i: Column) -> Column:
+        texty = F.try_divide(F.size(F.filter(filled, lambda v: v.rlike("[A-Za-z]"))), F.size(filled))
+        length = F.try_divide(F.aggregate(filled, F.lit(0), lambda total, v: total + F.length(v)), F.size(filled))
+        return _let(F.struct(texty.alias("texty"), length.alias("length")), lambda s: F.when((s["texty"] >= 0.6) & (s["length"] >= 4), F.struct((s["texty"] * s["length"]).alias("score"), (-i).alias("minus"))))
+
+    def score(n: Column, i: Column) -> Column:
+        return F.when(n.rlike(r"^col\d+$"), _let(_filled(F.transform(records, lambda r: F.get(r, i))), lambda filled: textual(filled, i)))
+
+    like = F.array(*map(F.lit, fixed.NAME_LIKE))
+    named = F.exists(names, lambda n: F.exists(like, lambda k: F.contains(F.lower(n), k)))
+    best = F.when(~named, -F.array_max(F.transform(names, score))["minus"])
+    return _let(best, lambda b: F.transform(names, lambda n, i: F.when(i == b, "Description").otherwise(n)))
+
+
+def _above(s: Column) -> Column:
+    """Rows that stand on the header, the nearest first, without what lies beside its columns."""
+    lo, hi = F.array_min(s["centres"]) - s["gap"] * 2, F.array_max(s["centres"]) + s["gap"] * 2
+    kept = F.transform(F.reverse(F.slice(s["parts"], F.lit(1), s["top"])), lambda p: F.filter(p, lambda c: c["x"].between(lo, hi)))
+    return F.transform(F.filter(kept, lambda p: F.size(p) > 0), _row)
+
+
+def _better(s: Column) -> Column:
+    """The records below the header, or if few of them are numbered and more of those above it are, these."""
+    below, above = _share(s["below"], s["number"]), _share(s["above"], s["number"])
+    return F.when((s["top"] > 0) & (below < 0.3) & (above > below), s["above"]).otherwise(s["below"])
+
+
+def _listed(s: Column) -> Column:
+    cell = lambda v, r, c: F.struct(r.cast("int").alias("row_no"), c.cast("int").alias("col_pos"), F.get(s["names"], c).alias("raw_header"), v.alias("value"))
+    return F.flatten(F.transform(s["records"], lambda values, r: F.transform(values, lambda v, c: cell(v, r, c))))
+
+
+def _number(names: Column) -> Column:
+    return F.array_min(F.transform(names, lambda n, i: F.when(norm_header(n).isin(fixed.OCR_NUMBER_TOKENS), i)))
+
+
+#: A page's columns, from ``points`` (by height) and ``page_w`` on: name, the columns it is made of, and how. A
+#: page without a table has null from the column on that can't be made.
+STEPS: list[tuple[str, str, Callable[[Column], Column]]] = [
+    ("median", "points", lambda s: F.when(F.size(s["points"]) >= FEWEST, upper_median(F.transform(s["points"], lambda p: p["h"])))),
+    ("height", "median", lambda s: F.when(s["median"] == 0, 12.0).otherwise(s["median"])),
+    ("begins", "points height", lambda s: _let(F.when(s["height"].isNotNull(), F.greatest(F.lit(8.0), s["height"] * 0.7)), lambda t: F.when(t.isNotNull(), running_rows(s["points"], "y", t)))),
+    ("parts", "points begins", lambda s: slices(s["points"], s["begins"])),
+    ("rows", "parts", lambda s: F.transform(s["parts"], _row)),
+    ("best", "rows", lambda s: _header_row(s["rows"])),
+    ("top", "rows best", lambda s: F.when(s["best"] < F.size(s["rows"]) - 1, s["best"])),
+    ("gap", "page_w", lambda s: F.greatest(F.lit(40.0), s["page_w"] * 0.035)),
+    ("header", "rows top", lambda s: F.get(s["rows"], s["top"])),
+    ("under", "rows top", lambda s: F.slice(s["rows"], s["top"] + 2, F.size(s["rows"]))),
+    ("own", "header gap", lambda s: _single_link(F.transform(s["header"]["cells"], lambda c: c["x"]), s["gap"])),
+    ("centres", "own under gap", lambda s: _with_stray(s["own"], s["under"], s["gap"])),
+    ("titles", "header centres", lambda s: _unique(_texts(s["header"]["cells"], s["centres"]))),
+    ("groups", "titles", lambda s: _groups(s["titles"])),
+    ("unnamed", "groups", lambda s: _unique(F.transform(s["groups"], lambda g: g["name"]))),
+    ("number", "unnamed", lambda s: _number(s["unnamed"])),
+    ("below", "under header centres groups height", lambda s: _records(s["under"], s)),
+    ("upward", "parts top centres gap", _above),
+    ("above", "upward header centres groups height", lambda s: _records(s["upward"], s)),
+    ("records", "below above number top", _better),
+    ("names", "unnamed records", lambda s: _rescued(s["unnamed"], s["records"])),
+    ("cells", "names records", _listed),
+]
 
 
 def ocr_cells(boxes: DataFrame) -> DataFrame:
     """Cells of the tables in ocr_boxes(doc_id, page_no, box_no, page_w, box array<struct<x,y>>, text,
-    score). Pages are dealt out and sorted, and a task streams them: it holds one page at a time."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_no", "page_w", "box", "text", "score")))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for (doc, no), page in groupby(rows(batches), lambda r: r[:2]):
-            listed = list(page)
-            found = [([(p["x"], p["y"]) for p in b], t, None if s is None or s != s else s) for _, _, _, b, t, s in listed]
-            names, records = table_of(found, listed[0][2])
-            out += [(doc, no, r, c, n, v) for r, record in enumerate(records) for c, (n, v) in enumerate(zip(names, record))]
-            if len(out) >= OUT:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    dealt = boxes.select("doc_id", "page_no", "box_no", F.col("page_w").cast("double"), "box", "text", F.col("score").cast("double"))
-    return dealt.repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "box_no").mapInArrow(scan, SCHEMA)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    columns = list(zip(*rows)) or [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    score). Boxes move once, by page. Those without a text or a place, or with a low score, don't count;
+    one without a score does."""
+
+    def span(name: str) -> tuple[Column, Column]:
+        values = F.transform("box", lambda p: p[name].cast("double"))
+        return _mean(values), F.array_max(values) - F.array_min(values)
+
+    (x, _), (y, h), score = span("x"), span("y"), F.col("score").cast("double")
+    point = F.struct(y.alias("y"), "box_no", x.alias("x"), h.alias("h"), strip(F.col("text")).alias("text"))
+    sure = score.isNull() | F.isnan(score) | (score >= fixed.OCR_MIN_SCORE)
+    read = boxes.select(*PAGE, "box_no", F.col("page_w").cast("double").alias("page_w"), point.alias("p"), sure.alias("sure"))
+    # null, where a place is
+    counts = F.col("sure") & (F.col("p.text") != "") & (F.col("p.x") < float("inf")) & (F.col("p.y") < float("inf"))
+    pages = read.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(counts, F.col("p")))).alias("points"), F.min_by("page_w", F.struct("box_no", "page_w")).alias("page_w"))
+    for name, used, made in STEPS:
+        # bound once, as lambdas would work out again what the optimiser puts in place of a column's name
+        pages = pages.withColumn(name, _let(F.struct(*used.split()), made))
+    # an outer explode, as a plain one would work the table out once more to see whether it is empty
+    return pages.select(*PAGE, F.explode_outer("cells").alias("cell")).filter("cell IS NOT NULL").select(*PAGE, "cell.*")

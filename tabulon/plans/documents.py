@@ -83,7 +83,7 @@ def process_files(spark: SparkSession, paths: list[str] | source.Stored, config:
     lines = context.mark_bands(good.select(*PAGE, "page_h", F.inline("lines")))
     ready = ocr is not None or ocr_lines is not None
     scanned = good.filter(context.is_scanned_page(F.col("text"), config.min_text_chars)).select(*PAGE)
-    seen = keep("scans", source.read_scans(scanned, decoder, ocr, ocr_lines)) if config.enable_ocr and ready else None
+    seen = keep("scans", source.read_scans(scanned, decoder, ocr, ocr_lines, keep)) if config.enable_ocr and ready else None
     scans = None if seen is None else seen.filter("error IS NULL").select(*PAGE, "row_no", "col_pos", "raw_header", "value")
     result = process_words(words, lines, good.select(*PAGE, "text"), config, lambda weak: source.read_tables(weak, decoder), scans, keep)
     result.main = keep("parts", result.main)

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tabulon.operators import headers
-from tabulon.operators.ocr_tables import table_of
+from tabulon.operators.ocr_tables import ocr_cells
 from tabulon.sources.pages import chosen_pages, parse_pages
 
 Decoder = Callable[[str], object]
@@ -242,22 +242,12 @@ def rgb(image: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image[:, :, :3])
 
 
-def ocr_table(image: np.ndarray, engine: Callable[[np.ndarray], list]) -> tuple[list[str], list[list[str]], str]:
-    """Names, records and way of a page image: upright, or turned by 90 degrees clockwise where the
-    upright page has no table."""
-    for way, turned in (("ocr", image), ("ocr turned", None)):
-        turned = rgb(np.rot90(image, k=-1)) if turned is None else rgb(turned)
-        names, records = table_of(engine(turned) or [], float(turned.shape[1]))
-        if records:
-            return names, records, way
-    return [], [], ""
+BOXES = "array<struct<box_no: int, box: array<struct<x: double, y: double>>, text: string, score: double>>"
 
 
-def read_scans(numbers: DataFrame, open_: Decoder | Stored, engine: Callable[[], Callable] | None, fallback: Callable[[], Callable] | None = None) -> DataFrame:
-    """Cells of page images, with the way they were read, and rows with an error alone for pages that
-    gave none. ``engine`` makes, once a task, a function from an image to (points, text, score) each;
-    only where it can't be made, ``fallback`` makes one from an image to lines of text, which become
-    one column. ``not_ready`` says that there was neither."""
+def read_images(numbers: DataFrame, open_: Decoder | Stored, engine: Callable[[], Callable] | None, fallback: Callable[[], Callable] | None = None, turned: bool = False) -> DataFrame:
+    """What OCR sees on page images, upright or ``turned`` by 90 degrees clockwise: page_w with boxes, or
+    lines of text, or an error. See ``read_scans``."""
     made: dict[str, object] = {}
 
     def make() -> None:
@@ -270,23 +260,44 @@ def read_scans(numbers: DataFrame, open_: Decoder | Stored, engine: Callable[[],
                 made["error"] = f"OCR engine could not start: {e}"
         made["done"] = True
 
+    none = dict.fromkeys(("page_w", "boxes", "lines", "error")) | {"not_ready": False}
+
+    def number(x) -> float | None:
+        return None if x is None else float(x)
+
     def read(doc, n: int) -> Iterator[dict]:
         if "done" not in made:
             make()
-        none = dict.fromkeys(("row_no", "col_pos", "raw_header", "value", "method"))
-        if "boxes" in made:
-            names, records, way = ocr_table(doc.image(n, DPI), made["boxes"])
-        elif "lines" in made:
-            found = [x.strip() for x in made["lines"](rgb(doc.image(n, DPI))) if x.strip()]
-            names, records, way = ["Description"], [[x] for x in found] if len(found) > 1 else [], "ocr lines"
-        else:
+        if "boxes" not in made and "lines" not in made:
             yield none | {"error": made.get("error", "no OCR engine"), "not_ready": True}
             return
-        if not records:
-            yield none | {"error": "no table", "not_ready": False}
-        for r, record in enumerate(records):
-            for c, (name, value) in enumerate(zip(names, record)):
-                yield {"row_no": r, "col_pos": c, "raw_header": name, "value": value, "method": way, "error": None, "not_ready": False}
-
-    failed = dict.fromkeys(("row_no", "col_pos", "raw_header", "value", "method"))
-    return _each_page(numbers, open_, read, lambda n, e: [failed | {"error": str(e), "not_ready": False}], "row_no int, col_pos int, raw_header string, value string, method string, error string, not_ready boolean")
+        image = doc.image(n, DPI)
+        image = rgb(np.rot90(image, k=-1) if turned else image)
+        if "boxes" in made:
+            found = [{"box_no": i, "box": [{"x": float(p[0]), "y": float(p[1])} for p in points], "text": text, "score": number(score)} for i, (points, text, score) in enumerate(made["boxes"](image) or [])]
+            yield none | {"page_w": float(image.shape[1]), "boxes": found}
+        else:
+            yield none | {"lines": [x.strip() for x in made["lines"](image) if x.strip()]}
+
+    return _each_page(numbers, open_, read, lambda n, e: [none | {"error": str(e)}], f"page_w double, boxes {BOXES}, lines array<string>, error string, not_ready boolean")
+
+
+def read_scans(numbers: DataFrame, open_: Decoder | Stored, engine: Callable[[], Callable] | None, fallback: Callable[[], Callable] | None = None, keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> DataFrame:
+    """Cells of page images, with the way they were read, and rows with an error alone for pages that
+    gave none. ``engine`` makes, once a task, a function from an image to (points, text, score) each;
+    only where it can't be made, ``fallback`` makes one from an image to lines of text, which become
+    one column. ``not_ready`` says that there was neither. Pages without a table upright are read once
+    more, turned. ``keep`` writes what is used several times, so that no image is read again for it."""
+
+    def table(seen: DataFrame, way: str) -> DataFrame:
+        return ocr_cells(seen.select(*PAGE, "page_w", F.inline("boxes"))).withColumn("method", F.lit(way))
+
+    seen = keep("seen", read_images(numbers, open_, engine, fallback))
+    upright = keep("upright", table(seen, "ocr"))
+    left = seen.filter("boxes IS NOT NULL").select(*PAGE).join(upright.select(*PAGE), PAGE, "left_anti")
+    again = keep("seen_turned", read_images(left, open_, engine, turned=True))
+    lines = seen.filter("size(lines) > 1").select(*PAGE, F.posexplode("lines").alias("row_no", "value"), F.lit(0).alias("col_pos"), F.lit("Description").alias("raw_header"), F.lit("ocr lines").alias("method"))
+    found = upright.unionByName(keep("turned", table(again, "ocr turned"))).unionByName(lines)
+    tried = seen.join(left, PAGE, "left_anti").unionByName(again).select(*PAGE, "error", "not_ready")
+    empty = tried.join(found.select(*PAGE), PAGE, "left_anti").withColumn("error", F.coalesce("error", F.lit("no table")))
+    return found.withColumn("not_ready", F.lit(False)).unionByName(empty, allowMissingColumns=True)

@@ -3,6 +3,7 @@ import random
 import zipfile
 from collections import Counter
 
+import plain_ocr
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,18 +214,72 @@ def box(x, y, text, score=0.95):
     return ([(x, y), (x + 40, y), (x + 40, y + 14), (x, y + 14)], text, score)
 
 
-def test_ocr_tables():
+BOXES = "doc_id string, page_no int, box_no int, page_w double, box array<struct<x:double,y:double>>, text string, score double"
+
+
+def ocr(spark, pages):
+    """Names and records of each page (boxes, width)."""
+    rows = [("d", p, i, float(w), [(float(x), float(y)) for x, y in points], t, s) for p, (boxes, w) in enumerate(pages) for i, (points, t, s) in enumerate(boxes)]
+    got = [[{}, {}] for _ in pages]
+    for r in ocr_tables.ocr_cells(spark.createDataFrame(rows, BOXES)).collect():
+        got[r.page_no][0][r.col_pos] = r.raw_header
+        got[r.page_no][1].setdefault(r.row_no, {})[r.col_pos] = r.value
+    line = lambda cells: [cells[i] for i in range(len(cells))]
+    return [(line(names), [line(records[i]) for i in range(len(records))]) for names, records in got]
+
+
+def test_ocr_tables(spark):
     base = [box(50, 10, "No."), box(200, 10, "NAME"), box(50, 40, "1"), box(200, 40, "Pump"), box(50, 70, "2"), box(200, 70, "Valve")]
-    assert ocr_tables.table_of(base, 500) == (["No.", "NAME"], [["1", "Pump"], ["2", "Valve"]])
-    assert ocr_tables.table_of(base[:5] + [box(200, 70, "noise", 0.1)], 500)[1] == [["1", "Pump"], ["2", ""]]
-    assert ocr_tables.table_of(base[:1], 500) == ([], [])
-    assert ocr_tables.table_of(base + [box(200, 100, "CAUTION hot"), box(50, 900, "footer")], 500)[1] == [["1", "Pump"], ["2", "Valve"]]
     apart = [box(50, 10, "No."), box(650, 10, "QTY"), box(50, 40, "1"), box(350, 40, "FLANGE"), box(650, 40, "4"), box(50, 70, "2"), box(350, 70, "COVER"), box(650, 70, "5")]
-    assert ocr_tables.table_of(apart, 900)[0] == ["No.", "Description", "QTY"]
     split = [box(50, 10, "No."), box(200, 10, "NAME"), box(300, 10, "OF"), box(400, 10, "PART"), box(50, 40, "1"), box(200, 40, "Pump")]
-    assert ocr_tables.table_of(split, 500)[0] == ["No.", "NAME OF PART"]
     above = [box(50, 10, "1"), box(200, 10, "Pump"), box(50, 40, "2"), box(200, 40, "Valve"), box(50, 70, "No."), box(200, 70, "NAME"), box(50, 100, "weight"), box(200, 100, "kilo")]
-    assert ocr_tables.table_of(above, 500)[1] == [["2", "Valve"], ["1", "Pump"]]
+    low, ends = base[:5] + [box(200, 70, "noise", 0.1)], base + [box(200, 100, "CAUTION hot"), box(50, 900, "footer")]
+    got = ocr(spark, [(base, 500), (low, 500), (base[:1], 500), (ends, 500), (apart, 900), (split, 500), (above, 500)])
+    assert got[0] == (["No.", "NAME"], [["1", "Pump"], ["2", "Valve"]])
+    assert got[1][1] == [["1", "Pump"], ["2", ""]]
+    assert got[2] == ([], [])
+    assert got[3][1] == [["1", "Pump"], ["2", "Valve"]]
+    assert got[4][0] == ["No.", "Description", "QTY"]
+    assert got[5][0] == ["No.", "NAME OF PART"]
+    assert got[6][1] == [["2", "Valve"], ["1", "Pump"]]
+
+
+def some_page(r):
+    """A page with a header somewhere, stop words in it, gaps, notes, empty, doubtful and flat boxes."""
+    titles, fill = ["No.", "NAME", "of", "OF", "the", "PART", "QTY", "Description", "item", "Ref No.", "Material"], ["pump", "Valve body", "12", "3a", "CAUTION hot", "note: x", "bolt", "", " seal ", "QTY", "Item", "name"]
+    lefts, rows, y, out = sorted(r.sample(range(20, 760, 30), r.randint(2, 6))), r.randint(2, 9), 10, []
+    head = r.randrange(rows)
+    for i in range(rows):
+        y += r.choice([0, 5, 14, 30, 30, 30, 90, 200])
+        for j, left in enumerate(lefts):
+            text = r.choice(titles) if i == head else r.choice([str(i), "3a", "x"]) if not j else r.choice(fill)
+            if r.random() < 0.8:
+                x, top, h = left + r.choice([0, 0, 3, -5, 20, 45]), y + r.choice([0, 0, 1, 3, 7]), r.choice([10, 14, 14, 0])
+                out.append(([(x, top), (x + 40, top), (x + 40, top + h), (x, top + h)], text, r.choice([0.9, 0.9, 0.9, 0.1, None])))
+    return out, r.choice([500, 800, 2000])
+
+
+def test_ocr_tables_by_a_plain_version(spark):
+    r = random.Random(7)
+    pages = [some_page(r) for _ in range(1500)]
+    want = [plain_ocr.table_of(boxes, w) for boxes, w in pages]
+    want = [(names if records else [], records) for names, records in want]
+    assert ocr(spark, pages) == want
+    tops = sum(bool(records) for _, records in want)
+    joined = sum(any(" of " in f" {n.lower()} " for n in names) for names, _ in want)
+    assert tops > 400 and joined > 50 and sum("Description" in names for names, _ in want) > 50
+
+
+def test_ocr_boxes_that_do_not_count(spark):
+    """Without a place, a text or a number, or on a page without a width: none of these ends the job."""
+    place = lambda x, y: [(float(x), float(y)), (x + 40.0, y + 14.0)]
+    page = [(place(50, 10), "No."), (place(200, 10), "NAME"), (place(50, 40), "1"), (place(200, 40), "Pump")]
+    odd = [(None, "a"), ([], "b"), ([(float("nan"), 1.0)], "c"), (place(50, 40), None), (place(50, 40), "")]
+    rows = [(doc, p, i, w, b, t, s) for doc, p, w, s in ((None, 1, None, None), ("d", None, 800.0, float("nan"))) for i, (b, t) in enumerate(page + odd)]
+    rows += [("flat", 1, None, 500.0, [(x, y), (x, y)], t, 0.9) for x, y, t in ((50.0, 10.0, "No."), (200.0, 10.0, "NAME"), (50.0, 40.0, "1"), (200.0, 40.0, "Pump"))]
+    rows += [("none", 1, 0, 500.0, None, None, None)]
+    got = sorted((str(r.doc_id), str(r.page_no), r.row_no, r.raw_header, r.value) for r in ocr_tables.ocr_cells(spark.createDataFrame(rows, BOXES)).collect())
+    assert got == [(d, p, 0, h, v) for d, p in (("None", "1"), ("d", "None"), ("flat", "1")) for h, v in (("NAME", "Pump"), ("No.", "1"))]
 
 
 def test_captions(spark):
