@@ -9,8 +9,8 @@ the smallest exponent that meets both targets given:
 
 Both quantities fall as ``a`` grows, except that repetition may be impossible to meet even at 1, when
 1 is taken. Then source s has a quota of ``floor(w_s * budget)`` tokens, realised by block
-permutations: its documents are dealt into blocks by a digest of the doc_id (``BLOCKS`` or, of large
-corpora, twice as many and so on, until a block of a source that held everything would have no more
+permutations: its documents are dealt into blocks by a digest of the doc_id (those without one by a
+digest of their number of tokens, so that they aren't one block; ``BLOCKS`` or, of large corpora, twice as many and so on, until a block of a source that held everything would have no more
 than ``BLOCK_TOKENS`` tokens); each epoch orders the blocks by a digest of epoch and block, and within
 a block documents are ordered by their digest. A document is scheduled in an epoch if fewer tokens than the quota come before it, so whole
 epochs repeat every document and the last one is cut within a block.
@@ -49,8 +49,9 @@ def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
 
 
-def block_of(doc_id: Column, blocks: int) -> Column:
-    return F.conv(F.substring(_digest(doc_id), 1, 8), 16, 10).cast("long") % blocks
+def block_of(doc_id: Column, n_tokens: Column, blocks: int) -> Column:
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("tokens "), n_tokens.cast("string")))
+    return F.conv(F.substring(_digest(key), 1, 8), 16, 10).cast("long") % blocks
 
 
 def exponent(totals: DataFrame, budget: int | None, entropy: float | None, repeats: float | None) -> float:
@@ -118,7 +119,7 @@ def schedule(rows: DataFrame, counts: DataFrame, budget: int | None = None, entr
     budget, blocks = whole if budget == -1 else budget, n_blocks(whole)
     # working columns beside the row, so that no name clashes
     held = F.struct(*columns).alias("__row") if columns else F.lit(None).alias("__row")
-    block = block_of(F.col("doc_id"), blocks).alias("__block")
+    block = block_of(F.col("doc_id"), F.col("n_tokens"), blocks).alias("__block")
     totals = cut(counts.select("source", block, "n_tokens").groupBy("source", "__block").agg(F.sum("n_tokens").alias("tokens")))
     plan = quotas(totals.groupBy("source").agg(F.sum("tokens").alias("tokens")), budget, entropy, repeats)
     epochs = F.explode(F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("all_tokens")).cast("int") - 1)).alias("__epoch")

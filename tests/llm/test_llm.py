@@ -423,6 +423,19 @@ def test_mixing_with_more_blocks(spark, docs, monkeypatch):
     assert some.keys() == many.keys() and all(some[k] == many[k] for k in some if (k[0], k[1] + 1) in some)
 
 
+def test_mixing_deals_rows_without_an_id(spark):
+    """A source of 600 rows without an id lies in many blocks, and every row is used once before any twice."""
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("s").alias("source"), F.concat(F.lit("w"), F.repeat(F.lit(" w"), (F.col("id") % 97).cast("int"))).alias("text"))
+    counts = mixing.counted(rows)
+    spread = counts.filter("doc_id IS NULL").groupBy(mixing.block_of(F.col("doc_id"), F.col("n_tokens"), mixing.BLOCKS).alias("b")).count()
+    assert spread.count() > 80 and spread.agg(F.max("count")).first()[0] < 30
+    got = mixing.schedule(counts, counts, -1)
+    assert got.count() == 900 and got.filter("epoch > 0").count() == 0
+    assert got.groupBy("n_tokens").count().exceptAll(counts.groupBy("n_tokens").count()).count() == 0
+    starts = sorted((r.start_token, r.n_tokens) for r in got.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_mixing_stage_keeps_clashing_columns(spark, docs):
     odd = docs.withColumns({"start_token": F.lit("x"), "n_tokens": F.lit(-5)})
     got = mixing.stage(spark, odd, "")
