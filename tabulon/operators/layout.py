@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,35 +50,124 @@ def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance:
     return parts.select(*by, "__cluster", F.explode("__part").alias("__p")).select(*by, "__p.row.*", F.col("__cluster").alias("cluster"))
 
 
-#: Tolerances that a bin of ``cluster_rows_spread`` is wide.
-SPAN = 64
+#: Tolerances that a bin of ``cluster_rows_spread`` is wide, and the most that it may be.
+SPAN, WIDEST = 64, 128
+#: Tolerances that no row is wide: it takes e ** k points to move a row's mean by k tolerances.
+REACH = 32
+
+
+def next_begins(ys: np.ndarray, ns: np.ndarray, own: int, tolerance: float) -> list[int]:
+    """For each of the first ``own`` places (sorted, told apart; ns: points at each): where, if a row begins there,
+    the next one does; len(ys) if none does within these places. The later a row begins the higher its mean, so the
+    next begin never moves back and one pass with two ends finds all. Where rounding could decide, points are added
+    one after the other, as a fold does."""
+    n = len(ys)
+    base, places = float(ys[0]), ys.tolist()
+    sums = np.concatenate([[0.0], np.cumsum((ys - base) * ns)]).tolist()
+    counts = np.concatenate([[0], np.cumsum(ns)]).tolist()
+    doubt = 1e-15 * (float(np.abs(ys).max()) + tolerance) * (counts[-1] + 8)
+
+    def over(i: int, k: int) -> float:
+        return places[k] - base - (sums[k] - sums[i]) / (counts[k] - counts[i]) - tolerance
+
+    def begins(i: int, k: int) -> bool:
+        total = np.cumsum(np.repeat(ys[i:k], ns[i:k]))[-1]
+        return bool(abs(ys[k] - total / (counts[k] - counts[i])) > tolerance)
+
+    out, low = [], 0
+    for i in range(own):
+        low = max(low, i + 1)
+        while low < n and over(i, low) <= -doubt:
+            low += 1
+        k = low
+        while k < n and not ((by := over(i, k)) > doubt or (by > -doubt and begins(i, k))):
+            k += 1
+        out.append(k)
+    return out
+
+
+def _ways(tolerance: float) -> Callable[[Column, Column, Column], Column]:
+    """Of a bin's places: pairs, flat, of an entry (the first begin in the bin) and the first begin beyond the bin
+    that it leads to, past all places within reach if none is one; an entry stands for those up to the next one
+    listed."""
+
+    @F.pandas_udf("array<double>")
+    def ways(ys: pd.Series, ns: pd.Series, own: pd.Series) -> pd.Series:
+        def one(ys: np.ndarray, ns: np.ndarray, own: int) -> list[float]:
+            out, past = [0.0] * own, math.nextafter(float(ys[-1]), math.inf)
+            for i, k in reversed(list(enumerate(next_begins(ys, ns, own, tolerance)))):
+                out[i] = past if k == len(ys) else out[k] if k < own else float(ys[k])
+            return [x for i in range(own) if i == 0 or out[i] != out[i - 1] for x in (float(ys[i]), out[i])]
+
+        return pd.Series([one(*x) for x in zip(ys, ns, own)], dtype=object)
+
+    return ways
+
+
+def _begun(tolerance: float) -> Callable[[Column, Column, Column, Column], Column]:
+    """Places where rows begin in a bin whose first one begins at ``entry`` (null: none does)."""
+
+    @F.pandas_udf("array<double>")
+    def begun(ys: pd.Series, ns: pd.Series, own: pd.Series, entry: pd.Series) -> pd.Series:
+        def one(ys: np.ndarray, ns: np.ndarray, own: int, entry: float) -> list[float]:
+            if math.isnan(entry):
+                return []
+            at, out = int(np.searchsorted(ys[:own], entry)), []
+            following = next_begins(ys[at:], ns[at:], own - at, tolerance)
+            i = 0
+            while i < own - at:
+                out.append(float(ys[at + i]))
+                i = following[i]
+            return out
+
+        return pd.Series([one(*x) for x in zip(ys, ns, own, entry.astype("float64"))], dtype=object)
+
+    return begun
+
+
+def _entries(bins: pd.DataFrame) -> pd.DataFrame:
+    """The first begin in each bin of a group: where the row before it leads to."""
+    bins, entries, ahead = bins.sort_values("__bin"), [], -math.inf
+    for ways, last in zip(bins["__ways"], bins["__last"]):
+        entry = max(ways[0], ahead)
+        if entry > last:  # a row of an earlier bin holds all of this one
+            entries.append(None)
+            continue
+        entries.append(entry)
+        ahead = ways[2 * int(np.searchsorted(ways[::2], entry, "right")) - 1]
+    return bins.assign(__entry=pd.Series(entries, index=bins.index, dtype="float64")).drop(columns=["__ways", "__last"])
 
 
 def cluster_rows_spread(points: DataFrame, by: list[str], y: str, tie: str, tolerance: float) -> DataFrame:
-    """The same as ``cluster_rows`` for groups of any size: no task needs the points of a group.
-
-    A point farther than the tolerance from the one before it always begins a row, as the row's mean isn't
-    above that one. So points are dealt by bins of ``SPAN`` tolerances; within a bin, and from the end of the
-    bin before, such gaps cut them into segments, and each segment is folded for itself. Two small sums over
-    bins and segments, a row each, number them. Only points without any gap between them stay together.
-    Points without a place or a group are left out.
+    """The same as ``cluster_rows`` for groups of any size and density: no task needs the points of a group, and
+    points are neither sorted nor gathered.
+
+    Where a row begins depends on all points before, but from any begin on only on those that follow. So places
+    (told apart, with their number of points) are dealt by bins of ``SPAN`` tolerances, with what follows within
+    ``REACH``; each bin tells for all of its places where a row that begins there leads to beyond the bin. These
+    ways coalesce, and are short lists; one step a bin through them gives its first begin, and the bins then give
+    their begins for themselves, at most about one a tolerance. A row begins at the first of equal places, so a
+    point's row is told by its place alone. Points without a place or a group are left out.
     """
-    yy, width = F.col(y).cast("double"), float(SPAN * tolerance) or 1.0
-    binned = points.withColumn("__bin", F.floor(yy / width))
-    whole = Window.partitionBy(*by).orderBy("__bin")
-    ends = binned.groupBy(*by, "__bin").agg(F.max(yy).alias("__end")).withColumn("__before", F.lag("__end").over(whole)).drop("__end")
-    within = Window.partitionBy(*by, "__bin").orderBy(y, tie)
-    joined = binned.join(ends, [*by, "__bin"])
-    gap = yy - F.coalesce(F.lag(yy).over(within), F.col("__before")) > tolerance
-    cut = joined.withColumn("__cut", F.coalesce(gap, F.lit(True)).cast("long")).withColumn("__nth", F.sum("__cut").over(within)).drop("__before")
-    cuts = cut.groupBy(*by, "__bin").agg(F.sum("__cut").alias("__n"))
-    cuts = cuts.withColumn("__base", F.coalesce(F.sum("__n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    segments = cut.join(cuts, [*by, "__bin"]).withColumn("__segment", F.col("__base") + F.col("__nth")).drop("__bin", "__base", "__nth", "__cut")
-    folded = cluster_rows(segments, [*by, "__segment"], y, tie, F.lit(tolerance))
-    sizes = folded.groupBy(*by, "__segment").agg(F.max("cluster").alias("__last"))
-    earlier = Window.partitionBy(*by).orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__first", F.coalesce(F.sum(F.col("__last") + 1).over(earlier), F.lit(0))).drop("__last")
-    return folded.join(sizes, [*by, "__segment"]).withColumn("cluster", F.col("__first") + F.col("cluster")).drop("__segment", "__first")
+    yy, width = F.col(y).cast("double"), float(min(SPAN, WIDEST) * tolerance) or 1.0
+    of = lambda at: F.floor(at / width)
+    told = points.filter(yy.isNotNull())
+    for c in by:
+        told = told.filter(F.col(c).isNotNull())
+    places = told.groupBy(*by, yy.alias("__y")).agg(F.count("*").alias("__n"))
+    dealt = places.withColumn("__bin", F.explode(F.sequence(of(F.col("__y") - REACH * tolerance), of(F.col("__y"))))).withColumn("__own", (F.col("__bin") == of(F.col("__y"))).cast("int"))
+    listed = F.sort_array(F.collect_list(F.struct("__y", "__n"))).alias("__at")
+    bins = dealt.groupBy(*by, "__bin").agg(listed, F.sum("__own").cast("int").alias("__k")).filter("__k > 0")
+    at = [F.col("__at.__y"), F.col("__at.__n"), F.col("__k")]
+    ways = bins.select(*by, "__bin", _ways(tolerance)(*at).alias("__ways"), F.get("__at.__y", F.col("__k") - 1).alias("__last"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (points.schema[c] for c in by))
+    entries = ways.groupBy(*by).applyInPandas(_entries, f"{kinds}, __bin long, __entry double")
+    begun = bins.join(entries, [*by, "__bin"]).select(*by, "__bin", _begun(tolerance)(*at, F.col("__entry")).alias("__begins"))
+    earlier = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.withColumn("__first", F.coalesce(F.sum(F.size("__begins")).over(earlier), F.lit(0)))
+    rows = told.withColumn("__bin", of(yy)).join(begun, [*by, "__bin"])
+    nth = F.size(F.filter("__begins", lambda b: b <= yy))
+    return rows.withColumn("cluster", F.col("__first") + nth - 1).drop("__bin", "__begins", "__first")
 
 
 def gap_clusters(points: DataFrame, by: list[str], x: str, tie: str, gap: Column | float) -> DataFrame:

@@ -196,6 +196,25 @@ def test_rows_of_a_large_group_are_spread(spark, monkeypatch):
     assert {r.cluster for r in same.collect()} == {0}
 
 
+def test_rows_of_a_group_without_gaps_are_spread(spark):
+    """No gap cuts these groups, and places lie where rounding decides; no task has more than a share of the points."""
+    dense = "CASE pmod(id, 3) WHEN 0 THEN pmod(xxhash64(id), 100000) / 100D WHEN 1 THEN pmod(xxhash64(id), 2000) / 2D ELSE pow(pmod(xxhash64(id), 100000) / 100000D, 9) * 1000 END"
+    df = spark.range(0, 40_000, 1, 4).selectExpr("pmod(id, 2) AS g", "id AS i", f"{dense} - 300 AS y")
+    want = {r.i: r.cluster for r in layout.cluster_rows(df, ["g"], "y", "i", F.lit(0.5)).collect()}
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": False, "spark.sql.autoBroadcastJoinThreshold": -1}
+    for k, v in off.items():
+        spark.conf.set(k, v)
+    try:
+        rows = layout.cluster_rows_spread(df.filter("y > -299"), ["g"], "y", "i", 0.5).withColumn("task", F.spark_partition_id()).collect()
+        tasks = Counter(r.task for r in rows)
+        assert len(tasks) == 4 and max(tasks.values()) < 0.6 * len(rows)
+        got = {r.i: r.cluster for r in layout.cluster_rows_spread(df, ["g"], "y", "i", 0.5).collect()}
+    finally:
+        for k in off:
+            spark.conf.unset(k)
+    assert got == want and len(got) == 40_000 and max(got.values()) > 500
+
+
 def word(no, x, y, text, n, page=1):
     return ("d", page, float(x), float(y), float(x + 30), float(y + 10), text, n)
 
