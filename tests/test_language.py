@@ -1,5 +1,7 @@
 """Languages by profiles: held-out accuracy, odd texts, and the flag on rows that uses them."""
 
+import math
+
 import pytest
 from compare import duck
 from pyspark.sql import functions as F
@@ -45,6 +47,25 @@ def test_a_small_profile_by_hand(spark):
     assert got == {"aaa": "p", "bbbb": "q", "AAA!": "p"}
 
 
+def test_no_row_moves_and_pieces_change_nothing(spark, docs, profile, monkeypatch):
+    """Scoring has no exchange and no join; texts beyond the basic plane and of many pieces are counted whole."""
+    told = language.with_language(docs, "text", profile)
+    plan = told._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
+    texts = [("\U00010400\U00010428ab" * 50, "p"), ("zz", "q"), ("", "q"), ("ab cd " * 40, "p")]
+    want: dict = {}
+    for text, lang in texts:
+        plain = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for g in [plain[i : i + 3] for i in range(len(plain) - 2)] or [plain]:
+            want.setdefault(g, {}).setdefault(lang, 0)
+            want[g][lang] += 1
+    got = language.learn(spark.createDataFrame(texts, "text string, lang string"))
+    assert set(got.gains) == set(want) and all(round(math.exp(got.gains[g][i]) / 2) == want[g].get(x, 0) for g in want for i, x in enumerate("pq") if want[g].get(x))
+    whole = [n for x in language.numbers("\U00010400 abc de" * 9) for n in x]
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert whole == [n for x in language.numbers("\U00010400 abc de" * 9) for n in x] and language.gram(whole[0]) == "\U00010400 a"
+
+
 def test_rows_are_flagged_by_a_profile(spark, docs, profile):
     names = {r.lang: r.text for r in docs.filter("length(text) BETWEEN 200 AND 2000 AND doc_id % 5 = 0").groupBy("lang").agg(F.min("text").alias("text")).collect()}
     rows = [(i, n, "old" if i == 1 else "") for i, n in enumerate([names["en"], *(v for k, v in sorted(names.items()) if k != "en"), "short", "1234567890123", "1234567890123"])]
