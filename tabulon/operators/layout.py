@@ -16,6 +16,11 @@ from tabulon.sources import fixed_values as fixed
 PAGE = ["doc_id", "page_no"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with the value worked out once, however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def upper_median(values: Column) -> Column:
     """Of an array: the middle one, of two middle ones the larger."""
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
@@ -218,7 +223,7 @@ def textblock_cells(words: DataFrame) -> DataFrame:
     """Cells of two columns, No. and Description, from positioned words: rows are clusters by height,
     a row with a number in the number column begins an item, what is right of it is its description;
     rows without a number continue the item before. Items without description go, and pages with
-    fewer than two items. Words move once, by page."""
+    fewer than two items. Words move once, by page, and a page's rows and items stay one array."""
     text = strip(F.col("text"))
     point = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), "word_no", "x0", (F.col("y1") - F.col("y0")).alias("h"), text.alias("text"), text.rlike(fixed.ITEM_NO_PATTERN).alias("number"))
     pages = words.select(*PAGE, point.alias("p")).filter("p.text <> ''").groupBy(*PAGE).agg(F.sort_array(F.collect_list("p")).alias("points")).filter(F.size("points") >= 4)
@@ -226,15 +231,30 @@ def textblock_cells(words: DataFrame) -> DataFrame:
     heights = F.filter(F.transform("points", lambda p: p["h"]), lambda h: h > 0)
     pages = pages.withColumns({"xs": xs, "tol": F.greatest(F.lit(4.0), F.coalesce(upper_median(heights), F.lit(10.0)) * 0.6)}).filter(F.size("xs") >= 2)
     pages = pages.withColumns({"numcol": upper_median(F.col("xs")), "begins": running_rows(F.col("points"), "cy", F.col("tol"))})
-    bands = pages.select(*PAGE, "numcol", F.posexplode(slices(F.col("points"), F.col("begins"))).alias("cluster", "row"))
-    bands = bands.withColumn("words", F.sort_array(F.transform("row", lambda p: F.struct(p["x0"].alias("x0"), p["word_no"].alias("word_no"), p["text"].alias("text"), p["number"].alias("number")))))
-    bands = bands.withColumn("mark", F.get(F.filter("words", lambda w: w["number"] & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0))
-    right = F.filter("words", lambda w: F.when(F.col("mark").isNotNull(), w["x0"] > F.col("mark")["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["number"]))
-    bands = bands.select(*PAGE, "cluster", F.col("mark.text").alias("number"), F.array_join(F.transform(right, lambda w: w["text"]), " ").alias("words"))
-    w = Window.partitionBy(*PAGE).orderBy("cluster")
-    bands = bands.withColumn("item", F.sum(F.col("number").isNotNull().cast("int")).over(w)).filter("item > 0")
-    parts = F.filter(F.transform(F.sort_array(F.collect_list(F.struct("cluster", "words"))), lambda x: x["words"]), lambda x: x != "")
-    items = bands.groupBy(*PAGE, "item").agg(F.first("number", ignorenulls=True).alias("number"), strip(F.array_join(parts, " ")).alias("description")).filter("description <> ''")
-    items = items.withColumn("n", F.count("*").over(Window.partitionBy(*PAGE))).filter("n >= 2")
+
+    def right(w: Column, mark: Column) -> Column:
+        return F.when(mark.isNotNull(), w["x0"] > mark["x0"] + 2).otherwise((w["x0"] > F.col("numcol") + 2) & ~w["number"])
+
+    def band(row: Column) -> Column:
+        across = F.sort_array(F.transform(row, lambda p: F.struct(p["x0"].alias("x0"), p["word_no"].alias("word_no"), p["text"].alias("text"), p["number"].alias("number"))))
+        marked = lambda ws: F.struct(ws.alias("words"), F.get(F.filter(ws, lambda w: w["number"] & (F.abs(w["x0"] - F.col("numcol")) <= 30)), 0).alias("mark"))
+        joined = lambda m: F.array_join(F.transform(F.filter(m["words"], lambda w: right(w, m["mark"])), lambda w: w["text"]), " ")
+        return let(let(across, marked), lambda m: F.struct(m["mark"]["text"].alias("number"), joined(m).alias("words")))
+
+    def item(part: Column, i: Column) -> Column:
+        parts = F.filter(F.transform(part, lambda b: b["words"]), lambda x: x != "")
+        return F.struct((i + 1).alias("item"), F.get(part, 0)["number"].alias("number"), strip(F.array_join(parts, " ")).alias("description"))
+
+    def marks(bands: Column) -> Column:
+        return F.filter(F.transform(bands, lambda b, i: F.when(b["number"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+
+    def cut(bands: Column) -> Column:
+        described = lambda at: F.filter(F.transform(slices(bands, at), item), lambda x: x["description"] != "")
+        return let(marks(bands), lambda at: F.when(F.size(at) >= 2, described(at)))
+
+    # bound, and without a filter before the rows come apart, as the optimiser would work arrays out again for it
+    bands = let(F.struct("points", "begins"), lambda s: F.transform(slices(s["points"], s["begins"]), band))
+    items = let(let(bands, cut), lambda xs: F.when(F.size(xs) >= 2, xs))
+    items = pages.select(*PAGE, F.explode_outer(items).alias("i")).filter("i IS NOT NULL").select(*PAGE, "i.*")
     pair = F.array(F.struct(F.lit(0).alias("col_pos"), F.lit("No.").alias("raw_header"), F.col("number").alias("value")), F.struct(F.lit(1).alias("col_pos"), F.lit("Description").alias("raw_header"), F.col("description").alias("value")))
     return items.select(*PAGE, F.col("item").cast("int").alias("row_no"), F.explode(pair).alias("c")).select(*PAGE, "row_no", "c.*")

@@ -227,6 +227,8 @@ def test_textblocks(spark):
         got.setdefault(r.row_no, {})[r.raw_header] = r.value
     assert [(v["No."], v["Description"]) for _, v in sorted(got.items())] == [("015", "hydraulic jack"), ("064", "support for jack"), ("111", "Sealing ring")]
     assert layout.item_anchors(df).first().n == 4
+    plan = layout.textblock_cells(df)._jdf.queryExecution().sparkPlan().toString()  # one gathering, then folds alone
+    assert "Window" not in plan and plan.count("collect_list") == 2
 
 
 def box(x, y, text, score=0.95):
