@@ -522,7 +522,8 @@ def ocr_table(spark, d):
     """Boxes of a header and rows for each order, with noise."""
     box = "array(struct(x0 as x, y0 as y), struct(x0 + 40 as x, y0 as y), struct(x0 + 40 as x, y0 + 10 as y), struct(x0 as x, y0 + 10 as y)) AS box"
     body = words(spark, d).selectExpr("doc_id", "page_no", "word_no AS box_no", "800.0D AS page_w", box, "text", "IF(word_no % 13 = 0, 0.1D, 0.9D) AS score")
-    head = words(spark, d).select("doc_id", "page_no").distinct().selectExpr("doc_id", "page_no", "inline(array(named_struct('x0', 60.0D, 'text', 'No.'), named_struct('x0', 180.0D, 'text', 'NAME'), named_struct('x0', 18.0D, 'text', 'of')))")
+    pages = _sql(spark, d, "SELECT DISTINCT cast(l_orderkey AS string) AS doc_id, 1 AS page_no FROM lineitem", "lineitem")
+    head = pages.selectExpr("doc_id", "page_no", "inline(array(named_struct('x0', 60.0D, 'text', 'No.'), named_struct('x0', 180.0D, 'text', 'NAME'), named_struct('x0', 18.0D, 'text', 'of')))")
     head = head.selectExpr("doc_id", "page_no", "cast(-x0 as int) AS box_no", "800.0D AS page_w", box.replace("y0 + 10", "10.0D").replace("y0 as y", "0.0D as y"), "text", "0.9D AS score")
     return ocr_tables.ocr_cells(head.unionByName(body))
 

@@ -26,24 +26,40 @@ def upper_median(values: Column) -> Column:
     return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
+#: The part of a tolerance that a height has to be clear of it by, to tell rows without adding their heights up.
+CLEAR = 1e-4
+
+
 def running_rows(points: Column, y: str, tolerance: Column) -> Column:
     """Sorted points (an array) cut into rows: in order of y a point joins the row before it if it is
-    within the tolerance of that row's running mean. The state depends on the data, so this is a fold,
-    not a window; it notes where rows begin, so it grows by row and not by point."""
+    within the tolerance of that row's running mean. A row's mean is never outside it: a gap wider than the
+    tolerance always begins a row, and what is no taller than the tolerance is one. Where that, with room for
+    rounding, tells all rows of the array, nothing is added up; else the state depends on the data, so it is
+    a fold; it notes where rows begin, so it grows by row and not by point."""
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("begins"))
 
-    def step(acc: Column, p: Column) -> Column:
-        near = (acc["n"] > 0) & (F.abs(p[y] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= tolerance)
-        begins = F.when(near, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["at"] + 1)))
-        return F.struct((p[y] + F.when(near, acc["sum"]).otherwise(0.0)).alias("sum"), (F.when(near, acc["n"]).otherwise(0) + 1).alias("n"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+    def fold(s: Column) -> Column:
+        def step(acc: Column, v: Column) -> Column:
+            near = (acc["n"] > 0) & (F.abs(v - acc["sum"] / F.greatest(acc["n"], F.lit(1))) <= s["tolerance"])
+            begins = F.when(near, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(acc["at"] + 1)))
+            return F.struct((v + F.when(near, acc["sum"]).otherwise(0.0)).alias("sum"), (F.when(near, acc["n"]).otherwise(0) + 1).alias("n"), (acc["at"] + 1).alias("at"), begins.alias("begins"))
+
+        return F.aggregate(s["ys"], zero, step)["begins"]
+
+    def rows(s: Column) -> Column:
+        ys, n = s["ys"], F.size(s["ys"])
+        gaps = lambda wide: F.filter(F.transform(ys, lambda _, i: i + 1), lambda k: F.coalesce(F.get(ys, k - 1) - F.get(ys, k - 2) > wide, F.lit(True)))
+        flat = lambda at, most: F.forall(F.transform(at, lambda b, i: F.get(ys, F.coalesce(F.get(at, i + 1) - 2, n - 1)) - F.get(ys, b - 1)), lambda h: F.coalesce(h <= most, F.lit(False)))
+        exact = s["tolerance"] * CLEAR > n * 1e-15 * F.greatest(F.abs(F.get(ys, F.lit(0))), F.abs(F.get(ys, n - 1)))
+        begins = let(let(s["tolerance"] * (1 + CLEAR), gaps), lambda at: F.when(flat(at, s["tolerance"] * (1 - CLEAR)), at))
+        return let(F.when(exact, begins), lambda at: F.when(at.isNotNull(), at).otherwise(fold(s)))
 
-    return F.aggregate(points, zero, step)["begins"]
+    return let(F.struct(points[y].alias("ys"), tolerance.alias("tolerance")), rows)
 
 
 def slices(points: Column, begins: Column) -> Column:
     """The parts of an array that begin at these places."""
-    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(F.size(points) + 1))
-    return F.zip_with(begins, ends, lambda b, e: F.slice(points, b, e - b))
+    return F.transform(begins, lambda b, i: F.slice(points, b, F.coalesce(F.get(begins, i + 1), F.size(points) + 1) - b))
 
 
 def cluster_rows(points: DataFrame, by: list[str], y: str, tie: str, tolerance: Column) -> DataFrame:

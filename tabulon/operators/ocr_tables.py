@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.text import norm_header, strip
-from tabulon.operators.layout import PAGE, running_rows, slices, upper_median
+from tabulon.operators.layout import PAGE, let, running_rows, slices, upper_median
 from tabulon.sources import fixed_values as fixed
 
 #: Boxes below which a page has no table.
 FEWEST = 4
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """The body with the value worked out once, however often it is used, in lambdas too."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _mean(values: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda total, v: total + v), F.size(values))
 
@@ -38,20 +34,20 @@ def _known(texts: Column) -> Column:
 
 def _row(points: Column) -> Column:
     """Of a row's points by height: its height, header tokens, whether it has a number, cells from the left."""
-    texts = F.transform(points, lambda p: p["text"])
-    cells = F.sort_array(F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["box_no"].alias("box_no"), p["text"].alias("text"))))
-    numbered = F.exists(texts, lambda t: t.rlike(fixed.ITEM_NO_PATTERN))
-    return F.struct(_mean(F.transform(points, lambda p: p["y"])).alias("y"), _known(texts).alias("known"), numbered.alias("numbered"), cells.alias("cells"))
+    known = F.size(F.array_remove(points["known"], F.lit(False)))
+    return F.struct(_mean(points["y"]).alias("y"), known.alias("known"), F.array_contains(points["numbered"], True).alias("numbered"), F.sort_array(points["cell"]).alias("cells"))
 
 
 def _header_row(rows: Column) -> Column:
     """The place of the row with the most header tokens, at least two; where item numbers begin shortly
     below another such row, the nearest one above them. Null if there is none."""
-    best = F.array_max(F.transform(rows, lambda r, i: F.struct(r["known"].alias("known"), (-i).alias("minus"))))
-    numbered = _some(F.transform(rows, lambda r, i: F.when(r["numbered"], i)))
-    onset = _let(numbered, lambda at: F.coalesce(F.get(F.filter(at, lambda a, i: F.get(at, i + 1) - a <= 3), F.lit(0)), F.lit(0)))
-    nearest = _let(onset, lambda o: F.array_max(F.transform(rows, lambda r, i: F.when((r["known"] >= 2) & (i < o) & (i >= o - 5), i))))
-    return _let(best, lambda b: F.when(b["known"] >= 2, F.coalesce(nearest, -b["minus"])))
+    known = rows["known"]
+    numbered = _some(F.transform(rows["numbered"], lambda has, i: F.when(has, i)))
+    onset = let(numbered, lambda at: F.coalesce(F.get(F.filter(at, lambda a, i: F.get(at, i + 1) - a <= 3), F.lit(0)), F.lit(0)))
+    nearest = let(onset, lambda o: F.array_max(F.transform(known, lambda k, i: F.when((k >= 2) & (i < o) & (i >= o - 5), i))))
+    best = lambda most: (F.array_position(known, most) - 1).cast("int")
+    several = F.size(F.filter(known, lambda k: k >= 2)) > 1  # else the nearest one is the best one
+    return let(F.array_max(known), lambda most: F.when(most >= 2, F.coalesce(F.when(several, nearest), best(most))))
 
 
 def _single_link(values: Column, gap: Column) -> Column:
@@ -59,30 +55,32 @@ def _single_link(values: Column, gap: Column) -> Column:
 
     def groups(xs: Column) -> Column:
         begins = _some(F.transform(xs, lambda x, i: F.when((i == 0) | (x - F.get(xs, i - 1) > gap), i + 1)))
-        return _let(begins, lambda at: _some(F.transform(slices(xs, at), _mean)))
+        return let(begins, lambda at: _some(F.transform(slices(xs, at), _mean)))
 
-    return _let(values, groups)
+    return let(values, groups)
 
 
 def _with_stray(own: Column, under: Column, gap: Column) -> Column:
     """Columns come from the header's cells, and from at least two cells below that are farther than a
     gap from all of those."""
-    far = lambda x: ~F.exists(own, lambda c: F.abs(x - c) <= gap)
-    stray = F.sort_array(F.filter(F.flatten(F.transform(under, lambda r: F.transform(r["cells"], lambda c: c["x"]))), far))
-    more = _let(stray, lambda xs: F.filter(_single_link(xs, gap), lambda x: F.size(F.filter(xs, lambda s: F.abs(s - x) <= gap)) >= 2))
-    return F.sort_array(F.concat(own, more))
+    xs = F.flatten(under["cells"])["x"]
+    far = F.filter(F.array_distinct(xs), lambda x: ~F.exists(own, lambda c: F.abs(x - c) <= gap))
+    twice = lambda s: F.filter(_single_link(s, gap), lambda x: F.size(F.filter(s, lambda v: F.abs(v - x) <= gap)) >= 2)
+    more = lambda some: let(F.sort_array(F.filter(xs, lambda x: F.array_contains(some, x))), twice)
+    return let(far, lambda some: F.when(F.size(some) == 0, own).otherwise(F.sort_array(F.concat(own, more(some)))))
 
 
-def _texts(cells: Column, centres: Column) -> Column:
-    """A row's text in each column; cells go to the nearest one, the first of equally near ones."""
+def _borders(centres: Column, begins: Column) -> Column:
+    """The columns left and right of each place where columns begin anew; left of the first there is none."""
+    return F.transform(begins, lambda b: F.struct(F.get(centres, b - 2).alias("left"), F.get(centres, b - 1).alias("right")))
 
-    def nearest(c: Column) -> Column:
-        return F.array_min(F.transform(centres, lambda k, i: F.struct(F.abs(k - c["x"]).alias("d"), i.alias("i"))))["i"]
 
-    def joined(dealt: Column) -> Column:
-        return F.transform(centres, lambda _, i: F.array_join(F.transform(F.filter(dealt, lambda d: d["i"] == i), lambda d: d["text"]), " "))
-
-    return _let(F.transform(cells, lambda c: F.struct(nearest(c).alias("i"), c["text"].alias("text"))), joined)
+def _texts(cells: Column, borders: Column) -> Column:
+    """A row's text right of each border, up to the next; cells go to the nearest column, the left one of
+    equally near ones. As cells and columns stand in order, each border cuts the row once."""
+    left = lambda b: F.filter(cells["x"], lambda x: x - b["left"] <= b["right"] - x)
+    cuts = F.transform(borders, lambda b, i: F.when(i == 0, 1).otherwise(F.size(left(b)) + 1))
+    return let(cuts, lambda at: F.transform(slices(cells["text"], at), lambda t: F.array_join(t, " ")))
 
 
 def _unique(names: Column) -> Column:
@@ -93,48 +91,46 @@ def _unique(names: Column) -> Column:
             earlier = F.size(F.filter(F.slice(all_, F.lit(1), i), lambda m: m == n))
             return F.when(earlier > 0, F.concat(n, F.lit("_"), earlier.cast("string"))).otherwise(n)
 
-        return F.transform(all_, one)
+        return F.when(F.size(F.array_distinct(all_)) == F.size(all_), all_).otherwise(F.transform(all_, one))
 
-    return _let(F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("col"), i.cast("string"))).otherwise(n)), numbered)
+    return let(F.transform(names, lambda n, i: F.when(n == "", F.concat(F.lit("col"), i.cast("string"))).otherwise(n)), numbered)
 
 
 def _groups(names: Column) -> Column:
-    """Columns put together: a header that is a stop word joins its neighbours: both, if both are words
-    of their own, else the one to the left, else the one to the right. A fold that keeps the groups so
-    far, and whether the next column belongs to the last of them."""
+    """Where columns put together begin (from 1): a header that is a stop word joins its neighbours: both, if
+    both are words of their own, else the one to the left, else the one to the right. A fold that keeps the
+    begins so far, the last group's name, and whether the next column belongs to it."""
     stop = lambda n: F.lower(n).isin(fixed.OCR_STOPWORDS)
     solid = lambda n: F.coalesce((F.length(n) > 3) & ~stop(n), F.lit(False))
-    none = F.expr("cast(array() as array<struct<name:string,members:array<int>>>)")
+    zero = F.struct(F.expr("cast(array() as array<int>)").alias("begins"), F.lit("").alias("last"), F.lit(False).alias("open"))
 
     def step(acc: Column, i: Column) -> Column:
-        done, name, n = acc["groups"], F.get(names, i), F.size(acc["groups"])
-        last, after = F.get(done, n - 1), F.get(names, i + 1)
-        alone = F.concat(done, F.array(F.struct(name.alias("name"), F.array(i).alias("members"))))
-        both = F.struct(F.concat_ws(" ", last["name"], name).alias("name"), F.concat(last["members"], F.array(i)).alias("members"))
-        joined = F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(both))
-        joins = acc["open"] | (stop(name) & (n > 0))
-        opens = ~acc["open"] & stop(name) & F.when(n == 0, after.isNotNull()).otherwise(solid(last["name"]) & solid(after))
-        return F.struct(F.when(joins, joined).otherwise(alone).alias("groups"), opens.alias("open"))
+        first, name, after = F.size(acc["begins"]) == 0, F.get(names, i), F.get(names, i + 1)
+        joins = acc["open"] | (~first & stop(name))
+        begins = F.when(joins, acc["begins"]).otherwise(F.concat(acc["begins"], F.array(i + 1)))
+        last = F.when(joins, F.concat_ws(" ", acc["last"], name)).otherwise(name)
+        opens = ~acc["open"] & stop(name) & F.when(first, after.isNotNull()).otherwise(solid(acc["last"]) & solid(after))
+        return F.struct(begins.alias("begins"), last.alias("last"), opens.alias("open"))
 
-    return F.aggregate(F.transform(names, lambda _, i: i), F.struct(none.alias("groups"), F.lit(False).alias("open")), step)["groups"]
+    folded = F.aggregate(F.transform(names, lambda _, i: i), zero, step)["begins"]
+    return F.when(F.exists(names, stop), folded).otherwise(F.transform(names, lambda _, i: i + 1))
 
 
 def _is_record(cells: Column) -> Column:
     """Neither empty, nor another header, nor a note."""
-    prefixes = F.array(*map(F.lit, fixed.OCR_SKIP_PREFIXES))
-    note = lambda t: F.exists(prefixes, lambda p: F.startswith(t, p))
-    return _let(_filled(F.transform(cells, F.lower)), lambda some: (F.size(some) > 0) & (_known(some) < 3) & ~F.exists(some, note))
+    note = F.exists(cells, lambda t: F.lower(t).rlike(f"^(?:{'|'.join(map(re.escape, fixed.OCR_SKIP_PREFIXES))})"))
+    return (F.array_join(cells, "") != "") & ((F.size(cells) < 3) | (_known(cells) < 3)) & ~note
 
 
 def _records(rows: Column, s: Column) -> Column:
     """Records of rows that lead away from the header, up to the first large gap."""
 
-    def record(row: Column) -> Column:
-        return _let(_texts(row["cells"], s["centres"]), lambda t: F.transform(s["groups"], lambda g: F.array_join(_filled(F.transform(g["members"], lambda m: F.get(t, m))), " ")))
+    def near(ys: Column) -> Column:
+        before = lambda i: F.when(i == 0, s["header"]["y"]).otherwise(F.get(ys, i - 1))
+        far = F.array_min(F.transform(ys, lambda y, i: F.when(F.abs(y - before(i)) > s["height"] * 5, i)))
+        return F.slice(rows, F.lit(1), F.coalesce(far, F.size(ys)))
 
-    before = lambda i: F.when(i == 0, s["header"]["y"]).otherwise(F.get(rows, i - 1)["y"])
-    far = F.array_min(F.transform(rows, lambda r, i: F.when(F.abs(r["y"] - before(i)) > s["height"] * 5, i)))
-    return F.filter(F.transform(F.slice(rows, F.lit(1), F.coalesce(far, F.size(rows))), record), _is_record)
+    return F.filter(F.transform(let(rows["y"], near), lambda r: _texts(r["cells"], s["borders"])), _is_record)
 
 
 def _share(records: Column, number: Column) -> Column:
@@ -147,85 +143,84 @@ def _rescued(names: Column, records: Column) -> Column:
     def textual(filled: Column, i: Column) -> Column:
         texty = F.try_divide(F.size(F.filter(filled, lambda v: v.rlike("[A-Za-z]"))), F.size(filled))
         length = F.try_divide(F.aggregate(filled, F.lit(0), lambda total, v: total + F.length(v)), F.size(filled))
-        return _let(F.struct(texty.alias("texty"), length.alias("length")), lambda s: F.when((s["texty"] >= 0.6) & (s["length"] >= 4), F.struct((s["texty"] * s["length"]).alias("score"), (-i).alias("minus"))))
+        return let(F.struct(texty.alias("texty"), length.alias("length")), lambda s: F.when((s["texty"] >= 0.6) & (s["length"] >= 4), F.struct((s["texty"] * s["length"]).alias("score"), (-i).alias("minus"))))
 
     def score(n: Column, i: Column) -> Column:
-        return F.when(n.rlike(r"^col\d+$"), _let(_filled(F.transform(records, lambda r: F.get(r, i))), lambda filled: textual(filled, i)))
+        return F.when(n.rlike(r"^col\d+$"), let(_filled(F.transform(records, lambda r: F.get(r, i))), lambda filled: textual(filled, i)))
 
-    like = F.array(*map(F.lit, fixed.NAME_LIKE))
-    named = F.exists(names, lambda n: F.exists(like, lambda k: F.contains(F.lower(n), k)))
+    named = F.exists(names, lambda n: F.lower(n).rlike("|".join(map(re.escape, fixed.NAME_LIKE))))
     best = F.when(~named, -F.array_max(F.transform(names, score))["minus"])
-    return _let(best, lambda b: F.transform(names, lambda n, i: F.when(i == b, "Description").otherwise(n)))
+    return let(best, lambda b: F.when(b.isNull(), names).otherwise(F.transform(names, lambda n, i: F.when(i == b, "Description").otherwise(n))))
 
 
 def _above(s: Column) -> Column:
     """Rows that stand on the header, the nearest first, without what lies beside its columns."""
-    lo, hi = F.array_min(s["centres"]) - s["gap"] * 2, F.array_max(s["centres"]) + s["gap"] * 2
-    kept = F.transform(F.reverse(F.slice(s["parts"], F.lit(1), s["top"])), lambda p: F.filter(p, lambda c: c["x"].between(lo, hi)))
+    upward = F.reverse(F.slice(slices(s["points"], s["begins"]), F.lit(1), s["top"]))
+    reach = F.struct((F.array_min(s["centres"]) - s["gap"] * 2).alias("lo"), (F.array_max(s["centres"]) + s["gap"] * 2).alias("hi"))
+    kept = let(reach, lambda r: F.transform(upward, lambda p: F.filter(p, lambda c: c["cell"]["x"].between(r["lo"], r["hi"]))))
     return F.transform(F.filter(kept, lambda p: F.size(p) > 0), _row)
 
 
 def _better(s: Column) -> Column:
     """The records below the header, or if few of them are numbered and more of those above it are, these."""
-    below, above = _share(s["below"], s["number"]), _share(s["above"], s["number"])
-    return F.when((s["top"] > 0) & (below < 0.3) & (above > below), s["above"]).otherwise(s["below"])
-
-
-def _listed(s: Column) -> Column:
-    cell = lambda v, r, c: F.struct(r.cast("int").alias("row_no"), c.cast("int").alias("col_pos"), F.get(s["names"], c).alias("raw_header"), v.alias("value"))
-    return F.flatten(F.transform(s["records"], lambda values, r: F.transform(values, lambda v, c: cell(v, r, c))))
+    few = let(_share(s["below"], s["number"]), lambda b: F.when(b < 0.3, b))
+    chosen = lambda below: let(let(_above(s), lambda rows: _records(rows, s)), lambda a: F.when(_share(a, s["number"]) > below, a).otherwise(s["below"]))
+    return F.when((s["top"] > 0) & s["number"].isNotNull(), let(few, lambda b: F.when(b.isNotNull(), chosen(b)).otherwise(s["below"]))).otherwise(s["below"])
 
 
 def _number(names: Column) -> Column:
     return F.array_min(F.transform(names, lambda n, i: F.when(norm_header(n).isin(fixed.OCR_NUMBER_TOKENS), i)))
 
 
-#: A page's columns, from ``points`` (by height) and ``page_w`` on: name, the columns it is made of, and how. A
+#: A page's columns, from ``points`` (by height, ``n`` of them) and ``page_w`` on: name, the columns it is made of, and how. A
 #: page without a table has null from the column on that can't be made.
 STEPS: list[tuple[str, str, Callable[[Column], Column]]] = [
-    ("median", "points", lambda s: F.when(F.size(s["points"]) >= FEWEST, upper_median(F.transform(s["points"], lambda p: p["h"])))),
-    ("height", "median", lambda s: F.when(s["median"] == 0, 12.0).otherwise(s["median"])),
-    ("begins", "points height", lambda s: _let(F.when(s["height"].isNotNull(), F.greatest(F.lit(8.0), s["height"] * 0.7)), lambda t: F.when(t.isNotNull(), running_rows(s["points"], "y", t)))),
-    ("parts", "points begins", lambda s: slices(s["points"], s["begins"])),
-    ("rows", "parts", lambda s: F.transform(s["parts"], _row)),
-    ("best", "rows", lambda s: _header_row(s["rows"])),
-    ("top", "rows best", lambda s: F.when(s["best"] < F.size(s["rows"]) - 1, s["best"])),
+    ("height", "n points", lambda s: F.when(s["n"] >= FEWEST, let(upper_median(s["points"]["h"]), lambda m: F.when(m == 0, 12.0).otherwise(m)))),
+    ("begins", "points height", lambda s: F.when(s["height"].isNotNull(), running_rows(s["points"], "y", F.greatest(F.lit(8.0), s["height"] * 0.7)))),
+    ("rows", "points begins", lambda s: F.transform(slices(s["points"], s["begins"]), _row)),
+    ("top", "rows", lambda s: let(_header_row(s["rows"]), lambda best: F.when(best < F.size(s["rows"]) - 1, best))),
     ("gap", "page_w", lambda s: F.greatest(F.lit(40.0), s["page_w"] * 0.035)),
     ("header", "rows top", lambda s: F.get(s["rows"], s["top"])),
     ("under", "rows top", lambda s: F.slice(s["rows"], s["top"] + 2, F.size(s["rows"]))),
-    ("own", "header gap", lambda s: _single_link(F.transform(s["header"]["cells"], lambda c: c["x"]), s["gap"])),
-    ("centres", "own under gap", lambda s: _with_stray(s["own"], s["under"], s["gap"])),
-    ("titles", "header centres", lambda s: _unique(_texts(s["header"]["cells"], s["centres"]))),
+    ("centres", "header under gap", lambda s: let(_single_link(s["header"]["cells"]["x"], s["gap"]), lambda own: _with_stray(own, s["under"], s["gap"]))),
+    ("titles", "header centres", lambda s: _unique(let(_borders(s["centres"], F.transform(s["centres"], lambda _, i: i + 1)), lambda b: _texts(s["header"]["cells"], b)))),
     ("groups", "titles", lambda s: _groups(s["titles"])),
-    ("unnamed", "groups", lambda s: _unique(F.transform(s["groups"], lambda g: g["name"]))),
+    ("borders", "centres groups", lambda s: _borders(s["centres"], s["groups"])),
+    ("unnamed", "titles groups", lambda s: _unique(F.transform(slices(s["titles"], s["groups"]), lambda t: F.array_join(t, " ")))),
     ("number", "unnamed", lambda s: _number(s["unnamed"])),
-    ("below", "under header centres groups height", lambda s: _records(s["under"], s)),
-    ("upward", "parts top centres gap", _above),
-    ("above", "upward header centres groups height", lambda s: _records(s["upward"], s)),
-    ("records", "below above number top", _better),
+    ("below", "under header borders height", lambda s: _records(s["under"], s)),
+    ("records", "below points begins top centres gap header borders height number", _better),
     ("names", "unnamed records", lambda s: _rescued(s["unnamed"], s["records"])),
-    ("cells", "names records", _listed),
 ]
 
 
+def _span(name: str) -> tuple[Column, Column]:
+    """Of a box's points: their mean, and how far they lie apart. Boxes of four points, as most are, do without folds."""
+    values, four = F.col("box")[name].cast("array<double>"), [F.get("box", F.lit(i))[name].cast("double") for i in range(4)]
+    is_four = F.size("box") == 4
+    mean = F.when(is_four, (F.lit(0.0) + four[0] + four[1] + four[2] + four[3]) / 4).otherwise(_mean(values))
+    return mean, F.when(is_four, F.greatest(*four) - F.least(*four)).otherwise(F.array_max(values) - F.array_min(values))
+
+
 def ocr_cells(boxes: DataFrame) -> DataFrame:
     """Cells of the tables in ocr_boxes(doc_id, page_no, box_no, page_w, box array<struct<x,y>>, text,
     score). Boxes move once, by page. Those without a text or a place, or with a low score, don't count;
     one without a score does."""
 
-    def span(name: str) -> tuple[Column, Column]:
-        values = F.transform("box", lambda p: p[name].cast("double"))
-        return _mean(values), F.array_max(values) - F.array_min(values)
-
-    (x, _), (y, h), score = span("x"), span("y"), F.col("score").cast("double")
-    point = F.struct(y.alias("y"), "box_no", x.alias("x"), h.alias("h"), strip(F.col("text")).alias("text"))
+    (x, _), (y, h), score = _span("x"), _span("y"), F.col("score").cast("double")
     sure = score.isNull() | F.isnan(score) | (score >= fixed.OCR_MIN_SCORE)
-    read = boxes.select(*PAGE, "box_no", F.col("page_w").cast("double").alias("page_w"), point.alias("p"), sure.alias("sure"))
+    read = boxes.select(*PAGE, "box_no", F.col("page_w").cast("double").alias("page_w"), x.alias("x"), y.alias("y"), h.alias("h"), strip(F.col("text")).alias("text"), sure.alias("sure"))
     # null, where a place is
-    counts = F.col("sure") & (F.col("p.text") != "") & (F.col("p.x") < float("inf")) & (F.col("p.y") < float("inf"))
-    pages = read.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.when(counts, F.col("p")))).alias("points"), F.min_by("page_w", F.struct("box_no", "page_w")).alias("page_w"))
+    counts = F.col("sure") & (F.col("text") != "") & (F.col("x") < float("inf")) & (F.col("y") < float("inf"))
+    known, numbered = norm_header(F.col("text")).isin(fixed.OCR_HEADER_TOKENS), F.col("text").rlike(fixed.ITEM_NO_PATTERN)
+    point = F.struct("y", "box_no", F.struct("x", "y", "box_no", "text").alias("cell"), "h", known.alias("known"), numbered.alias("numbered"))
+    # counted too, as the optimiser would put what is used once into the gathering, which works it out without compiled code
+    points = read.select(*PAGE, F.when(counts, point).alias("p"), F.struct("box_no", "page_w").alias("w")).groupBy(*PAGE)
+    pages = points.agg(F.count("p").alias("n"), F.sort_array(F.collect_list("p")).alias("points"), F.min("w")["page_w"].alias("page_w"))
     for name, used, made in STEPS:
         # bound once, as lambdas would work out again what the optimiser puts in place of a column's name
-        pages = pages.withColumn(name, _let(F.struct(*used.split()), made))
+        pages = pages.withColumn(name, let(F.struct(*used.split()), made))
     # an outer explode, as a plain one would work the table out once more to see whether it is empty
-    return pages.select(*PAGE, F.explode_outer("cells").alias("cell")).filter("cell IS NOT NULL").select(*PAGE, "cell.*")
+    records = pages.select(*PAGE, "names", F.posexplode_outer("records").alias("row_no", "record")).filter("record IS NOT NULL")
+    cells = records.select(*PAGE, "row_no", "names", F.posexplode("record").alias("col_pos", "value"))
+    return cells.select(*PAGE, "row_no", "col_pos", F.get("names", F.col("col_pos")).alias("raw_header"), "value")

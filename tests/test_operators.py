@@ -291,6 +291,30 @@ def test_ocr_tables_by_a_plain_version(spark):
     assert tops > 400 and joined > 50 and sum("Description" in names for names, _ in want) > 50
 
 
+def test_ocr_points_are_made_before_they_are_gathered(spark):
+    """A gathering works its input out without compiled code, unless that is a column; four points need no folds."""
+    df = ocr_tables.ocr_cells(spark.createDataFrame([("d", 1, 1, 500.0, [(0.0, 0.0)] * 4, "No.", 0.9)], BOXES))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(p#" in plan and "WHEN (size(box" in plan
+
+
+def test_rows_by_gaps_and_by_running_means(spark):
+    rng, rows, want = random.Random(5), [], []
+    for k in range(300):
+        tolerance = rng.choice([0.0, 1e-12, 0.3, 1.0, 8.0])
+        ys = sorted(rng.choice([rng.randrange(40) * 0.1, rng.uniform(0, 60), rng.randrange(6) * tolerance, 1e9 + rng.randrange(9) * 0.1]) for _ in range(rng.randrange(12)))
+        begins, total, n = [], 0.0, 0
+        for i, y in enumerate(ys):
+            if not n or abs(y - total / n) > tolerance:
+                begins, total, n = [*begins, i + 1], 0.0, 0
+            total, n = total + y, n + 1
+        rows.append((k, [(y,) for y in ys], tolerance))
+        want.append(begins)
+    df = spark.createDataFrame(rows, "k int, points array<struct<y:double>>, tolerance double")
+    got = df.select("k", layout.running_rows(F.col("points"), "y", F.col("tolerance")).alias("b")).orderBy("k").collect()
+    assert [r.b for r in got] == want
+
+
 def test_ocr_boxes_that_do_not_count(spark):
     """Without a place, a text or a number, or on a page without a width: none of these ends the job."""
     place = lambda x, y: [(float(x), float(y)), (x + 40.0, y + 14.0)]
