@@ -1,9 +1,11 @@
 import base64
+import glob
 import gzip
 import hashlib
 import io
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -553,6 +555,44 @@ def test_join_stage_tells_rows_apart(spark):
     assert sum(t in (d, near(d)) for t in texts) == 1 and sum(t in (e, near(e)) for t in texts) == 1 and len(got) == 10
 
 
+def test_sieve(spark):
+    """No hash is lost, few others pass, and nothing passes an empty one."""
+    all_ = spark.range(20_000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    some = all_.filter("id % 10 = 3").select("h")
+    passed = [r.id for r in all_.filter(ngram_join.sieve(some, "h")(F.col("h"))).collect()]
+    assert {i for i in passed if i % 10 == 3} == set(range(3, 20_000, 10)) and len(passed) < 2_100
+    assert all_.filter(ngram_join.sieve(some.limit(0), "h")(F.col("h"))).isEmpty()
+
+
+def test_join_stage_moves_only_rows_that_may_go(spark, monkeypatch):
+    rng = random.Random(14)
+    texts = [prose(rng, 40) for _ in range(300)]
+    texts += [t + " z" for t in texts[:10]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    moved, whole = [], type(docs).dropDuplicates
+    monkeypatch.setattr(type(docs), "dropDuplicates", lambda self, *names: moved.append(self.count()) or whole(self, *names))
+    assert sorted(r.doc_id for r in ngram_join.stage(spark, docs, "").collect()) == list(range(300))
+    assert len(moved) == 1 and moved[0] < 30
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    def files():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {p for d in dirs for p in glob.glob(f"{d}/*/shuffle_*")}
+
+    before = files()
+    spark.range(1000).repartition(7, F.xxhash64("id")).write.format("noop").mode("overwrite").save()
+    others = files()
+    assert others - before  # Spark's own way; they go when the driver collects its garbage
+    table = session.cut(spark.range(1000).repartition(7, F.xxhash64("id")))
+    for _ in range(50):
+        if not files() - others:
+            break
+        time.sleep(0.1)
+    assert not files() - others and table.count() == 1000
+    assert spark.conf.get(session.FREED) == "false"
+
+
 def test_tree_loses_no_link():
     rng = np.random.default_rng(2)
     pool = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
