@@ -593,6 +593,30 @@ def test_cut_leaves_no_shuffle_files(spark):
     assert spark.conf.get(session.FREED) == "false"
 
 
+def test_first_shingles_in_parts(spark, docs, monkeypatch):
+    """What is dealt out at a time is a part of the rows; the parts have all of them, and give the same pairs."""
+    rng = random.Random(15)
+    base = [prose(rng, 60) for _ in range(20)]
+    texts = [" ".join(w for w in b.split() if rng.random() > 0.01) for b in base for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    whole, parts = ngram_join.prefixes(df, *none), [ngram_join.prefixes(df, *none, part, 3) for part in range(3)]
+    every = lambda x: sorted(map(tuple, x.collect()))
+    assert sorted(sum(map(every, parts), [])) == every(whole)
+    assert every(ngram_join.candidates(*parts)) == every(ngram_join.candidates(whole)) != []
+    dealt, meet = [], ngram_join.meetings
+    monkeypatch.setattr(ngram_join, "meetings", lambda rows: dealt.append(rows.count()) or meet(rows))
+    got = {r.doc_id: r.component_id for r in ngram_join.join(df).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)[1]
+    assert sum(dealt) == whole.count() and max(dealt) < 0.7 * sum(dealt)
+
+
+def test_join_leaves_only_tables_that_its_result_reads(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    joined = ngram_join.join(docs)
+    assert len(list(tmp_path.iterdir())) == 2 and joined.count() == docs.count()  # sets of the documents, roots
+
+
 def test_tree_loses_no_link():
     rng = np.random.default_rng(2)
     pool = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
